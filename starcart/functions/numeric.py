@@ -1,8 +1,9 @@
 """Money and ratio helpers.
 
-Rules (SURVEY 5.4): sums of money stay exact decimals; a ratio is computed once
-in double from exact sums; rounding goes through a wide decimal so that half
-cents round away from zero the same way everywhere.
+Money stays exact: sums are decimals, and ratios of money (AOV, margin %,
+shares, means) are exact decimal divisions rounded half away from zero, as the
+warehouse's DECIMAL arithmetic does. A half cent such as 2330250.15 / 10 must
+round up to .02; a double division would land just below and round down.
 """
 
 from __future__ import annotations
@@ -19,30 +20,38 @@ def money_sum(col: str | Column) -> Column:
 
 
 def round_dec(x: Column, digits: int = 2, precision: int = 20) -> Column:
-    """Round half away from zero through decimal(38,12); decimal(precision, digits) out."""
+    """Round a decimal (or a double through decimal(38,12)) half away from zero."""
     return F.round(x.cast("decimal(38,12)"), digits).cast(f"decimal({precision},{digits})")
 
 
-def r2(x: Column) -> Column:
-    return round_dec(x, 2)
+def div_round(
+    num: Column,
+    den: Column,
+    digits: int = 2,
+    times: int = 1,
+    zero: str = "null",
+    floor: float | None = None,
+) -> Column:
+    """round(num / den * times, digits), exact, half away from zero.
 
+    ``num``/``den`` are money decimals or integer counts. The numerator is
+    scaled first and kept at decimal(24,2), so the quotient carries 14 decimal
+    digits before the final rounding.
 
-def ratio(num: Column, den: Column, zero: str = "null", floor: float | None = None) -> Column:
-    """num / den in double.
-
-    zero="null": NULL when den is 0 (the declared SQL semantics, NULLIF).
-    zero="floor": den replaced by greatest(den, floor), the embedded-DB copy's guard.
+    zero="null": NULL when den = 0 (declared SQL semantics, NULLIF).
+    zero="floor": den replaced by greatest(den, floor) (the embedded copy's guard).
     """
-    n = num.cast("double")
-    d = den.cast("double")
+    n = (num.cast("decimal(22,2)") * F.lit(times)).cast("decimal(24,2)")
+    d = den.cast("decimal(20,2)")
     if zero == "floor":
         if floor is None:
             raise ValueError("zero='floor' needs a floor value")
-        return n / F.greatest(d, F.lit(float(floor)))
-    return F.when(d == 0, F.lit(None).cast("double")).otherwise(n / d)
+        d = F.greatest(d, F.lit(str(floor)).cast("decimal(20,2)"))
+    q = F.when(d == 0, F.lit(None)).otherwise(n / d)
+    return F.round(q, digits).cast(f"decimal(20,{digits})")
 
 
-def money_mean(col: str | Column) -> Column:
-    """Mean of a decimal column as exact-sum / count, in double."""
+def money_mean(col: str | Column, digits: int = 2) -> Column:
+    """Exact mean of a decimal or integer column, rounded."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.sum(c).cast("double") / F.count(c)
+    return div_round(F.sum(c), F.count(c), digits)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import MONEY_SUM, money_sum, r2, ratio, round_dec
+from ..functions.numeric import MONEY_SUM, div_round, money_sum, round_dec
 from ..sources.schema import Star
 
 
@@ -49,8 +49,9 @@ def monthly_kpis(star: Star, zero: str = "null") -> DataFrame:
         F.col("_net").cast(MONEY_SUM).alias("revenue"),
         F.col("_profit").cast(MONEY_SUM).alias("gross_profit"),
         F.col("_qty").cast(MONEY_SUM).alias("units_sold"),
-        r2(ratio(F.col("_net"), F.col("total_orders"), zero, 1.0)).alias("aov"),
-        r2(ratio(F.col("_profit"), F.col("_net"), zero, 0.01) * 100).alias("profit_margin_pct"),
+        div_round(F.col("_net"), F.col("total_orders"), zero=zero, floor=1).alias("aov"),
+        div_round(F.col("_profit"), F.col("_net"), times=100, zero=zero, floor=0.01)
+        .alias("profit_margin_pct"),
     )
 
 
@@ -72,9 +73,9 @@ def monthly_revenue_growth(star: Star, zero: str = "null") -> DataFrame:
     return m.select(
         *m.columns,
         prev.alias("previous_month_revenue"),
-        r2(ratio(F.col("revenue") - prev, prev) * 100).alias("mom_growth_pct"),
+        div_round(F.col("revenue") - prev, prev, times=100).alias("mom_growth_pct"),
         F.sum("revenue").over(running).cast(MONEY_SUM).alias("cumulative_revenue"),
-        r2(F.sum("revenue").over(last3).cast("double") / F.count("revenue").over(last3)).alias("ma_3m"),
+        div_round(F.sum("revenue").over(last3), F.count("revenue").over(last3)).alias("ma_3m"),
     )
 
 
@@ -130,8 +131,9 @@ def overview_kpis(star: Star, zero: str = "null") -> DataFrame:
         F.col("_profit").cast(MONEY_SUM).alias("total_profit"),
         "total_orders",
         "total_customers",
-        r2(ratio(F.col("_net"), F.col("total_orders"), zero, 1.0)).alias("aov"),
-        r2(ratio(F.col("_profit"), F.col("_net"), zero, 0.01) * 100).alias("profit_margin_pct"),
+        div_round(F.col("_net"), F.col("total_orders"), zero=zero, floor=1).alias("aov"),
+        div_round(F.col("_profit"), F.col("_net"), times=100, zero=zero, floor=0.01)
+        .alias("profit_margin_pct"),
         round_dec(F.col("_qty"), 0).alias("units_sold"),
     )
 
@@ -144,7 +146,7 @@ def dq_sanity_totals(star: Star) -> DataFrame:
     return agg.select(
         F.col("_net").cast(MONEY_SUM).alias("total_revenue"),
         "total_orders",
-        r2(ratio(F.col("_net"), F.col("total_orders"))).alias("avg_order_value"),
+        div_round(F.col("_net"), F.col("total_orders")).alias("avg_order_value"),
     )
 
 
@@ -164,5 +166,5 @@ def dq_fact_profile(star: Star) -> DataFrame:
         F.countDistinct("order_id").alias("orders"),
         F.min("net_amount").alias("min_net"),
         F.max("net_amount").alias("max_net"),
-        r2(F.sum("net_amount").cast("double") / F.count("net_amount")).alias("avg_net"),
+        div_round(F.sum("net_amount"), F.count("net_amount")).alias("avg_net"),
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import kpi
+from .operators import customer, kpi, product
 from .sources.driver import driver_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,4 +33,18 @@ def queries() -> dict[str, Query]:
         "dq_sanity_totals": _on_star(kpi.dq_sanity_totals),
         "dq_monthly": _on_star(kpi.dq_monthly),
         "dq_fact_profile": _on_star(kpi.dq_fact_profile),
+        "top_products_by_revenue": _on_star(product.top_products_by_revenue),
+        "top_n_products": _on_star(product.top_n_products, n=15),
+        "category_revenue_share": _on_star(product.category_revenue_share),
+        "active_product_list": _on_star(product.active_product_list),
+        "product_detail": _on_star(product.product_detail, product_key=5),
+        "product_unit_margin": _on_star(product.product_unit_margin),
+        "customer_lifetime_value": _on_star(customer.customer_lifetime_value),
+        "customer_spending_quartiles": _on_star(customer.customer_spending_quartiles),
+        "quartile_breakdown": _on_star(customer.quartile_breakdown),
+        "clv_histogram": _on_star(customer.clv_histogram),
+        "average_clv": _on_star(customer.average_clv),
+        "top_customers_by_clv": _on_star(customer.top_customers_by_clv),
+        "repeat_purchase_rate": _on_star(customer.repeat_purchase_rate),
+        "customer_segments": _on_star(customer.customer_segments),
     }
