@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import customer, kpi, product
+from .operators import basket, customer, kpi, product, rec_checks, recommend
 from .sources.driver import driver_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,17 @@ def _on_star(fn, **kw) -> Query:
     return run
 
 
+def _on_recs(fn, with_products: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star = driver_star(spark, sf_dir)
+        recs = recommend.recommendation_top4(star)
+        return fn(star.product, recs) if with_products else fn(recs)
+
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Query]:
     return {
         "monthly_kpis": _on_star(kpi.monthly_kpis),
@@ -47,4 +58,18 @@ def queries() -> dict[str, Query]:
         "top_customers_by_clv": _on_star(customer.top_customers_by_clv),
         "repeat_purchase_rate": _on_star(customer.repeat_purchase_rate),
         "customer_segments": _on_star(customer.customer_segments),
+        "basket_items": _on_star(basket.basket_items),
+        "product_pairs": _on_star(basket.product_pairs),
+        "directed_pairs": _on_star(basket.directed_pairs),
+        "candidate_popularity": _on_star(recommend.candidate_popularity),
+        "candidate_margin": _on_star(recommend.candidate_margin),
+        "category_match": _on_star(recommend.category_match),
+        "recommendation_scores": _on_star(recommend.recommendation_scores),
+        "recommendation_top4": _on_star(recommend.recommendation_top4),
+        "recommendations_for_product": _on_star(recommend.recommendations_for_product, product_key=5),
+        "rec_coverage": _on_recs(rec_checks.rec_coverage),
+        "rec_missing": _on_recs(rec_checks.rec_missing, with_products=True),
+        "rec_self_check": _on_recs(rec_checks.rec_self_check),
+        "rec_score_stats": _on_recs(rec_checks.rec_score_stats),
+        "rec_diversity": _on_recs(rec_checks.rec_diversity),
     }
