@@ -127,18 +127,23 @@ def product_pairs(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame
 
 
 def direct(pairs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Every pair in both directions (UNION ALL of the pair and its mirror)."""
+    """Every pair in both directions (the UNION ALL of pair and mirror).
+
+    Built as explode(array(pair, mirror)) over the aggregated pairs: one pass,
+    no second copy of the pair subplan.
+    """
     carry = carry or []
-    base = ["source_product_key", "candidate_product_key", "co_purchase_count", "last_together_date"]
-    fwd = pairs.select(*base, *[f"{c}_{r}" for c in carry for r in ("s", "c")])
-    rev = pairs.select(
-        F.col("candidate_product_key").alias("source_product_key"),
-        F.col("source_product_key").alias("candidate_product_key"),
-        "co_purchase_count",
-        "last_together_date",
-        *[F.col(f"{c}_{a}").alias(f"{c}_{b}") for c in carry for a, b in (("c", "s"), ("s", "c"))],
-    )
-    return fwd.unionByName(rev)
+    s, c = F.col("source_product_key"), F.col("candidate_product_key")
+    shared = [F.col("co_purchase_count"), F.col("last_together_date")]
+
+    def side(src, cand, a: str, b: str):
+        return F.struct(
+            src.alias("source_product_key"), cand.alias("candidate_product_key"), *shared,
+            *[F.col(f"{x}_{r}").alias(f"{x}_{n}") for x in carry for r, n in ((a, "s"), (b, "c"))],
+        )
+
+    both = F.array(side(s, c, "s", "c"), side(c, s, "c", "s"))
+    return pairs.select(F.explode(both).alias("_d")).select("_d.*")
 
 
 def directed_pairs(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_dec
+from ..session import checkpoint_dir
 from ..sources.schema import Star
 from .basket import DEFAULT_BLOCK_SIZE, aggregate_pairs, direct, order_products, pair_rows
 
@@ -112,6 +113,11 @@ def _items_with_attrs(star: Star) -> DataFrame:
 def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Directed pairs whose source is a known product and candidate an active one."""
     pairs = aggregate_pairs(pair_rows(_items_with_attrs(star), block_size, CARRY), CARRY)
+    # The aggregated pair table feeds the per-source maxima, the global maxima
+    # and the ranking: write it once to the shared checkpoint folder (this also
+    # cuts the lineage back through the self-join if executors are lost).
+    checkpoint_dir(pairs.sparkSession)
+    pairs = pairs.checkpoint(eager=True)
     d = direct(pairs, CARRY)
     return d.where(
         F.col("is_active_c")
