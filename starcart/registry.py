@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import basket, customer, kpi, product, rec_checks, recommend
+from .operators import basket, customer, kpi, product, quality, rec_checks, recommend
 from .sources.driver import driver_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,16 @@ def _on_recs(fn, with_products: bool = False) -> Query:
     return run
 
 
+def _on_corrupted(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star = driver_star(spark, sf_dir)
+        return fn(star.with_fact(quality.corrupted_fact(star.fact)))
+
+    run.__name__ = fn.__name__ + "_corrupted"
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Query]:
     return {
         "monthly_kpis": _on_star(kpi.monthly_kpis),
@@ -72,4 +82,10 @@ def queries() -> dict[str, Query]:
         "rec_self_check": _on_recs(rec_checks.rec_self_check),
         "rec_score_stats": _on_recs(rec_checks.rec_score_stats),
         "rec_diversity": _on_recs(rec_checks.rec_diversity),
+        "dq_row_counts": _on_star(quality.dq_row_counts),
+        "dq_orphans": _on_star(quality.dq_orphans),
+        "dq_arithmetic": _on_star(quality.dq_arithmetic),
+        "dq_constraints": _on_star(quality.dq_constraints),
+        "dq_orphans_corrupted": _on_corrupted(quality.dq_orphans),
+        "dq_arithmetic_corrupted": _on_corrupted(quality.dq_arithmetic),
     }
