@@ -6,8 +6,8 @@ ranks over all products / all customers we number rows in parallel instead:
 1. range-partition by the full sort key (value + entity key, so ties split too)
    and sort within partitions;
 2. tag each row with its partition id and its position inside the partition,
-   and cut the lineage with ``checkpoint()`` into the shared checkpoint folder,
-   so the layout cannot move between the counting pass and the numbering pass,
+   and write that once to the shared checkpoint folder (``materialize``), so
+   the layout cannot move between the counting pass and the numbering pass,
    also when executors are lost;
 3. count rows per partition (one row per partition), prefix-sum the counts
    (a window over #partitions rows) and broadcast that small table;
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import materialize
 
 _PID = "_rk_pid"
 _LOCAL = "_rk_local"
@@ -44,7 +44,6 @@ def global_row_number(
 
     If ``total`` is given, the row count N is appended under that name too.
     """
-    checkpoint_dir(df.sparkSession)
     n = _partitions(df, num_partitions)
     ranged = (
         df.repartitionByRange(n, *order)
@@ -55,7 +54,9 @@ def global_row_number(
             F.monotonically_increasing_id() - F.col(_PID).cast("long") * F.lit(1 << 33),
         )
     )
-    fixed = ranged.checkpoint(eager=True)
+    # Partition id and position are stored as columns, so the written copy
+    # carries the layout with it however the files are split on re-read.
+    fixed = materialize(ranged, "rownum")
     counts = fixed.groupBy(_PID).agg(F.count(F.lit(1)).alias("_rk_n"))
     # One row per partition: the unpartitioned window and the broadcast are bounded.
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)

@@ -22,7 +22,7 @@ Plan (one large shuffle per step, none on a single partition):
     rows shuffle once, on (source, salt), for both the join and the first
     ranking window; a source holding a third of all pairs is spread over all
     salts; the second ranking sees at most 4 * salt_buckets rows per source;
-  * the global maxima are scalar subqueries over the scored rows;
+  * the global maxima are one scalar subquery over the materialised pairs;
   * names are attached after the <= 4 filter.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_dec
-from ..session import checkpoint_dir
+from ..session import materialize
 from ..sources.schema import Star
 from .basket import DEFAULT_BLOCK_SIZE, aggregate_pairs, direct, order_products, pair_rows
 
@@ -114,10 +114,9 @@ def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> Dat
     """Directed pairs whose source is a known product and candidate an active one."""
     pairs = aggregate_pairs(pair_rows(_items_with_attrs(star), block_size, CARRY), CARRY)
     # The aggregated pair table feeds the per-source maxima, the global maxima
-    # and the ranking: write it once to the shared checkpoint folder (this also
+    # and the ranking: write it once to the shared checkpoint folder as parquet (this also
     # cuts the lineage back through the self-join if executors are lost).
-    checkpoint_dir(pairs.sparkSession)
-    pairs = pairs.checkpoint(eager=True)
+    pairs = materialize(pairs, "pairs")
     d = direct(pairs, CARRY)
     return d.where(
         F.col("is_active_c")
@@ -165,7 +164,16 @@ def scored_pairs(
     clock ``as_of`` for the recency decay.
     """
     w = {**WEIGHTS, **(weights or {})}
-    d = _with_parents(directed_candidates(star, block_size), star)
+    cands = directed_candidates(star, block_size)
+    # Global maxima over the scored rows, as one scalar subquery: a pass over
+    # the materialised pairs (the category fan-out cannot change a maximum).
+    glob = cands.select(F.struct(
+        F.max("product_order_count_c").alias("pop"), F.max("margin_avg_c").alias("margin")
+    )).scalar()
+    max_pop = glob.getField("pop")
+    max_margin = glob.getField("margin")
+
+    d = _with_parents(cands, star)
     d = d.withColumn("category_match", category_match_expr())
     d = d.withColumn("_salt", F.pmod(F.xxhash64("candidate_product_key"), F.lit(salt_buckets)).cast("int"))
 
@@ -177,9 +185,6 @@ def scored_pairs(
     ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     d = d.join(maxima, ["source_product_key", "_salt"])
 
-    # Global maxima over the scored rows: scalar subqueries (one row each).
-    max_pop = d.select(F.max("product_order_count_c")).scalar()
-    max_margin = d.select(F.max("margin_avg_c")).scalar()
 
     cnt = F.col("co_purchase_count").cast("double")
     pop = F.col("product_order_count_c").cast("double")

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import basket, customer, kpi, product, quality, rec_checks, recommend
-from .sources.driver import driver_star
+from .plans.warehouse import warehouse_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _on_star(fn, **kw) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(driver_star(spark, sf_dir), **kw)
+        return fn(warehouse_star(spark, sf_dir), **kw)
 
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
@@ -23,7 +23,7 @@ def _on_star(fn, **kw) -> Query:
 
 def _on_recs(fn, with_products: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        star = driver_star(spark, sf_dir)
+        star = warehouse_star(spark, sf_dir)
         recs = recommend.recommendation_top4(star)
         return fn(star.product, recs) if with_products else fn(recs)
 
@@ -34,7 +34,7 @@ def _on_recs(fn, with_products: bool = False) -> Query:
 
 def _on_corrupted(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        star = driver_star(spark, sf_dir)
+        star = warehouse_star(spark, sf_dir)
         return fn(star.with_fact(quality.corrupted_fact(star.fact)))
 
     run.__name__ = fn.__name__ + "_corrupted"
