@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import basket, customer, kpi, product, quality, rec_checks, recommend
+from .operators import basket, catalog, customer, kpi, product, quality, rec_checks, recommend
+from .sources import generate
+from .sources.driver import read_table
 from .plans.warehouse import warehouse_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +45,28 @@ def _on_corrupted(fn) -> Query:
     return run
 
 
+def date_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U43 over the ship-date span of the line items (every day, 13 attributes)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    bounds = li.agg(F.min("l_shipdate").cast("date").alias("lo"), F.max("l_shipdate").cast("date").alias("hi"))
+    return generate.calendar_between(bounds)
+
+
+def derive_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U47 on every line item: unit price = extended price / quantity, the line's
+    discount, a cost ratio of 62-87 % by part."""
+    li = read_table(spark, sf_dir, "lineitem")
+    qty = F.col("l_quantity").cast("decimal(10,2)")
+    ext = F.col("l_extendedprice").cast("decimal(10,2)")
+    unit = F.when(qty == 0, F.lit(None)).otherwise(F.round(ext / qty, 2)).cast("decimal(10,2)")
+    ratio = F.expr("cast((62 + l_partkey % 26) * 0.01 as decimal(6,4))")
+    m = generate.derive_measures(qty, unit, F.col("l_discount"), ratio)
+    return li.select(
+        "l_orderkey", "l_linenumber", qty.alias("quantity"), unit.alias("unit_price"),
+        *[c.alias(n) for n, c in m.items()],
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "monthly_kpis": _on_star(kpi.monthly_kpis),
@@ -88,4 +113,8 @@ def queries() -> dict[str, Query]:
         "dq_constraints": _on_star(quality.dq_constraints),
         "dq_orphans_corrupted": _on_corrupted(quality.dq_orphans),
         "dq_arithmetic_corrupted": _on_corrupted(quality.dq_arithmetic),
+        "date_dimension": date_dimension,
+        "derive_measures": derive_measures,
+        "star_fact": _on_star(lambda star: star.fact),
+        "catalog_report": _on_star(catalog.catalog_tables),
     }
