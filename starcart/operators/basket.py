@@ -36,21 +36,48 @@ def basket_items(star: Star) -> DataFrame:
     )
 
 
-def order_products(star: Star) -> DataFrame:
-    """(order, product) -> number of distinct dates and the latest date.
+MARGIN_UNITS = 10 ** 8  # line margins are summed as exact longs in 1e-8 units
 
-    One shuffle on (order_id, product_key); the distinct dates are counted in
-    the same aggregate (duplicate triples collapse map-side).
+
+def line_margin_units(profit, net):
+    """profit / net of one line in 1e-8 units (round half up), 0 when net = 0.
+
+    IEEE double operations on the two decimals, then an exact long: the sums
+    are the same whatever the partitioning, and cheap (no 38-digit division).
+    """
+    q = F.floor(profit.cast("double") / net.cast("double") * F.lit(1e8) + F.lit(0.5)).cast("long")
+    return F.when(net == 0, F.lit(0).cast("long")).otherwise(q)
+
+
+def order_product_facts(star: Star) -> DataFrame:
+    """One pass over the fact: per (order, product) the distinct dated days,
+    the latest date, the line count and the summed line margins.
+
+    Serves the basket (n_dates > 0), popularity (one row = one distinct order of
+    the product) and margin (sums of sums). The calendar is LEFT joined
+    (bounded by days, broadcast), so undated lines still count for popularity
+    and margin, as they do in the fact-only signals. Partial aggregation on
+    (order, product, date) map-side, then one shuffle on (order_id, product_key).
     """
     cal = star.date.select("date_key", "full_date")
-    lines = star.fact.select("order_id", "product_key", "date_key").join(F.broadcast(cal), "date_key")
+    lines = star.fact.select("order_id", "product_key", "date_key", "profit_amount", "net_amount").join(
+        F.broadcast(cal), "date_key", "left"
+    )
     return lines.groupBy("order_id", "product_key").agg(
         F.countDistinct("full_date").alias("n_dates"),
         F.max("full_date").alias("last_date"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum(line_margin_units(F.col("profit_amount"), F.col("net_amount"))).alias("margin_units"),
     )
 
 
-def _blocked(items: DataFrame, block_size: int) -> DataFrame:
+def order_products(star: Star, facts: DataFrame | None = None) -> DataFrame:
+    """(order, product) -> number of distinct dates and the latest date (dated lines only)."""
+    facts = facts if facts is not None else order_product_facts(star)
+    return facts.where(F.col("n_dates") > 0).select("order_id", "product_key", "n_dates", "last_date")
+
+
+def tag_blocks(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Tag each item with its block inside its order (0 for ordinary orders)."""
     sizes = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_m"))
     big = sizes.filter(F.col("_m") > block_size).select(
@@ -65,17 +92,21 @@ def _blocked(items: DataFrame, block_size: int) -> DataFrame:
     )
 
 
-def pair_rows(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
-              carry: list[str] | None = None) -> DataFrame:
+def pair_rows(items: DataFrame | None = None, block_size: int = DEFAULT_BLOCK_SIZE,
+              carry: list[str] | None = None, tagged: DataFrame | None = None) -> DataFrame:
     """Per-order pair rows (a, b) with a != b, each unordered pair once per order.
 
     ``items`` has order_id, product_key, n_dates, last_date and optional
     ``carry`` attribute columns. Output: order_id, source/candidate keys with
     source < candidate, cnt = n_a * n_b, last = greatest(last_a, last_b) and the
     carried attributes suffixed _s / _c.
+
+    The block-tagged items feed both sides of the self-join; a caller that
+    executes the pairs at once can pass ``tagged`` (``tag_blocks`` output,
+    persisted) so the tagging join runs once instead of once per side.
     """
     carry = carry or []
-    t = _blocked(items, block_size)
+    t = tagged if tagged is not None else tag_blocks(items, block_size)
     cols = ["product_key", "n_dates", "last_date", *carry]
     left = t.select(
         "order_id",
@@ -111,13 +142,17 @@ def pair_rows(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
 
 def aggregate_pairs(rows: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Sum counts / latest date per unordered pair (partial aggregation map-side,
-    so a pair shared by a third of all orders collapses before the shuffle)."""
+    so a pair shared by a third of all orders collapses before the shuffle).
+
+    Carried attributes depend only on the product keys, so they join the
+    grouping key: the aggregate stays a hash aggregate (string-valued buffers
+    such as any_value would force a sort-based one).
+    """
     carry = carry or []
-    extra = [F.any_value(f"{c}_{r}").alias(f"{c}_{r}") for c in carry for r in ("s", "c")]
-    return rows.groupBy("source_product_key", "candidate_product_key").agg(
+    extra = [f"{c}_{r}" for c in carry for r in ("s", "c")]
+    return rows.groupBy("source_product_key", "candidate_product_key", *extra).agg(
         F.sum("cnt").alias("co_purchase_count"),
         F.max("last").alias("last_together_date"),
-        *extra,
     )
 
 

@@ -36,7 +36,15 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round_dec
 from ..session import materialize
 from ..sources.schema import Star
-from .basket import DEFAULT_BLOCK_SIZE, aggregate_pairs, direct, order_products, pair_rows
+from .basket import (
+    DEFAULT_BLOCK_SIZE,
+    MARGIN_UNITS,
+    aggregate_pairs,
+    direct,
+    order_product_facts,
+    order_products,
+    pair_rows,
+)
 
 # Score weights and the recency time constant (days).
 WEIGHTS = {
@@ -56,58 +64,61 @@ CARRY = ["subcategory", "is_active", "product_order_count", "margin_avg"]
 
 # ------------------------------------------------------------ signals ----
 
-def _line_margin(profit: Column, net: Column) -> Column:
-    """profit / net of one line, exact to 12 decimals; 0 when net = 0."""
-    q = F.round(profit.cast("decimal(30,20)") / net, 12)
-    return F.when(net == 0, F.lit(0).cast("decimal(38,12)")).otherwise(q)
-
-
-def product_signals(star: Star) -> DataFrame:
+def product_signals(star: Star, facts: DataFrame | None = None) -> DataFrame:
     """Per product in the fact: distinct orders and the mean line margin (double).
 
-    The margin sum is exact (decimal), so the mean does not depend on partitioning.
+    Aggregates the per-(order, product) facts, so the fact is scanned once for
+    the basket and the signals together; margin sums are exact longs.
     """
-    f = star.fact
-    return f.groupBy("product_key").agg(
-        F.countDistinct("order_id").alias("product_order_count"),
-        F.sum(_line_margin(F.col("profit_amount"), F.col("net_amount"))).alias("_msum"),
-        F.count(F.lit(1)).alias("_mcnt"),
-    ).select(
-        "product_key",
-        "product_order_count",
-        (F.col("_msum").cast("double") / F.col("_mcnt")).alias("margin_avg"),
-        "_msum",
-        "_mcnt",
+    facts = facts if facts is not None else order_product_facts(star)
+    agg = facts.groupBy("product_key").agg(
+        F.count(F.lit(1)).alias("product_order_count"),
+        F.sum("margin_units").alias("_msum"),
+        F.sum("n_lines").alias("_mcnt"),
+    )
+    return agg.select(
+        "product_key", "product_order_count",
+        (F.col("_msum").cast("double") / F.col("_mcnt").cast("double") / F.lit(float(MARGIN_UNITS)))
+        .alias("margin_avg"),
+        "_msum", "_mcnt",
     )
 
 
 def candidate_popularity(star: Star) -> DataFrame:
     """Distinct orders per product."""
-    return star.fact.groupBy("product_key").agg(
-        F.countDistinct("order_id").alias("product_order_count")
-    )
+    return product_signals(star).select("product_key", "product_order_count")
 
 
 def candidate_margin(star: Star) -> DataFrame:
-    """Mean of line profit / net (0 for a zero net), rounded to 10 decimals."""
-    agg = star.fact.groupBy("product_key").agg(
-        F.sum(_line_margin(F.col("profit_amount"), F.col("net_amount"))).alias("_msum"),
-        F.count(F.lit(1)).alias("_mcnt"),
+    """Mean of line profit / net (0 for a zero net); lines in 1e-8 units, mean
+    rounded half up to 8 decimals."""
+    s = product_signals(star)
+    # Narrow before scaling: decimal(38,0) * decimal(9,8) would exceed 38 digits
+    # and Spark would cut the scale to 6.
+    units = F.round(F.col("_msum").cast("decimal(38,0)") / F.col("_mcnt"), 0).cast("decimal(20,0)")
+    return s.select(
+        "product_key",
+        (units * F.lit("0.00000001").cast("decimal(9,8)")).cast("decimal(22,8)").alias("avg_margin_ratio"),
     )
-    mean = F.col("_msum").cast("decimal(30,12)") / F.col("_mcnt")
-    return agg.select("product_key", F.round(mean, 10).cast("decimal(22,10)").alias("avg_margin_ratio"))
 
 
 # ------------------------------------------------------------- scoring ----
 
 def _items_with_attrs(star: Star) -> DataFrame:
-    """Basket items of products in the product dimension, with product attributes."""
+    """Basket items of products in the product dimension, with product attributes.
+
+    Items and signals come from the same (order, product) aggregate.
+    """
+    # Read by three consumers (basket items, popularity / margin signals, order
+    # sizes) that prune it differently, so it is written once instead of being
+    # recomputed per consumer.
+    facts = materialize(order_product_facts(star), "order_products")
     prod = star.product.select(
         "product_key", "subcategory", F.coalesce(F.col("is_active"), F.lit(False)).alias("is_active")
     )
-    attrs = prod.join(product_signals(star).select("product_key", "product_order_count", "margin_avg"),
-                      "product_key", "left")
-    return order_products(star).join(attrs, "product_key")
+    signals = product_signals(star, facts).select("product_key", "product_order_count", "margin_avg")
+    attrs = prod.join(signals, "product_key", "left")
+    return order_products(star, facts).join(attrs, "product_key")
 
 
 def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
@@ -170,10 +181,10 @@ def scored_pairs(
     glob = cands.select(F.struct(
         F.max("product_order_count_c").alias("pop"), F.max("margin_avg_c").alias("margin")
     )).scalar()
-    max_pop = glob.getField("pop")
-    max_margin = glob.getField("margin")
-
-    d = _with_parents(cands, star)
+    # Bound to a column once, so the subquery appears (and runs) once.
+    d = _with_parents(cands.withColumn("_glob", glob), star)
+    max_pop = F.col("_glob.pop")
+    max_margin = F.col("_glob.margin")
     d = d.withColumn("category_match", category_match_expr())
     d = d.withColumn("_salt", F.pmod(F.xxhash64("candidate_product_key"), F.lit(salt_buckets)).cast("int"))
 
