@@ -108,3 +108,10 @@ def dense_rank_desc(df: DataFrame, value: str, name: str,
     return df.join(ranked, df[value].eqNullSafe(ranked["_dr_v"])).select(
         *[df[c] for c in df.columns], F.col("_dr_rank").cast("int").alias(name)
     )
+
+
+def assign_keys(df: DataFrame, order: list[Column], name: str,
+                num_partitions: int | None = None) -> DataFrame:
+    """Dense surrogate keys 1..N in ``order`` (what AUTO_INCREMENT gives on
+    insert); monotonically_increasing_id is unique but not dense."""
+    return global_row_number(df, order, name, num_partitions=num_partitions)

@@ -132,6 +132,16 @@ NOT_NULL_FACT = [
     "order_id", "quantity", "gross_amount", "discount_amount", "net_amount", "cost_amount",
     "profit_amount",
 ]
+# Column defaults of the declared DDL (fixed values): (table, column) -> value.
+DEFAULTS = {
+    ("dim_date", "is_weekend"): False,
+    ("dim_date", "is_holiday"): False,
+    ("dim_customer", "gender"): "Prefer not to say",
+    ("dim_customer", "country"): "Egypt",
+    ("dim_category", "seasonal_flag"): False,
+    ("dim_product", "is_active"): True,
+    ("fact_order_line", "discount_amount"): 0,
+}
 # Domain and length rules of the declared DDL (fixed values).
 ENUM_RULES = {("dim_customer", "gender"): ["Male", "Female", "Other", "Prefer not to say"]}
 VARCHAR_LIMITS = {
@@ -186,6 +196,18 @@ class Star:
         return Star(self.date, self.customer, self.category, self.product,
                     self.payment, self.shipping, fact)
 
+    def with_defaults(self) -> "Star":
+        """Fill NULLs with the declared column defaults, for the columns present."""
+        from pyspark.sql import functions as F
+
+        frames = {}
+        for (name, df), field in zip(self.tables().items(), fields(self)):
+            fills = {c: v for (t, c), v in DEFAULTS.items() if t == name and c in df.columns}
+            for c, v in fills.items():
+                df = df.withColumn(c, F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)))
+            frames[field.name] = df
+        return Star(**frames)
+
     def register_views(self, prefix: str = "") -> None:
         for name, df in self.tables().items():
             df.createOrReplaceTempView(prefix + name)
