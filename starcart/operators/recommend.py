@@ -29,12 +29,13 @@ Plan (one large shuffle per step, none on a single partition):
 from __future__ import annotations
 
 import datetime as _dt
+import threading
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_dec
-from ..session import materialize
+from ..session import materialize, write_stage
 from ..sources.schema import Star
 from .basket import (
     DEFAULT_BLOCK_SIZE,
@@ -121,14 +122,34 @@ def _items_with_attrs(star: Star) -> DataFrame:
     return order_products(star, facts).join(attrs, "product_key")
 
 
+_MARTS: dict[tuple, str] = {}
+_MART_LOCK = threading.Lock()
+
+
+def pair_mart(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """The aggregated co-purchase pairs with carried product attributes, as parquet.
+
+    Feeds the per-source maxima, the global maxima and the ranking, so it is
+    written once to the shared checkpoint folder (this also cuts the lineage
+    back through the self-join if executors are lost). For a materialised star
+    (``star.origin``) the mart is built once per application and reused by
+    every recommendation query on that star.
+    """
+    spark = star.fact.sparkSession
+    key = (spark.sparkContext.applicationId, star.origin, block_size) if star.origin else None
+    with _MART_LOCK:
+        path = _MARTS.get(key) if key else None
+        if path is None:
+            pairs = aggregate_pairs(pair_rows(_items_with_attrs(star), block_size, CARRY), CARRY)
+            path = write_stage(pairs, "pairs")
+            if key is not None:
+                _MARTS[key] = path
+    return spark.read.parquet(path)
+
+
 def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Directed pairs whose source is a known product and candidate an active one."""
-    pairs = aggregate_pairs(pair_rows(_items_with_attrs(star), block_size, CARRY), CARRY)
-    # The aggregated pair table feeds the per-source maxima, the global maxima
-    # and the ranking: write it once to the shared checkpoint folder as parquet (this also
-    # cuts the lineage back through the self-join if executors are lost).
-    pairs = materialize(pairs, "pairs")
-    d = direct(pairs, CARRY)
+    d = direct(pair_mart(star, block_size), CARRY)
     return d.where(
         F.col("is_active_c")
         & F.col("product_order_count_c").isNotNull()

@@ -65,7 +65,7 @@ def materialize_star(star: Star, path: str) -> None:
 def read_star(spark: SparkSession, path: str) -> Star:
     """The seven tables of a materialised star (schema from the files)."""
     frames = {field: spark.read.parquet(f"{path}/{name}") for name, field in _FIELDS.items()}
-    return Star(**frames)
+    return Star(**frames, origin=path)
 
 
 def warehouse_star(spark: SparkSession, sf_dir: str) -> Star:

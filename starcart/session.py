@@ -78,7 +78,11 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     plan) and lets several consumers share one computation. Columnar and
     compressed, so re-reads prune columns; cheaper than an RDD checkpoint of rows.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/starcart-{name}-{uuid.uuid4().hex[:12]}"
+    return df.sparkSession.read.parquet(write_stage(df, name))
+
+
+def write_stage(df: DataFrame, name: str = "stage") -> str:
+    """Write ``df`` as parquet into a fresh folder of the checkpoint folder; returns the path."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/starcart-{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return path

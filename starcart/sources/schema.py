@@ -183,6 +183,9 @@ class Star:
     payment: DataFrame
     shipping: DataFrame
     fact: DataFrame
+    # Where the seven tables were read from (a materialised star), else None.
+    # Lets derived marts be built once per application for the same star.
+    origin: str | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         names = {
@@ -190,7 +193,7 @@ class Star:
             "product": "dim_product", "payment": "dim_payment", "shipping": "dim_shipping",
             "fact": "fact_order_line",
         }
-        return {names[f.name]: getattr(self, f.name) for f in fields(self)}
+        return {names[f.name]: getattr(self, f.name) for f in fields(self) if f.name in names}
 
     def with_fact(self, fact: DataFrame) -> "Star":
         return Star(self.date, self.customer, self.category, self.product,
@@ -201,7 +204,7 @@ class Star:
         from pyspark.sql import functions as F
 
         frames = {}
-        for (name, df), field in zip(self.tables().items(), fields(self)):
+        for (name, df), field in zip(self.tables().items(), [f for f in fields(self) if f.name != "origin"]):
             fills = {c: v for (t, c), v in DEFAULTS.items() if t == name and c in df.columns}
             for c, v in fills.items():
                 df = df.withColumn(c, F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)))
