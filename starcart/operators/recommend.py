@@ -60,7 +60,7 @@ RECENCY_DAYS = 90.0
 TOP_K = 4
 SALT_BUCKETS = 16
 
-CARRY = ["subcategory", "is_active", "product_order_count", "margin_avg"]
+CARRY = ["subcategory", "is_active", "in_dim", "product_order_count", "margin_avg"]
 
 
 # ------------------------------------------------------------ signals ----
@@ -106,19 +106,25 @@ def candidate_margin(star: Star) -> DataFrame:
 # ------------------------------------------------------------- scoring ----
 
 def _items_with_attrs(star: Star) -> DataFrame:
-    """Basket items of products in the product dimension, with product attributes.
+    """All basket items with product attributes and signals.
 
-    Items and signals come from the same (order, product) aggregate.
+    Items and signals come from the same (order, product) aggregate. Products
+    missing from the product dimension stay (``in_dim`` false) so the same pair
+    table also answers the plain co-purchase queries; the scoring drops them.
     """
     # Read by three consumers (basket items, popularity / margin signals, order
     # sizes) that prune it differently, so it is written once instead of being
     # recomputed per consumer.
     facts = materialize(order_product_facts(star), "order_products")
     prod = star.product.select(
-        "product_key", "subcategory", F.coalesce(F.col("is_active"), F.lit(False)).alias("is_active")
+        "product_key", "subcategory",
+        F.coalesce(F.col("is_active"), F.lit(False)).alias("is_active"),
+        F.lit(True).alias("in_dim"),
     )
     signals = product_signals(star, facts).select("product_key", "product_order_count", "margin_avg")
-    attrs = prod.join(signals, "product_key", "left")
+    attrs = signals.join(prod, "product_key", "left").withColumn(
+        "in_dim", F.coalesce(F.col("in_dim"), F.lit(False))
+    )
     return order_products(star, facts).join(attrs, "product_key")
 
 
@@ -151,12 +157,26 @@ def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> Dat
     """Directed pairs whose source is a known product and candidate an active one."""
     d = direct(pair_mart(star, block_size), CARRY)
     return d.where(
-        F.col("is_active_c")
+        F.col("in_dim_s")
+        & F.col("in_dim_c")
+        & F.col("is_active_c")
         & F.col("product_order_count_c").isNotNull()
         & F.col("margin_avg_c").isNotNull()
     )
 
 
+def copurchase_pairs(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """U18 read from the pair mart: every co-purchased pair (source < candidate)."""
+    return pair_mart(star, block_size).select(
+        "source_product_key", "candidate_product_key", "co_purchase_count", "last_together_date"
+    )
+
+
+def copurchase_directed(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """U19 read from the pair mart: every pair in both directions."""
+    return direct(copurchase_pairs(star, block_size))
+
+
 def _with_parents(d: DataFrame, star: Star) -> DataFrame:
     """LEFT JOIN the category of source and candidate subcategory (by name).
 

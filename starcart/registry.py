@@ -94,8 +94,8 @@ def queries() -> dict[str, Query]:
         "repeat_purchase_rate": _on_star(customer.repeat_purchase_rate),
         "customer_segments": _on_star(customer.customer_segments),
         "basket_items": _on_star(basket.basket_items),
-        "product_pairs": _on_star(basket.product_pairs),
-        "directed_pairs": _on_star(basket.directed_pairs),
+        "product_pairs": _on_star(recommend.copurchase_pairs),
+        "directed_pairs": _on_star(recommend.copurchase_directed),
         "candidate_popularity": _on_star(recommend.candidate_popularity),
         "candidate_margin": _on_star(recommend.candidate_margin),
         "category_match": _on_star(recommend.category_match),
