@@ -68,24 +68,23 @@ def clv_histogram(star: Star, bins: int = 20) -> DataFrame:
     """Exactly ``bins`` equal-width bins between min and max lifetime revenue.
 
     The maximum falls in the last bin; when min = max every customer is in bin 1.
-    Bounds and bin numbers use exact decimal arithmetic; the min/max is a 1-row
-    aggregate attached by a broadcast cross join.
+    Bounds and bin numbers use exact decimal arithmetic; min and max are scalar
+    subqueries (one row each), the bin counts a partial aggregate.
     """
     clv = clv_base(star).select(F.col("lifetime_revenue").alias("v"))
-    bounds = clv.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    span = F.col("hi") - F.col("lo")
+    lo = clv.select(F.min("v")).scalar()
+    hi = clv.select(F.max("v")).scalar()
+    span = hi - lo
     b = F.when(span == 0, F.lit(1)).otherwise(
-        F.least(F.floor((F.col("v") - F.col("lo")) * bins / span).cast("int") + 1, F.lit(bins))
-    )
-    counts = clv.crossJoin(F.broadcast(bounds)).groupBy(b.alias("bin")).agg(
-        F.count(F.lit(1)).alias("customer_count")
+        F.least(F.floor((F.col("v") - lo) * bins / span).cast("int") + 1, F.lit(bins))
     )
+    counts = clv.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("customer_count"))
     grid = clv.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    grid = grid.crossJoin(F.broadcast(bounds))
+    # ``bins`` rows on either side: the broadcast is bounded by the parameter.
     return grid.join(F.broadcast(counts), "bin", "left").select(
         "bin",
-        round_dec(F.col("lo") + span * (F.col("bin") - 1) / bins).alias("bin_lo"),
-        round_dec(F.col("lo") + span * F.col("bin") / bins).alias("bin_hi"),
+        round_dec(lo + span * (F.col("bin") - 1) / bins).alias("bin_lo"),
+        round_dec(lo + span * F.col("bin") / bins).alias("bin_hi"),
         F.coalesce(F.col("customer_count"), F.lit(0)).alias("customer_count"),
     )
 
