@@ -177,7 +177,14 @@ def copurchase_directed(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> Dat
     return direct(copurchase_pairs(star, block_size))
 
 
-def _with_parents(d: DataFrame, star: Star) -> DataFrame:
+def _text(c: Column, collation: str | None) -> Column:
+    """Text for comparison: binary by default, or under a collation such as
+    UNICODE_CI_AI (case- and accent-insensitive, like the warehouse's
+    utf8mb4_unicode_ci)."""
+    return F.collate(c, collation) if collation else c
+
+
+def _with_parents(d: DataFrame, star: Star, collation: str | None = None) -> DataFrame:
     """LEFT JOIN the category of source and candidate subcategory (by name).
 
     The category dimension is a short fixed list, so it is broadcast; duplicate
@@ -186,16 +193,20 @@ def _with_parents(d: DataFrame, star: Star) -> DataFrame:
     cat = star.category.select("category_name", "parent_category")
     sc = cat.select(F.col("category_name").alias("_sn"), F.col("parent_category").alias("parent_s"))
     cc = cat.select(F.col("category_name").alias("_cn"), F.col("parent_category").alias("parent_c"))
-    d = d.join(F.broadcast(sc), d["subcategory_s"] == sc["_sn"], "left").drop("_sn")
-    return d.join(F.broadcast(cc), d["subcategory_c"] == cc["_cn"], "left").drop("_cn")
+    d = d.join(F.broadcast(sc), _text(d["subcategory_s"], collation) == _text(sc["_sn"], collation),
+               "left").drop("_sn")
+    return d.join(F.broadcast(cc), _text(d["subcategory_c"], collation) == _text(cc["_cn"], collation),
+                  "left").drop("_cn")
 
 
-def category_match_expr() -> Column:
+def category_match_expr(collation: str | None = None) -> Column:
     s, c = F.col("subcategory_s"), F.col("subcategory_c")
     ps, pc = F.col("parent_s"), F.col("parent_c")
+    same_sub = _text(F.coalesce(s, F.lit("")), collation) == _text(F.coalesce(c, F.lit("")), collation)
+    same_parent = _text(ps, collation) == _text(pc, collation)
     return (
-        F.when((F.coalesce(s, F.lit("")) == F.coalesce(c, F.lit(""))) & s.isNotNull(), F.lit(1.0))
-        .when((ps == pc) & ps.isNotNull(), F.lit(0.5))
+        F.when(same_sub & s.isNotNull(), F.lit(1.0))
+        .when(same_parent & ps.isNotNull(), F.lit(0.5))
         .otherwise(F.lit(0.0))
     )
 
@@ -207,6 +218,7 @@ def scored_pairs(
     block_size: int = DEFAULT_BLOCK_SIZE,
     salt_buckets: int = SALT_BUCKETS,
     weights: dict[str, float] | None = None,
+    collation: str | None = None,
 ) -> DataFrame:
     """Every scored directed pair (U22-U26), with the raw double score ``_score``.
 
@@ -214,6 +226,8 @@ def scored_pairs(
     recency ratio then equals exp(-(newest - last) / 90) and needs no clock.
     zero="floor": the embedded copy's guards (max(x, 1), max(x, 0.001)) and a
     clock ``as_of`` for the recency decay.
+    collation: compare subcategory / category text under a collation
+    (e.g. "UNICODE_CI_AI"); default binary.
     """
     w = {**WEIGHTS, **(weights or {})}
     cands = directed_candidates(star, block_size)
@@ -223,10 +237,10 @@ def scored_pairs(
         F.max("product_order_count_c").alias("pop"), F.max("margin_avg_c").alias("margin")
     )).scalar()
     # Bound to a column once, so the subquery appears (and runs) once.
-    d = _with_parents(cands.withColumn("_glob", glob), star)
+    d = _with_parents(cands.withColumn("_glob", glob), star, collation)
     max_pop = F.col("_glob.pop")
     max_margin = F.col("_glob.margin")
-    d = d.withColumn("category_match", category_match_expr())
+    d = d.withColumn("category_match", category_match_expr(collation))
     d = d.withColumn("_salt", F.pmod(F.xxhash64("candidate_product_key"), F.lit(salt_buckets)).cast("int"))
 
     # Per-source maxima: partial aggregate, then one copy per salt so that the

@@ -99,3 +99,16 @@ def test_one_line_order_and_same_day_duplicates(spark):
 
 def test_micro_lines_unchanged():
     assert len(LINES) == 9
+
+
+def test_case_insensitive_collation(spark):
+    products = [(1, "phones", True), (2, "PHONES", True), (3, "Tablets", True)]
+    lines = [line("2025-01-01", 1, 1, "A", 10, 5), line("2025-01-01", 1, 2, "A", 10, 5),
+             line("2025-01-01", 1, 3, "A", 10, 5)]
+    star = micro_star(spark, lines=lines, products=products)
+    binary = {(r.source_product_key, r.candidate_product_key): r.category_match
+              for r in recommend.category_match(star).collect()}
+    ci = {(r.source_product_key, r.candidate_product_key): r.category_match
+          for r in recommend.category_match(star, collation="UNICODE_CI_AI").collect()}
+    assert binary[(1, 2)] == D("0.0") and ci[(1, 2)] == D("1.0")
+    assert binary[(1, 3)] == D("0.0") and ci[(1, 3)] == D("0.5")  # phones ~ Phones -> Mobile = Tablets' parent
