@@ -27,12 +27,6 @@ _PID = "_rk_pid"
 _LOCAL = "_rk_local"
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def global_row_number(
     df: DataFrame,
     order: list[Column],
@@ -44,9 +38,11 @@ def global_row_number(
 
     If ``total`` is given, the row count N is appended under that name too.
     """
-    n = _partitions(df, num_partitions)
+    # Without an explicit count AQE may coalesce adjacent ranges (to its
+    # advisory size), which keeps the order: partition ids stay increasing.
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
     ranged = (
-        df.repartitionByRange(n, *order)
+        ranged
         .sortWithinPartitions(*order)
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(
