@@ -18,10 +18,10 @@ Plan (one large shuffle per step, none on a single partition):
     pair table is never re-joined to products;
   * pairs come from the blocked self-join in ``basket`` (huge baskets split);
   * per-source maxima are a partial aggregate (a hot source collapses
-    map-side) and are replicated over ``salt_buckets`` salts, so the scored
-    rows shuffle once, on (source, salt), for both the join and the first
-    ranking window; a source holding a third of all pairs is spread over all
-    salts; the second ranking sees at most 4 * salt_buckets rows per source;
+    map-side); hot sources (bounded in number) are split over salts and their
+    maxima copied per salt, so the scored rows shuffle once, on
+    (source, salt), for both the join and the first ranking window; the
+    second ranking sees at most 4 rows per salt of a source;
   * the global maxima are one scalar subquery over the materialised pairs;
   * names are attached after the <= 4 filter.
 """
@@ -58,7 +58,8 @@ WEIGHTS = {
 }
 RECENCY_DAYS = 90.0
 TOP_K = 4
-SALT_BUCKETS = 16
+SALT_BUDGET = 4096  # most salts over all hot sources
+MIN_HOT_ROWS = 100_000  # a source below this many scored rows is never split
 
 CARRY = ["subcategory", "is_active", "in_dim", "product_order_count", "margin_avg"]
 
@@ -216,7 +217,8 @@ def scored_pairs(
     zero: str = "null",
     as_of: _dt.date | None = None,
     block_size: int = DEFAULT_BLOCK_SIZE,
-    salt_buckets: int = SALT_BUCKETS,
+    salt_budget: int = SALT_BUDGET,
+    min_hot_rows: int = MIN_HOT_ROWS,
     weights: dict[str, float] | None = None,
     collation: str | None = None,
 ) -> DataFrame:
@@ -228,6 +230,9 @@ def scored_pairs(
     clock ``as_of`` for the recency decay.
     collation: compare subcategory / category text under a collation
     (e.g. "UNICODE_CI_AI"); default binary.
+    salt_budget / min_hot_rows: a source is hot when it owns more than
+    max(N / salt_budget, min_hot_rows) of the N scored rows; it is then split
+    into that many salts (see ``_salt_hot_sources``).
     """
     w = {**WEIGHTS, **(weights or {})}
     cands = directed_candidates(star, block_size)
@@ -241,15 +246,9 @@ def scored_pairs(
     max_pop = F.col("_glob.pop")
     max_margin = F.col("_glob.margin")
     d = d.withColumn("category_match", category_match_expr(collation))
-    d = d.withColumn("_salt", F.pmod(F.xxhash64("candidate_product_key"), F.lit(salt_buckets)).cast("int"))
-
-    # Per-source maxima: partial aggregate, then one copy per salt so that the
-    # join and the first ranking window share the (source, salt) partitioning.
-    maxima = d.groupBy("source_product_key").agg(
-        F.max("co_purchase_count").alias("_max_cnt"),
-        F.max("last_together_date").alias("_max_last"),
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    d = d.join(maxima, ["source_product_key", "_salt"])
+    # Statistics come from the candidates before the category joins: the
+    # fan-out cannot change a maximum, and the row count only steers salting.
+    d = _salt_hot_sources(d, cands, salt_budget, min_hot_rows)
 
 
     cnt = F.col("co_purchase_count").cast("double")
@@ -319,13 +318,45 @@ def category_match(star: Star, **kw) -> DataFrame:
     )
 
 
+def _salt_hot_sources(d: DataFrame, base: DataFrame, budget: int, min_rows: int) -> DataFrame:
+    """Attach the per-source maxima, splitting hot sources over several salts.
+
+    Per-source statistics (max count, newest date, row count) are a partial
+    aggregate. With N scored rows and unit = max(N / budget, min_rows), a
+    source owning n > unit rows gets ceil(n / unit) salts, every other source
+    one. Fewer than ``budget`` sources can exceed N / budget, so the hot list
+    has a proven bound and is broadcast; rows take their salt from a hash of
+    the candidate. The maxima are copied once per salt of their source (at most
+    #sources + budget rows), so rows and maxima meet in one shuffle on
+    (source, salt), which the first ranking window reuses. A source holding a
+    third of all pairs is thus spread over about budget / 3 tasks.
+    """
+    stats = base.groupBy("source_product_key").agg(
+        F.max("co_purchase_count").alias("_max_cnt"),
+        F.max("last_together_date").alias("_max_last"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    total = stats.select(F.sum("_n")).scalar()
+    unit = F.greatest(F.ceil(total / F.lit(budget)), F.lit(min_rows))
+    stats = stats.withColumn("_ns", F.greatest(F.ceil(F.col("_n") / unit), F.lit(1)).cast("int"))
+    hot = stats.where(F.col("_ns") > 1).select("source_product_key", "_ns")
+    rows = d.join(F.broadcast(hot), "source_product_key", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("candidate_product_key"), F.coalesce(F.col("_ns"), F.lit(1))).cast("int")
+    ).drop("_ns")
+    maxima = stats.select(
+        "source_product_key", "_max_cnt", "_max_last",
+        F.explode(F.sequence(F.lit(0), F.col("_ns") - 1)).alias("_salt"),
+    )
+    return rows.join(maxima, ["source_product_key", "_salt"])
+
+
 def _rank_top_k(scored: DataFrame, k: int) -> DataFrame:
     order = [F.col("_score").desc(), F.col("candidate_product_key").asc()]
     # Stage 1 on (source, salt): the partitioning the maxima join already has.
     first = scored.withColumn(
         "_rn1", F.row_number().over(Window.partitionBy("source_product_key", "_salt").orderBy(*order))
     ).where(F.col("_rn1") <= k)
-    # Stage 2 on source: at most k * salt_buckets rows per source.
+    # Stage 2 on source: at most k rows per salt of the source.
     return first.withColumn(
         "recommendation_rank",
         F.row_number().over(Window.partitionBy("source_product_key").orderBy(*order)),

@@ -119,12 +119,14 @@ def brute_top4(lines, products, categories):
     return out
 
 
-@pytest.mark.parametrize("salts", [1, 16, 64])
-def test_top4_matches_brute_force(star, salts):
+@pytest.mark.parametrize("min_hot_rows", [1, 10, 100_000])
+def test_top4_matches_brute_force(star, min_hot_rows):
     from micro import CATEGORIES
 
     expected = brute_top4(fixture_lines(), PRODUCTS, CATEGORIES)
-    rows = recommend.recommendation_top4(star, block_size=7, salt_buckets=salts).collect()
+    # min_hot_rows=1 / 10 split the hot source 150 (149 candidates) over many salts.
+    rows = recommend.recommendation_top4(star, block_size=7, salt_budget=64,
+                                         min_hot_rows=min_hot_rows).collect()
     got = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.source_product_key, r.recommendation_rank)):
         got[r.source_product_key].append(r.candidate_product_key)
