@@ -76,6 +76,6 @@ def warehouse_star(spark: SparkSession, sf_dir: str) -> Star:
         if path is None:
             base = checkpoint_dir(spark).rstrip("/")
             path = f"{base}/starcart-warehouse-{_input_fingerprint(sf_dir)}"
-            materialize_star(driver_star(spark, sf_dir), path)
+            materialize_star(driver_star(spark, sf_dir, spread=True), path)
             _BUILT[key] = path
     return read_star(spark, path)

@@ -30,8 +30,17 @@ DRIVER_CATEGORIES = [
 ]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One driver table. ``spread``: an input that arrives in fewer splits than
+    the session's parallelism (one unsplittable row group, say) is spread
+    round-robin first, so the join and the decimal arithmetic after it run on
+    all cores. A large input has many splits and is left alone."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        parallelism = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < parallelism:
+            df = df.repartition(parallelism)
+    return df
 
 
 def _padded(prefix: str, key: Column, width: int) -> Column:
@@ -151,8 +160,9 @@ def fact_order_line(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def driver_star(spark: SparkSession, sf_dir: str) -> Star:
-    t = {name: read_table(spark, sf_dir, name) for name in DRIVER_TABLES}
+def driver_star(spark: SparkSession, sf_dir: str, spread: bool = False) -> Star:
+    big = {"lineitem"}  # the fact side; orders is joined (broadcast when small)
+    t = {name: read_table(spark, sf_dir, name, spread and name in big) for name in DRIVER_TABLES}
     return Star(
         date=dim_date(t["lineitem"]),
         customer=dim_customer(t["customer"], t["nation"], t["region"]),
