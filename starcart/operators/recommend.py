@@ -23,6 +23,7 @@ Plan (one large shuffle per step, none on a single partition):
     (source, salt), for both the join and the first ranking window; the
     second ranking sees at most 4 rows per salt of a source;
   * the global maxima are one scalar subquery over the materialised pairs;
+    the row bound for hot sources comes from the mart's parquet metadata;
   * names are attached after the <= 4 filter.
 """
 
@@ -154,9 +155,10 @@ def pair_mart(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE,
+                        mart: DataFrame | None = None) -> DataFrame:
     """Directed pairs whose source is a known product and candidate an active one."""
-    d = direct(pair_mart(star, block_size), CARRY)
+    d = direct(mart if mart is not None else pair_mart(star, block_size), CARRY)
     return d.where(
         F.col("in_dim_s")
         & F.col("in_dim_c")
@@ -235,7 +237,10 @@ def scored_pairs(
     into that many salts (see ``_salt_hot_sources``).
     """
     w = {**WEIGHTS, **(weights or {})}
-    cands = directed_candidates(star, block_size)
+    mart = pair_mart(star, block_size)
+    cands = directed_candidates(star, block_size, mart)
+    # Twice the mart's pair count bounds the scored rows (parquet metadata, no job).
+    rows_bound = 2 * mart.count()
     # Global maxima over the scored rows, as one scalar subquery: a pass over
     # the materialised pairs (the category fan-out cannot change a maximum).
     glob = cands.select(F.struct(
@@ -248,7 +253,7 @@ def scored_pairs(
     d = d.withColumn("category_match", category_match_expr(collation))
     # Statistics come from the candidates before the category joins: the
     # fan-out cannot change a maximum, and the row count only steers salting.
-    d = _salt_hot_sources(d, cands, salt_budget, min_hot_rows)
+    d = _salt_hot_sources(d, cands, rows_bound, salt_budget, min_hot_rows)
 
 
     cnt = F.col("co_purchase_count").cast("double")
@@ -318,14 +323,16 @@ def category_match(star: Star, **kw) -> DataFrame:
     )
 
 
-def _salt_hot_sources(d: DataFrame, base: DataFrame, budget: int, min_rows: int) -> DataFrame:
+def _salt_hot_sources(d: DataFrame, base: DataFrame, rows_bound: int, budget: int,
+                      min_rows: int) -> DataFrame:
     """Attach the per-source maxima, splitting hot sources over several salts.
 
     Per-source statistics (max count, newest date, row count) are a partial
-    aggregate. With N scored rows and unit = max(N / budget, min_rows), a
-    source owning n > unit rows gets ceil(n / unit) salts, every other source
-    one. Fewer than ``budget`` sources can exceed N / budget, so the hot list
-    has a proven bound and is broadcast; rows take their salt from a hash of
+    aggregate. With N <= rows_bound scored rows and
+    unit = max(rows_bound / budget, min_rows), a source owning n > unit rows
+    gets ceil(n / unit) salts, every other source one. Fewer than ``budget``
+    sources can exceed rows_bound / budget, so the hot list has a proven bound
+    and is broadcast; rows take their salt from a hash of
     the candidate. The maxima are copied once per salt of their source (at most
     #sources + budget rows), so rows and maxima meet in one shuffle on
     (source, salt), which the first ranking window reuses. A source holding a
@@ -336,9 +343,8 @@ def _salt_hot_sources(d: DataFrame, base: DataFrame, budget: int, min_rows: int)
         F.max("last_together_date").alias("_max_last"),
         F.count(F.lit(1)).alias("_n"),
     )
-    total = stats.select(F.sum("_n")).scalar()
-    unit = F.greatest(F.ceil(total / F.lit(budget)), F.lit(min_rows))
-    stats = stats.withColumn("_ns", F.greatest(F.ceil(F.col("_n") / unit), F.lit(1)).cast("int"))
+    unit = max(-(-rows_bound // budget), min_rows)
+    stats = stats.withColumn("_ns", F.greatest(F.ceil(F.col("_n") / F.lit(unit)), F.lit(1)).cast("int"))
     hot = stats.where(F.col("_ns") > 1).select("source_product_key", "_ns")
     rows = d.join(F.broadcast(hot), "source_product_key", "left").withColumn(
         "_salt", F.pmod(F.xxhash64("candidate_product_key"), F.coalesce(F.col("_ns"), F.lit(1))).cast("int")
