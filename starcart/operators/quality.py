@@ -144,11 +144,11 @@ def dq_constraints(star: Star) -> DataFrame:
                 cond = F.length(F.col(c)) > F.lit(limit)
             row_rules.setdefault(table, []).append((name, cond))
     for table, checks in row_rules.items():
+        # One pass per table; the single result row is unpivoted with stack, so
+        # the aggregate is not recomputed once per check.
         agg = tables[table].agg(*[F.count_if(cond).alias(f"c{i}") for i, (_, cond) in enumerate(checks)])
-        frames.extend(
-            agg.select(F.lit(name).alias("check_name"), F.col(f"c{i}").alias("issue_count"))
-            for i, (name, _) in enumerate(checks)
-        )
+        pairs = ", ".join(f"'{name}', c{i}" for i, (name, _) in enumerate(checks))
+        frames.append(agg.select(F.expr(f"stack({len(checks)}, {pairs}) as (check_name, issue_count)")))
     return _union(frames)
 
 
