@@ -3,6 +3,7 @@
     BENCH_SF_DIR  parquet folder (default /root/testdata/sf0.1)
     BENCH_CPUS    local cores (default 8)
     BENCH_QUERIES comma-separated subset of query names (optional)
+    BENCH_SHUFFLE_PARTITIONS  spark.sql.shuffle.partitions (default: one per core; AQE coalesces)
 
 Every query is executed in full with the ``noop`` sink (no collect to the
 driver), twice: ``cold`` is the first run in the process (includes code
@@ -50,7 +51,8 @@ def main() -> None:
     from starcart.registry import queries
     from starcart.session import local_session
 
-    spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * cpus), app="starcart-bench")
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
+    spark = local_session(cores=cpus, shuffle_partitions=partitions, app="starcart-bench")
     qs = queries()
 
     # Warm the JVM and the parquet footer cache once so the first query is not
