@@ -41,6 +41,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+# Suggested settings for a large cluster (100 TB of line items): many shuffle
+# partitions that AQE coalesces to the advisory size, skew splitting on, and
+# input splits that keep a task's input near the advisory size.
+CLUSTER_SUGGESTIONS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
+def scale_configs(spark: SparkSession) -> dict[str, str]:
+    """Apply ``CLUSTER_SUGGESTIONS`` for keys the cluster has not set; returns what was set."""
+    applied = {}
+    for key, value in CLUSTER_SUGGESTIONS.items():
+        if spark.conf.get(key, None) in (None, ""):
+            spark.conf.set(key, value)
+            applied[key] = value
+    return applied
+
+
 def apply_defaults(spark: SparkSession) -> None:
     for key, value in SCALE_DEFAULTS.items():
         if spark.conf.get(key, None) in (None, ""):
