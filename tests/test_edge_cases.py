@@ -112,3 +112,19 @@ def test_case_insensitive_collation(spark):
           for r in recommend.category_match(star, collation="UNICODE_CI_AI").collect()}
     assert binary[(1, 2)] == D("0.0") and ci[(1, 2)] == D("1.0")
     assert binary[(1, 3)] == D("0.0") and ci[(1, 3)] == D("0.5")  # phones ~ Phones -> Mobile = Tablets' parent
+
+
+def test_floor_mode_on_zero_revenue(spark):
+    star = micro_star(spark, lines=[line("2025-01-05", 1, 1, "A", 0, 0), line("2025-02-05", 1, 1, "B", 50, 10)])
+    m = {r.ym_label: r for r in kpi.monthly_kpis(star, zero="floor").collect()}
+    assert m["2025-01"].profit_margin_pct == D("0.00")  # 0 / max(0, 0.01): no NULL, no error
+    assert m["2025-01"].aov == D("0.00")
+
+
+def test_default_recency_ignores_the_clock(spark):
+    import datetime as dt
+
+    star = micro_star(spark)
+    a = sorted(map(tuple, recommend.recommendation_scores(star, as_of=dt.date(2025, 5, 1)).collect()))
+    b = sorted(map(tuple, recommend.recommendation_scores(star, as_of=dt.date(2030, 1, 1)).collect()))
+    assert a == b == sorted(map(tuple, recommend.recommendation_scores(star).collect()))
