@@ -77,13 +77,32 @@ def order_products(star: Star, facts: DataFrame | None = None) -> DataFrame:
     return facts.where(F.col("n_dates") > 0).select("order_id", "product_key", "n_dates", "last_date")
 
 
-def tag_blocks(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
-    """Tag each item with its block inside its order (0 for ordinary orders)."""
-    sizes = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_m"))
+BIG_ORDER_BROADCAST_LIMIT = 1_000_000  # rows of the big-order list we broadcast
+
+
+def tag_blocks(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
+               sizes_from: DataFrame | None = None) -> DataFrame:
+    """Tag each item with its block inside its order (0 for ordinary orders).
+
+    Orders with more than ``block_size`` distinct products get
+    ceil(m / block_size) hash blocks. Lazy by default: the join with the
+    big-order list is left to AQE, which broadcasts it at run time when it is
+    small. With ``sizes_from`` (a materialised items table) the list is
+    counted first -- one small job -- and the join is skipped when no order is
+    big, broadcast when the list has at most BIG_ORDER_BROADCAST_LIMIT rows,
+    and a shuffle join beyond that.
+    """
+    source = sizes_from if sizes_from is not None else items
+    sizes = source.groupBy("order_id").agg(F.count(F.lit(1)).alias("_m"))
     big = sizes.filter(F.col("_m") > block_size).select(
         "order_id", F.ceil(F.col("_m") / F.lit(block_size)).cast("int").alias("_nb")
     )
-    # Usually empty or tiny: AQE turns this into a broadcast join at run time.
+    if sizes_from is not None:
+        n_big = big.count()
+        if n_big == 0:
+            return items.withColumn("_nb", F.lit(1)).withColumn("_blk", F.lit(0))
+        if n_big <= BIG_ORDER_BROADCAST_LIMIT:
+            big = F.broadcast(big)
     tagged = items.join(big, "order_id", "left").withColumn(
         "_nb", F.coalesce(F.col("_nb"), F.lit(1))
     )

@@ -46,6 +46,7 @@ from .basket import (
     order_product_facts,
     order_products,
     pair_rows,
+    tag_blocks,
 )
 
 # Score weights and the recency time constant (days).
@@ -107,16 +108,17 @@ def candidate_margin(star: Star) -> DataFrame:
 
 # ------------------------------------------------------------- scoring ----
 
-def _items_with_attrs(star: Star) -> DataFrame:
-    """All basket items with product attributes and signals.
+def _items_with_attrs(star: Star) -> tuple[DataFrame, DataFrame]:
+    """All basket items with product attributes and signals, and the plain
+    (order, product) items read from the written aggregate.
 
     Items and signals come from the same (order, product) aggregate. Products
     missing from the product dimension stay (``in_dim`` false) so the same pair
     table also answers the plain co-purchase queries; the scoring drops them.
     """
-    # Read by three consumers (basket items, popularity / margin signals, order
-    # sizes) that prune it differently, so it is written once instead of being
-    # recomputed per consumer.
+    # Read by several consumers (basket items, popularity / margin signals,
+    # order sizes) that prune it differently, so it is written once instead of
+    # being recomputed per consumer.
     facts = materialize(order_product_facts(star), "order_products")
     prod = star.product.select(
         "product_key", "subcategory",
@@ -127,7 +129,8 @@ def _items_with_attrs(star: Star) -> DataFrame:
     attrs = signals.join(prod, "product_key", "left").withColumn(
         "in_dim", F.coalesce(F.col("in_dim"), F.lit(False))
     )
-    return order_products(star, facts).join(attrs, "product_key")
+    items = order_products(star, facts)
+    return items.join(attrs, "product_key"), items
 
 
 _MARTS: dict[tuple, str] = {}
@@ -148,7 +151,11 @@ def pair_mart(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     with _MART_LOCK:
         path = _MARTS.get(key) if key else None
         if path is None:
-            pairs = aggregate_pairs(pair_rows(_items_with_attrs(star), block_size, CARRY), CARRY)
+            items, plain = _items_with_attrs(star)
+            # Every item's product has signals, so the attribute join keeps all
+            # items: order sizes can be counted on the written aggregate.
+            tagged = tag_blocks(items, block_size, sizes_from=plain)
+            pairs = aggregate_pairs(pair_rows(carry=CARRY, tagged=tagged), CARRY)
             path = write_stage(pairs, "pairs")
             if key is not None:
                 _MARTS[key] = path
