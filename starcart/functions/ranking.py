@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 _PID = "_rk_pid"
+BROADCAST_ROWS = 2_000_000  # most ranked values joined back by broadcast
 _LOCAL = "_rk_local"
 
 
@@ -101,6 +102,10 @@ def dense_rank_desc(df: DataFrame, value: str, name: str,
     values = df.select(F.col(value).alias("_dr_v")).distinct()
     ranked = global_row_number(values, [F.col("_dr_v").desc_nulls_last()], "_dr_rank",
                                num_partitions=num_partitions)
+    # The ranked values are a written table: counting them reads metadata only.
+    # Broadcast them when that count is small, else a shuffle join.
+    if ranked.count() <= BROADCAST_ROWS:
+        ranked = F.broadcast(ranked)
     return df.join(ranked, df[value].eqNullSafe(ranked["_dr_v"])).select(
         *[df[c] for c in df.columns], F.col("_dr_rank").cast("int").alias(name)
     )

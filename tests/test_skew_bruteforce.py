@@ -133,3 +133,26 @@ def test_top4_matches_brute_force(star, min_hot_rows):
     assert dict(got) == expected
     # The hot source owns 4 recommendations like everyone else.
     assert len(got[150]) == 4
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_big_order_join_paths(spark, star, limit, monkeypatch):
+    """Big orders found: broadcast (limit large) or shuffle join (limit 0)."""
+    from starcart.sources.schema import Star
+
+    monkeypatch.setattr(basket, "BIG_ORDER_BROADCAST_LIMIT", limit)
+    plain = Star(star.date, star.customer, star.category, star.product, star.payment,
+                 star.shipping, star.fact)
+    got = {(r.source_product_key, r.candidate_product_key): (r.co_purchase_count, r.last_together_date)
+           for r in recommend.copurchase_pairs(plain, block_size=7).collect()}
+    assert got == brute_pairs(fixture_lines())
+
+
+def test_no_big_orders_skips_the_join(spark, star):
+    items = basket.order_products(star)
+    tagged = basket.tag_blocks(items, block_size=10_000, sizes_from=items)
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert joins(tagged) == joins(items)  # tagging added no join
+    assert {r._blk for r in tagged.select("_blk").distinct().collect()} == {0}
