@@ -16,6 +16,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from micro import micro_star
 from starcart.operators import basket, recommend
@@ -124,8 +125,9 @@ def test_top4_matches_brute_force(star, min_hot_rows):
     from micro import CATEGORIES
 
     expected = brute_top4(fixture_lines(), PRODUCTS, CATEGORIES)
-    # min_hot_rows=1 / 10 split the hot source 150 (149 candidates) over many salts.
-    rows = recommend.recommendation_top4(star, block_size=7, salt_budget=64,
+    # A large budget makes the unit min_hot_rows: with 1 or 10 the hot source 150
+    # (149 candidates) and the giant-basket products are split over many salts.
+    rows = recommend.recommendation_top4(star, block_size=7, salt_budget=100_000,
                                          min_hot_rows=min_hot_rows).collect()
     got = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.source_product_key, r.recommendation_rank)):
@@ -156,3 +158,14 @@ def test_no_big_orders_skips_the_join(spark, star):
 
     assert joins(tagged) == joins(items)  # tagging added no join
     assert {r._blk for r in tagged.select("_blk").distinct().collect()} == {0}
+
+
+def test_hot_source_is_split_and_others_are_not(star):
+    s = recommend.scored_pairs(star, block_size=7, salt_budget=100_000, min_hot_rows=50)
+    salts = {r.source_product_key: r.n for r in
+             s.groupBy("source_product_key").agg(F.countDistinct("_salt").alias("n")).collect()}
+    assert salts[150] == 3  # 149 candidates over units of 50 rows
+    assert {v for k, v in salts.items() if 120 < k < 150} == {1}  # small sources keep one salt
+    # With the default budget nothing in this small fixture is hot.
+    d = recommend.scored_pairs(star, block_size=7)
+    assert d.agg(F.max("_salt")).first()[0] == 0
