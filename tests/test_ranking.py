@@ -23,7 +23,7 @@ def collect(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-@pytest.mark.parametrize("parts", [1, 4, 13])
+@pytest.mark.parametrize("parts", [None, 1, 4, 13])
 def test_row_number(data, parts):
     order = [F.col("v").desc(), F.col("k").asc()]
     ours = global_row_number(data, order, "rn", "n", num_partitions=parts)
