@@ -75,11 +75,15 @@ def main() -> None:
     pair_mart(star)
     times["pair_mart_build"] = round(time.perf_counter() - t0, 3)
     cold: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in names:
-        for run in range(2):
-            t0 = time.perf_counter()
-            qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            (cold if run == 0 else times)[name] = round(time.perf_counter() - t0, 3)
+        try:
+            for run in range(2):
+                t0 = time.perf_counter()
+                qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                (cold if run == 0 else times)[name] = round(time.perf_counter() - t0, 3)
+        except Exception as exc:  # keep the one-line report even if a query fails
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     build = times["warehouse_build"] + times["pair_mart_build"]
@@ -92,6 +96,7 @@ def main() -> None:
         "cold_total": round(build + sum(cold.values()), 3),
         "sf": float(m.group(1)) if m else None,
         "cpus": cpus,
+        **({"errors": errors} if errors else {}),
     }))
     spark.stop()
 
