@@ -133,14 +133,17 @@ def monthly_report(star: Star) -> DataFrame:
 def overview_kpis(star: Star, zero: str = "null") -> DataFrame:
     """U16: one row of whole-dataset totals (units rounded to a whole number)."""
     f = star.fact
-    # Distinct counts as scalar subqueries, each its own dedup (see monthly_kpis).
-    orders = f.select(F.countDistinct("order_id")).scalar()
-    buyers = f.select(F.countDistinct("customer_key")).scalar()
+    # Distinct counts as scalar subqueries, each its own dedup (see
+    # monthly_kpis); as separate distinct + count plans they are not merged
+    # back into one double-distinct aggregate.
+    orders = distinct_count(f, "order_id", "n").select("n").scalar()
+    buyers = distinct_count(f, "customer_key", "n").select("n").scalar()
     agg = f.agg(
         F.sum("net_amount").alias("_net"),
         F.sum("profit_amount").alias("_profit"),
         F.sum("quantity").alias("_qty"),
-    ).select("*", orders.alias("total_orders"), buyers.alias("total_customers"))
+    ).select("*", F.coalesce(orders, F.lit(0)).alias("total_orders"),
+             F.coalesce(buyers, F.lit(0)).alias("total_customers"))
     return agg.select(
         F.col("_net").cast(MONEY_SUM).alias("total_revenue"),
         F.col("_profit").cast(MONEY_SUM).alias("total_profit"),
