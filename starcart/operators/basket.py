@@ -12,7 +12,9 @@ the self-join sees distinct products, not lines. The self-join keys on
 products is split into hash blocks and every block pair becomes its own join
 key, so one huge basket is spread over many tasks (each at most block_size^2
 pairs) instead of enumerating all of its pairs in one task. Ordinary orders
-have one block and no replication.
+have one block and no replication. The list of big orders is joined by AQE's
+runtime choice, or -- when the caller counts it first -- skipped when empty,
+broadcast when small, shuffle-joined beyond that.
 """
 
 from __future__ import annotations
@@ -120,9 +122,8 @@ def pair_rows(items: DataFrame | None = None, block_size: int = DEFAULT_BLOCK_SI
     source < candidate, cnt = n_a * n_b, last = greatest(last_a, last_b) and the
     carried attributes suffixed _s / _c.
 
-    The block-tagged items feed both sides of the self-join; a caller that
-    executes the pairs at once can pass ``tagged`` (``tag_blocks`` output,
-    persisted) so the tagging join runs once instead of once per side.
+    ``tagged`` lets a caller pass its own ``tag_blocks`` output, e.g. one whose
+    big-order list was counted first (no join at all when no order is big).
     """
     carry = carry or []
     t = tagged if tagged is not None else tag_blocks(items, block_size)
