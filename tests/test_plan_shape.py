@@ -73,3 +73,10 @@ def test_serving_read_pushes_the_key_filter(spark, star):
     B.write_recommendations(recommend.recommendation_top4(star), path, files=4)
     p = plan(B.serve_recommendations(spark, path, 5))
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(source_product_key,5\)", p), p
+
+
+def test_product_detail_pushes_the_key_filter(star):
+    from starcart.operators import product as P
+
+    p = plan(P.product_detail(star, 5))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(product_key,5\)", p), p
