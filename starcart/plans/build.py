@@ -47,9 +47,15 @@ def quality_gate(star: Star) -> None:
 
 
 def write_recommendations(recs: DataFrame, path: str, files: int | None = None) -> None:
-    n = files or int(recs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (recs.repartitionByRange(n, "source_product_key")
-     .sortWithinPartitions("source_product_key", "recommendation_rank")
+    """Range-partition by source and sort, so each file holds a narrow key range.
+
+    Without ``files`` AQE sizes the ranges (adjacent ranges are coalesced to
+    its advisory size), so a large shuffle-partition setting does not turn
+    into thousands of tiny files.
+    """
+    ranged = (recs.repartitionByRange(files, "source_product_key") if files
+              else recs.repartitionByRange("source_product_key"))
+    (ranged.sortWithinPartitions("source_product_key", "recommendation_rank")
      .write.mode("overwrite").parquet(path))
 
 
