@@ -89,3 +89,12 @@ def test_duplicated_fact_doubles_revenue_not_pairs(spark):
     p1 = sorted(map(tuple, basket.product_pairs(base).collect()))
     p2 = sorted(map(tuple, basket.product_pairs(dup).collect()))
     assert p1 == p2
+
+
+def test_clv_histogram_invariants(star):
+    bins = customer.clv_histogram(star).orderBy("bin").collect()
+    assert [b.bin for b in bins] == list(range(1, 21))
+    assert sum(b.customer_count for b in bins) == customer.clv_base(star).count()
+    assert all(a.bin_hi == b.bin_lo for a, b in zip(bins, bins[1:]))  # contiguous edges
+    top = customer.clv_base(star).agg(F.max("lifetime_revenue")).first()[0]
+    assert bins[-1].bin_hi == top and bins[-1].customer_count >= 1  # the maximum lands in bin 20
