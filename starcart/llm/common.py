@@ -37,13 +37,13 @@ def running_base(df: DataFrame, key: str, value: str, out: str, part: str | None
     blocks = df.withColumn("_block", F.floor(F.col(key) / block))
     totals = blocks.groupBy(*parts, "_block").agg(F.sum(value).alias("_total"))
     over_blocks = Window.partitionBy(*(parts or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.withColumn("_base", F.coalesce(F.sum("_total").over(over_blocks), F.lit(0))).drop("_total")
+    bases = totals.withColumn("_block_base", F.coalesce(F.sum("_total").over(over_blocks), F.lit(0))).drop("_total")
     inside = Window.partitionBy(*parts, "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     summed = blocks.withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return (
         summed.join(bases, [*parts, "_block"])
-        .withColumn(out, F.col("_base") + F.col("_inner"))
-        .drop("_block", "_base", "_inner")
+        .withColumn(out, F.col("_block_base") + F.col("_inner"))
+        .drop("_block", "_block_base", "_inner")
     )
 
 

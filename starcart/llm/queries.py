@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, url_filter
+from . import packing, sharding, token_files, url_filter
 from .common import read
 
 # The rules of operator 10.
@@ -22,6 +23,18 @@ URL_RULES = [
 LISTED_SITES = ("adult-x", "casino-win", "cheap-pills", "spam-farm")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as binary shards of 49k-vocabulary ids, every document looked up through the index."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.token_table(read(spark, sf_dir, "documents"), path, "words", end_id=2, vocabulary=49_408)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in sequences of at most 2048 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(read(spark, sf_dir, "documents"), path, "spaced", end_id=0, length=2048)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents on a ring of 24 shards with bounded loads."""
     return sharding.shard_documents(read(spark, sf_dir, "documents"), shards=24)
@@ -66,6 +79,8 @@ FROM canon LEFT JOIN best USING (k)"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
+    "op8_packing": op8_packing,
     "op6_sharding": op6_sharding,
     "op10_url_filter": op10_url_filter,
 }
