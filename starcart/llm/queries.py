@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_files, url_filter
+from . import decontaminate, packing, quality, sharding, token_files, toxicity, url_filter
 from .common import read
 
 # The rules of operator 10.
@@ -19,6 +19,7 @@ URL_RULES = [
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 ]
+TOXIC_FROM = 0.7  # fixed value: scores from here on are toxic
 # Host names whose URLs make up the list of operator 10's query.
 LISTED_SITES = ("adult-x", "casino-win", "cheap-pills", "spam-farm")
 
@@ -35,6 +36,32 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), path, "spaced", end_id=0, length=2048)
 
 
+def training_fold(doc_id="doc_id"):
+    """Rows whose toxicity labels may be learnt from: crc32 of the doc_id as text, mod 3, is not 1."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learnt from two thirds of the labels."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(training_fold()))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(~training_fold(), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the learned quality verdict of every document."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return quality.judge(docs.select("doc_id", "text"), quality.train(docs, labels)).drop("text")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against 10-word windows of the benchmark items."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated_words(docs, read(spark, sf_dir, "benchmark"), window=10).drop("text")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents on a ring of 24 shards with bounded loads."""
     return sharding.shard_documents(read(spark, sf_dir, "documents"), shards=24)
@@ -78,8 +105,33 @@ SELECT page_id, host, path, rule,
 FROM canon LEFT JOIN best USING (k)"""
 
 
+def op4_sql(documents: str = "documents") -> str:
+    words = (
+        "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    )
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, {words} AS w FROM {documents}),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {words} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t
+  FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS r(i) WHERE len(w) > 0),
+spot AS (
+  SELECT k, m, i, array_to_string(w[i:i + m - 1], ' ') AS t
+  FROM d, (SELECT DISTINCT m FROM win) AS sizes, unnest(range(1, len(w) - m + 2)) AS r(i)),
+hit AS (SELECT k, i, m, item FROM spot JOIN win USING (m, t)),
+words AS (SELECT k, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + m)) AS r(p) GROUP BY k),
+found AS (SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (k) LEFT JOIN found USING (k)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_toxicity": op3_toxicity,
+    "op5_quality": op5_quality,
+    "op4_decontamination": op4_decontamination,
     "op8_packing": op8_packing,
     "op6_sharding": op6_sharding,
     "op10_url_filter": op10_url_filter,
@@ -87,4 +139,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def sql() -> dict[str, str]:
-    return {"op10_url_filter": op10_sql()}
+    return {"op4_decontamination": op4_sql(), "op10_url_filter": op10_sql()}
