@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sharding, token_files, toxicity, url_filter
+from . import decontaminate, jaccard, packing, quality, sharding, token_files, toxicity, url_filter
 from .common import read
 
 # The rules of operator 10.
@@ -30,6 +30,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(read(spark, sf_dir, "documents"), path, "words", end_id=2, vocabulary=49_408)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by Jaccard similarity 0.8 of their 5-word shingles."""
+    return jaccard.jaccard_classes(read(spark, sf_dir, "documents"), percent=80, size=5)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in sequences of at most 2048 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -132,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
     "op4_decontamination": op4_decontamination,
+    "op7_jaccard": op7_jaccard,
     "op8_packing": op8_packing,
     "op6_sharding": op6_sharding,
     "op10_url_filter": op10_url_filter,
