@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, quality, sharding, token_files, toxicity, url_filter
+from . import decontaminate, jaccard, licenses, packing, quality, sharding, token_counts, token_files, toxicity, url_filter
 from .common import read
 
 # The rules of operator 10.
@@ -24,6 +24,12 @@ TOXIC_FROM = 0.7  # fixed value: scores from here on are toxic
 LISTED_SITES = ("adult-x", "casino-win", "cheap-pills", "spam-farm")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document, over the pieces of the 32k vocabulary."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as binary shards of 49k-vocabulary ids, every document looked up through the index."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +78,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all documents that a licence family claims."""
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
     """Canonical URLs of the pages on a listed site: the block list of operator 10's query."""
     host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
@@ -133,6 +144,7 @@ FROM d LEFT JOIN words USING (k) LEFT JOIN found USING (k)"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
@@ -140,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard": op7_jaccard,
     "op8_packing": op8_packing,
     "op6_sharding": op6_sharding,
+    "op9_licenses": op9_licenses,
     "op10_url_filter": op10_url_filter,
 }
 
