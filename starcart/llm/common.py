@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -52,6 +54,14 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def worker_value(key, make: Callable[[], object]):
+    """A value kept by the Python worker from task to task (made once per process)."""
+    registry = sys.modules.setdefault("_starcart_worker", types.ModuleType("_starcart_worker")).__dict__
+    if key not in registry:
+        registry[key] = make()
+    return registry[key]
+
+
 class BoundedCache(dict):
     """A dict that empties itself when a batch would carry it over ``limit`` entries.
 

@@ -63,7 +63,7 @@ def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
     return w.select("text", "q", "off", h.alias("h"))
 
 
-def occurrences(docs: DataFrame, shingles: DataFrame, lengths: list[int], broadcast: bool) -> DataFrame:
+def occurrences(docs: DataFrame, shingles: DataFrame, lengths: list[int], broadcast: bool, text: str = "text") -> DataFrame:
     """(key, n_words, pos, h): where the listed shingles occur; ``key`` is a hash of the text."""
     w = F.col("w")
 
@@ -72,7 +72,7 @@ def occurrences(docs: DataFrame, shingles: DataFrame, lengths: list[int], broadc
 
     listed = shingles.select("h").distinct()
     listed = F.broadcast(listed) if broadcast else listed
-    tokenised = docs.select(F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("w"))
+    tokenised = docs.select(F.xxhash64(text).alias("key"), words_of(F.col(text)).alias("w"))
     found = None
     for size in lengths:
         rows = tokenised.select("key", F.size("w").alias("n_words"), F.posexplode(hashes_of(size)).alias("pos", "h"))
@@ -105,21 +105,21 @@ def candidates(hits: DataFrame, windows: DataFrame, shingles: DataFrame) -> Data
 
 
 def contaminated_words(
-    docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, broadcast_rows: int = 2_000_000
+    docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, broadcast_rows: int = 2_000_000, text: str = "text"
 ) -> DataFrame:
     """Every row of ``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated.
 
-    All columns of ``docs`` but those five are kept.
+    All columns of ``docs`` but those five are kept; ``text`` names the column (or field) judged.
     """
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     kept = [c for c in docs.columns if c.lower() not in added]
     windows = materialize(item_windows(items, window), "windows")
     shingles = materialize(window_shingles(windows, shingle), "window-shingles")
     lengths = [r["q"] for r in shingles.select("q").distinct().orderBy("q").collect()]  # at most ``shingle`` numbers
-    plain = docs.select(*kept, F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.xxhash64("text").alias("_key"))
+    plain = docs.select(*kept, F.size(words_of(F.col(text))).cast("long").alias("n_words"), F.xxhash64(text).alias("_key"))
     if not lengths:
         return _clean(plain, kept)
-    hits = materialize(occurrences(docs, shingles, lengths, shingles.count() <= broadcast_rows), "shingle-hits")
+    hits = materialize(occurrences(docs, shingles, lengths, shingles.count() <= broadcast_rows, text), "shingle-hits")
     found = materialize(candidates(hits, windows, shingles), "window-candidates")
 
     w = F.col("_w")
@@ -127,8 +127,9 @@ def contaminated_words(
     covered = F.transform(F.col("_true"), lambda c: F.sequence(c["start"], c["start"] + c["m"] - 1))
     item_list = F.array_sort(F.array_distinct(F.flatten(F.transform(F.col("_true"), lambda c: c["items"]))))
     judged = (
-        docs.select(*kept, F.xxhash64("text").alias("_key"), words_of(F.col("text")).alias("_w"))
+        docs.withColumn("_key", F.xxhash64(text))
         .join(found, F.col("_key") == F.col("key"))
+        .withColumn("_w", words_of(F.col(text)))
         .select(*kept, F.size("_w").cast("long").alias("n_words"), true.alias("_true"))
         .withColumn("n_hit", F.size(F.array_distinct(F.flatten(covered))).cast("long"))
         .withColumn("_items", item_list)

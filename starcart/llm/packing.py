@@ -86,11 +86,12 @@ def encode_pieces(docs: DataFrame, tokenizer: str, style: str, end_id: int, leng
     names = [n for n, _, _ in fields]
 
     def encode(batches):
-        encoder = PieceEncoder(tokenizer, style)
+        encoder = PieceEncoder.of_worker(tokenizer, style)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                ids = np.append(np.frombuffer(encoder.encode(text), encoder.dtype).astype("<u4"), np.uint32(end_id))
+            encoded = encoder.encode_all(texts(batch.column(1)))
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids = np.append(np.frombuffer(raw, encoder.dtype).astype("<u4"), np.uint32(end_id))
                 starts = piece_starts(len(ids), length)
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                     row = (doc_id, k, a, b - a, zlib.crc32(ids[a:b]))

@@ -200,8 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model | None:
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def judge(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with the counts, base_failed, p_good and kept for every row."""
+def judge(docs: DataFrame, model: Model | None, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """``docs`` with the counts, base_failed, p_good and kept for every row; ``text`` names the column (or field) judged."""
     parts = (model.weights, model.bias, model.slope, model.shift) if model else None
     shared = docs.sparkSession.sparkContext.broadcast(parts)
     workers: list[Grams] = []  # one for each task
@@ -225,7 +225,7 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
     plain = [c for c in docs.columns if c.lower() not in added]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        docs.withColumn("_judged", judged(F.col("text")))
+        docs.withColumn("_judged", judged(F.col(text)))
         .select(*plain, *[F.col(f"_judged.{c}").alias(c) for c in [*_COUNTS, "p_good"]])
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))

@@ -81,10 +81,10 @@ def write_shards(docs: DataFrame, tokenizer: str, style: str, end_id: int, vocab
     shards = max(1, -(-total_bytes(docs) // shard_bytes))
 
     def encode(batches):
-        encoder = PieceEncoder(tokenizer, style)
+        encoder = PieceEncoder.of_worker(tokenizer, style)
         ids, lengths = [], []
         for batch in batches:
-            payloads = [encoder.encode(t) for t in texts(batch.column(1))]
+            payloads = list(encoder.encode_all(texts(batch.column(1))))
             ids += batch.column(0).to_pylist()
             lengths += [len(p) // width + 1 for p in payloads]
             yield pa.RecordBatch.from_arrays([pa.array(payloads, pa.binary())], names=["payload"])

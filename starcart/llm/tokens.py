@@ -16,26 +16,33 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+from collections.abc import Iterator
 
-from .common import BoundedCache
+from .common import BoundedCache, worker_value
 
 _BEFORE_WORD = re.compile(r"(?<=\S) (?=\S)")
+_HEAD = "\0"  # marks the first piece of a text, which has no space before it
 
 
 def cut(text: str, style: str) -> list:
     """The pieces of ``text`` that can be encoded one by one."""
     if style == "words":
         return text.encode().split()
-    if not text:
-        return []
-    first, *others = _BEFORE_WORD.split(text)
-    return [first, *[" " + piece for piece in others]]
+    pieces = text.split(" ")
+    if any(not p or p[0].isspace() or p[-1].isspace() for p in pieces):
+        pieces = _BEFORE_WORD.split(text)  # spaces beside other white space stay inside
+    return [_HEAD + pieces[0], *pieces[1:]]
+
+
+def id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 class PieceEncoder:
     """Ids of texts by one tokenizer file; keeps the ids of at most ``cache`` pieces."""
 
-    def __init__(self, path: str, style: str, cache: int = 400_000):
+    def __init__(self, path: str, style: str, cache: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -45,19 +52,27 @@ class PieceEncoder:
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.pieces = BoundedCache(cache)
 
-    def _ids(self, pieces: list) -> list[bytes]:
-        import numpy as np
+    @classmethod
+    def of_worker(cls, path: str, style: str) -> PieceEncoder:
+        return worker_value(("encoder", path, style), lambda: cls(path, style))
 
-        strings = [p.decode() for p in pieces] if self.style == "words" else pieces
+    def _ids(self, pieces: list) -> list[bytes]:
+        if self.style == "words":
+            strings = [p.decode() for p in pieces]
+        else:
+            strings = [p[1:] if p[:1] == _HEAD else " " + p for p in pieces]
+        code = "H" if self.dtype == "<u2" else "I"
         found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
-
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text`` as bytes."""
-        pieces = cut(text, self.style)
-        self.pieces.fill(dict.fromkeys(pieces), self._ids)
-        return b"".join(map(self.pieces.__getitem__, pieces))
-
-
-def id_type(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+        return [struct.pack(f"<{len(ids)}{code}", *ids) for ids in (e.ids for e in found)]
+
+    def encode_all(self, texts: list[str], step: int = 64) -> Iterator[bytes]:
+        """The ids of each text as bytes; new pieces are encoded for ``step`` texts at a time."""
+        for at in range(0, len(texts), step):
+            cuts = [cut(t, self.style) for t in texts[at : at + step]]
+            known = self.pieces
+            new = dict.fromkeys(p for pieces in cuts for p in pieces if p not in known)
+            if len(known) + len(new) > known.limit:
+                new = dict.fromkeys(p for pieces in cuts for p in pieces)
+            known.fill(new, self._ids)
+            for pieces in cuts:
+                yield b"".join([known[p] for p in pieces])

@@ -167,8 +167,8 @@ def train(
     return fit_nnpu(p_rows, u_rows, min(max(float(share), 1e-4), 0.9), **fit)
 
 
-def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
-    """``docs`` with a score in 0..1 for every row."""
+def score(docs: DataFrame, model: Model | None, column: str = "score", text: str = "text") -> DataFrame:
+    """``docs`` with a score in 0..1 for every row; ``text`` names the column (or field) scored."""
     if model is None:
         return docs.withColumn(column, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
@@ -180,4 +180,4 @@ def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFr
             caches.append(BoundedCache(1_000_000))
         return pa.array(Model(*shared.value).score(texts(column), caches[0]))
 
-    return docs.withColumn(column, scored(F.col("text")))
+    return docs.withColumn(column, scored(F.col(text)))
