@@ -55,3 +55,9 @@ def money_mean(col: str | Column, digits: int = 2) -> Column:
     """Exact mean of a decimal or integer column, rounded."""
     c = F.col(col) if isinstance(col, str) else col
     return div_round(F.sum(c), F.count(c), digits)
+
+
+def padded(key: Column, width: int) -> Column:
+    """A key as text, filled with zeros to ``width``; longer keys stay whole (``lpad`` would cut them)."""
+    text = key.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))

@@ -58,15 +58,17 @@ def order_product_facts(star: Star) -> DataFrame:
     Serves the basket (n_dates > 0), popularity (one row = one distinct order of
     the product) and margin (sums of sums). The calendar is LEFT joined
     (bounded by days, broadcast), so undated lines still count for popularity
-    and margin, as they do in the fact-only signals. Partial aggregation on
-    (order, product, date) map-side, then one shuffle on (order_id, product_key).
+    and margin, as they do in the fact-only signals. The days of a group are
+    gathered as a set (bounded by the calendar) in the same aggregate, so the
+    lines are shuffled once, on (order_id, product_key), after a partial
+    aggregation.
     """
     cal = star.date.select("date_key", "full_date")
     lines = star.fact.select("order_id", "product_key", "date_key", "profit_amount", "net_amount").join(
         F.broadcast(cal), "date_key", "left"
     )
     return lines.groupBy("order_id", "product_key").agg(
-        F.countDistinct("full_date").alias("n_dates"),
+        F.size(F.collect_set("full_date")).cast("long").alias("n_dates"),
         F.max("full_date").alias("last_date"),
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(line_margin_units(F.col("profit_amount"), F.col("net_amount"))).alias("margin_units"),
@@ -181,26 +183,15 @@ def product_pairs(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame
     return aggregate_pairs(pair_rows(order_products(star), block_size))
 
 
-def direct(pairs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Every pair in both directions (the UNION ALL of pair and mirror).
-
-    Built as explode(array(pair, mirror)) over the aggregated pairs: one pass,
-    no second copy of the pair subplan.
-    """
-    carry = carry or []
-    s, c = F.col("source_product_key"), F.col("candidate_product_key")
-    shared = [F.col("co_purchase_count"), F.col("last_together_date")]
-
-    def side(src, cand, a: str, b: str):
-        return F.struct(
-            src.alias("source_product_key"), cand.alias("candidate_product_key"), *shared,
-            *[F.col(f"{x}_{r}").alias(f"{x}_{n}") for x in carry for r, n in ((a, "s"), (b, "c"))],
-        )
-
-    both = F.array(side(s, c, "s", "c"), side(c, s, "c", "s"))
-    return pairs.select(F.explode(both).alias("_d")).select("_d.*")
+def mirrored(pairs: DataFrame) -> DataFrame:
+    """Every pair in both directions (the UNION ALL of pair and mirror)."""
+    mirror = pairs.select(
+        F.col("candidate_product_key").alias("source_product_key"),
+        F.col("source_product_key").alias("candidate_product_key"), "co_purchase_count", "last_together_date",
+    )
+    return pairs.unionByName(mirror)
 
 
 def directed_pairs(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """U19 on the star."""
-    return direct(product_pairs(star, block_size))
+    return mirrored(product_pairs(star, block_size))

@@ -7,11 +7,12 @@ NTILE computed by the distributed row-number helper, never a one-task window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import MONEY_SUM, div_round, money_mean, round_dec
-from ..functions.ranking import ntile
+from ..functions.ranking import ntile, ntile_from_row_number
+from ..plans.warehouse import once_per_star
 from ..sources.schema import Star
 
 CUSTOMER_ATTRS = ["customer_id", "customer_name", "customer_segment", "city", "region", "age_group"]
@@ -37,13 +38,27 @@ def clv_base(star: Star, zero: str = "null") -> DataFrame:
     )
 
 
+def _by_revenue():
+    return [F.col("lifetime_revenue").desc(), F.col("customer_key").asc()]
+
+
+def _clv_table(star: Star, zero: str = "null") -> DataFrame:
+    """``clv_base``, written once for a materialised star (the ranked queries share it)."""
+    return once_per_star(star, f"clv-{zero}", lambda: clv_base(star, zero))
+
+
 def customer_lifetime_value(star: Star, zero: str = "null") -> DataFrame:
-    """U8 + U9: CLV rows with NTILE(4) by revenue (1 = top; ties by customer key)."""
-    base = clv_base(star, zero)
-    return ntile(
-        base, [F.col("lifetime_revenue").desc(), F.col("customer_key").asc()], 4,
-        "spending_quartile",
-    )
+    """U8 + U9: CLV rows with NTILE(4) by revenue (1 = top; ties by customer key).
+
+    Only (key, revenue) go through the global numbering; attributes join back.
+    """
+    base = _clv_table(star, zero)
+
+    def tiles() -> DataFrame:
+        keys = base.select("customer_key", "lifetime_revenue")
+        return ntile(keys, _by_revenue(), 4, "spending_quartile").select("customer_key", "spending_quartile")
+
+    return base.join(once_per_star(star, f"clv-quartiles-{zero}", tiles), "customer_key")
 
 
 def customer_spending_quartiles(star: Star) -> DataFrame:
@@ -54,14 +69,17 @@ def customer_spending_quartiles(star: Star) -> DataFrame:
 
 
 def quartile_breakdown(star: Star) -> DataFrame:
-    """Customers per spending quartile with the dashboard labels."""
-    q = customer_lifetime_value(star).groupBy("spending_quartile").agg(
-        F.count(F.lit(1)).alias("customer_count")
-    )
+    """Customers per spending quartile with the dashboard labels.
+
+    The sizes of the tiles follow from the number of customers; nobody is ranked.
+    """
+    total = _clv_table(star).agg(F.count(F.lit(1)).alias("n"))
+    tiles = total.select("n", F.explode(F.array(*[F.lit(k) for k in QUARTILE_LABELS])).alias("spending_quartile"))
+    size = F.floor(F.col("n") / 4) + (F.col("spending_quartile") <= F.col("n") % 4).cast("long")
     label = F.lit(None).cast("string")
     for k, text in sorted(QUARTILE_LABELS.items(), reverse=True):
         label = F.when(F.col("spending_quartile") == k, text).otherwise(label)
-    return q.select("spending_quartile", label.alias("quartile_label"), "customer_count")
+    return tiles.select("spending_quartile", label.alias("quartile_label"), size.alias("customer_count")).where("customer_count > 0")
 
 
 def clv_histogram(star: Star, bins: int = 20) -> DataFrame:
@@ -98,10 +116,17 @@ def average_clv(star: Star) -> DataFrame:
 
 
 def top_customers_by_clv(star: Star, n: int = 20) -> DataFrame:
-    """The n customers with the highest lifetime revenue (ties by key)."""
-    return customer_lifetime_value(star).orderBy(
-        F.col("lifetime_revenue").desc(), F.col("customer_key").asc()
-    ).limit(n)
+    """The n customers with the highest lifetime revenue (ties by key).
+
+    Sort-limit first; a row's quartile follows from its position among the n and
+    the number of customers.
+    """
+    base = _clv_table(star)
+    total = base.select(F.count(F.lit(1))).scalar()
+    top = base.orderBy(*_by_revenue()).limit(n)
+    numbered = top.withColumn("_rn", F.row_number().over(Window.orderBy(*_by_revenue())).cast("long"))
+    tile = ntile_from_row_number(F.col("_rn"), total, 4)
+    return numbered.withColumn("spending_quartile", tile).drop("_rn").orderBy(*_by_revenue())
 
 
 def repeat_purchase_rate(star: Star, zero: str = "null") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import MONEY_SUM, div_round
 from ..functions.ranking import dense_rank_desc
+from ..plans.warehouse import once_per_star
 from ..sources.schema import Star
 
 PRODUCT_ATTRS = ["product_id", "product_name", "brand", "subcategory"]
@@ -46,8 +47,10 @@ def _shape(df: DataFrame) -> DataFrame:
 
 def top_products_by_revenue(star: Star) -> DataFrame:
     """Every sold product with its dense revenue rank (1 = highest revenue)."""
-    rows = _product_rows(star)
-    return _shape(dense_rank_desc(rows, "_net", "revenue_rank"))
+    # Ranking reads the rows twice (distinct revenues, join back): one aggregate feeds both.
+    rows = once_per_star(star, "product-sales", lambda: _product_rows(star))
+    ranked = once_per_star(star, "product-ranks", lambda: dense_rank_desc(rows, "_net", "revenue_rank"))
+    return _shape(ranked)
 
 
 def top_n_products(star: Star, n: int = 20) -> DataFrame:
@@ -73,7 +76,7 @@ def category_revenue_share(star: Star, zero: str = "null") -> DataFrame:
     """
     sales = star.fact.groupBy("category_key").agg(F.sum("net_amount").alias("_net"))
     cats = star.category.select("category_key", "category_name")
-    j = sales.join(F.broadcast(cats), "category_key")
+    j = sales.join(cats, "category_key")
     everything = Window.partitionBy()
     return j.select(
         "category_key",
@@ -102,7 +105,7 @@ def product_detail(star: Star, product_key: int) -> DataFrame:
     """
     p = star.product.filter(F.col("product_key") == F.lit(product_key))
     c = star.category.select("category_name", "parent_category")
-    return p.join(F.broadcast(c), p["subcategory"] == c["category_name"], "left").select(
+    return p.join(c, p["subcategory"] == c["category_name"], "left").select(
         "product_key", "product_id", "product_name", "brand", "subcategory",
         "unit_price", "cost_price", "category_name", "parent_category",
     )

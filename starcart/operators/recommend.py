@@ -13,36 +13,37 @@ signals count as 0. Rank 1..4 per source by the unrounded score, ties by
 candidate key. Maxima are taken after the joins and the active filter.
 
 Plan (one large shuffle per step, none on a single partition):
-  * product signals (popularity, mean line margin) are one aggregate on the
-    fact; with the product attributes they ride on the basket items, so the
-    pair table is never re-joined to products;
+  * product signals (popularity, mean line margin) come from the (order, product)
+    aggregate; they and the product attributes join the aggregated pairs, which
+    are then written once;
   * pairs come from the blocked self-join in ``basket`` (huge baskets split);
   * per-source maxima are a partial aggregate (a hot source collapses
     map-side); hot sources (bounded in number) are split over salts and their
     maxima copied per salt, so the scored rows shuffle once, on
     (source, salt), for both the join and the first ranking window; the
     second ranking sees at most 4 rows per salt of a source;
-  * the global maxima are one scalar subquery over the materialised pairs;
-    the row bound for hot sources comes from the mart's parquet metadata;
+  * per-source maxima and counts are a small table written beside the pairs; the
+    global maxima are one scalar subquery over it;
   * names are attached after the <= 4 filter.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import threading
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_dec
-from ..session import materialize, write_stage
+from ..plans.warehouse import once_per_star
+from ..session import materialize
 from ..sources.schema import Star
 from .basket import (
     DEFAULT_BLOCK_SIZE,
     MARGIN_UNITS,
     aggregate_pairs,
-    direct,
+    mirrored,
+    line_margin_units,
     order_product_facts,
     order_products,
     pair_rows,
@@ -63,9 +64,6 @@ TOP_K = 4
 SALT_BUDGET = 4096  # most salts over all hot sources
 MIN_HOT_ROWS = 100_000  # a source below this many scored rows is never split
 
-CARRY = ["subcategory", "is_active", "in_dim", "product_order_count", "margin_avg"]
-
-
 # ------------------------------------------------------------ signals ----
 
 def product_signals(star: Star, facts: DataFrame | None = None) -> DataFrame:
@@ -77,7 +75,8 @@ def product_signals(star: Star, facts: DataFrame | None = None) -> DataFrame:
     facts = facts if facts is not None else order_product_facts(star)
     agg = facts.groupBy("product_key").agg(
         F.count(F.lit(1)).alias("product_order_count"),
-        F.sum("margin_units").alias("_msum"),
+        # a product of any size: the sum of its orders' margins outgrows a long
+        F.sum(F.col("margin_units").cast("decimal(20,0)")).alias("_msum"),
         F.sum("n_lines").alias("_mcnt"),
     )
     return agg.select(
@@ -90,89 +89,99 @@ def product_signals(star: Star, facts: DataFrame | None = None) -> DataFrame:
 
 def candidate_popularity(star: Star) -> DataFrame:
     """Distinct orders per product."""
-    return product_signals(star).select("product_key", "product_order_count")
+    return star.fact.groupBy("product_key").agg(F.countDistinct("order_id").alias("product_order_count"))
 
 
 def candidate_margin(star: Star) -> DataFrame:
     """Mean of line profit / net (0 for a zero net); lines in 1e-8 units, mean
-    rounded half up to 8 decimals."""
-    s = product_signals(star)
+    rounded half up to 8 decimals. The lines are grouped by product at once: one
+    partial row per product leaves each task."""
+    units = line_margin_units(F.col("profit_amount"), F.col("net_amount")).cast("decimal(20,0)")
+    s = star.fact.groupBy("product_key").agg(F.sum(units).alias("_msum"), F.count(F.lit(1)).alias("_mcnt"))
     # Narrow before scaling: decimal(38,0) * decimal(9,8) would exceed 38 digits
     # and Spark would cut the scale to 6.
-    units = F.round(F.col("_msum").cast("decimal(38,0)") / F.col("_mcnt"), 0).cast("decimal(20,0)")
+    mean = F.round(F.col("_msum").cast("decimal(38,0)") / F.col("_mcnt"), 0).cast("decimal(20,0)")
     return s.select(
         "product_key",
-        (units * F.lit("0.00000001").cast("decimal(9,8)")).cast("decimal(22,8)").alias("avg_margin_ratio"),
+        (mean * F.lit("0.00000001").cast("decimal(9,8)")).cast("decimal(22,8)").alias("avg_margin_ratio"),
     )
 
 
 # ------------------------------------------------------------- scoring ----
 
-def _items_with_attrs(star: Star) -> tuple[DataFrame, DataFrame]:
-    """All basket items with product attributes and signals, and the plain
-    (order, product) items read from the written aggregate.
+ATTRS = ["subcategory", "is_active", "in_dim", "product_order_count", "margin_avg"]
 
-    Items and signals come from the same (order, product) aggregate. Products
-    missing from the product dimension stay (``in_dim`` false) so the same pair
-    table also answers the plain co-purchase queries; the scoring drops them.
-    """
-    # Read by several consumers (basket items, popularity / margin signals,
-    # order sizes) that prune it differently, so it is written once instead of
-    # being recomputed per consumer.
-    facts = materialize(order_product_facts(star), "order_products")
+
+def _product_attrs(star: Star, facts: DataFrame) -> DataFrame:
+    """Attributes and signals of every product of the fact (``in_dim`` false without a dimension row)."""
     prod = star.product.select(
         "product_key", "subcategory",
         F.coalesce(F.col("is_active"), F.lit(False)).alias("is_active"),
         F.lit(True).alias("in_dim"),
     )
     signals = product_signals(star, facts).select("product_key", "product_order_count", "margin_avg")
-    attrs = signals.join(prod, "product_key", "left").withColumn(
-        "in_dim", F.coalesce(F.col("in_dim"), F.lit(False))
-    )
-    items = order_products(star, facts)
-    return items.join(attrs, "product_key"), items
+    return signals.join(prod, "product_key", "left").withColumn("in_dim", F.coalesce(F.col("in_dim"), F.lit(False)))
+
 
+def pair_mart(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """The co-purchase pairs with the attributes of both products, as parquet.
 
-_MARTS: dict[tuple, str] = {}
-_MART_LOCK = threading.Lock()
+    Pairs are aggregated on the two keys alone, so the largest shuffle carries four
+    narrow columns; the attributes join the aggregated pairs. Written once to the
+    shared checkpoint folder (this also cuts the lineage back through the self-join
+    if executors are lost). For a materialised star (``star.origin``) the mart is
+    built once per application and reused by every recommendation query on it.
+    """
+    def make() -> DataFrame:
+        # Read by several consumers (items, signals, order sizes) that prune it
+        # differently, so it is written once instead of recomputed per consumer.
+        facts = materialize(order_product_facts(star), "order_products")
+        items = order_products(star, facts)
+        pairs = aggregate_pairs(pair_rows(tagged=tag_blocks(items, block_size, sizes_from=items)))
+        attrs = materialize(_product_attrs(star, facts), "product_attrs")
+        for side, key in (("s", "source_product_key"), ("c", "candidate_product_key")):
+            named = attrs.select(F.col("product_key").alias(key), *[F.col(a).alias(f"{a}_{side}") for a in ATTRS])
+            pairs = pairs.join(named, key)  # every item's product has signals: no pair is lost
+        return pairs
 
+    return once_per_star(star, f"pairs-{block_size}", make)
 
-def pair_mart(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
-    """The aggregated co-purchase pairs with carried product attributes, as parquet.
 
-    Feeds the per-source maxima, the global maxima and the ranking, so it is
-    written once to the shared checkpoint folder (this also cuts the lineage
-    back through the self-join if executors are lost). For a materialised star
-    (``star.origin``) the mart is built once per application and reused by
-    every recommendation query on that star.
+def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """Directed pairs whose source is a known product and candidate an active one.
+
+    Two filtered projections of the mart; the filters reach its scans.
     """
-    spark = star.fact.sparkSession
-    key = (spark.sparkContext.applicationId, star.origin, block_size) if star.origin else None
-    with _MART_LOCK:
-        path = _MARTS.get(key) if key else None
-        if path is None:
-            items, plain = _items_with_attrs(star)
-            # Every item's product has signals, so the attribute join keeps all
-            # items: order sizes can be counted on the written aggregate.
-            tagged = tag_blocks(items, block_size, sizes_from=plain)
-            pairs = aggregate_pairs(pair_rows(carry=CARRY, tagged=tagged), CARRY)
-            path = write_stage(pairs, "pairs")
-            if key is not None:
-                _MARTS[key] = path
-    return spark.read.parquet(path)
-
-
-def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE,
-                        mart: DataFrame | None = None) -> DataFrame:
-    """Directed pairs whose source is a known product and candidate an active one."""
-    d = direct(mart if mart is not None else pair_mart(star, block_size), CARRY)
-    return d.where(
-        F.col("in_dim_s")
-        & F.col("in_dim_c")
-        & F.col("is_active_c")
-        & F.col("product_order_count_c").isNotNull()
-        & F.col("margin_avg_c").isNotNull()
-    )
+    mart = pair_mart(star, block_size)
+
+    def side(s: str, c: str, source: str, candidate: str) -> DataFrame:
+        known = (
+            F.col(f"in_dim_{s}") & F.col(f"in_dim_{c}") & F.col(f"is_active_{c}")
+            & F.col(f"product_order_count_{c}").isNotNull() & F.col(f"margin_avg_{c}").isNotNull()
+        )
+        return mart.where(known).select(
+            F.col(source).alias("source_product_key"), F.col(candidate).alias("candidate_product_key"),
+            "co_purchase_count", "last_together_date", F.col(f"subcategory_{s}").alias("subcategory_s"),
+            F.col(f"subcategory_{c}").alias("subcategory_c"),
+            F.col(f"product_order_count_{c}").alias("product_order_count_c"), F.col(f"margin_avg_{c}").alias("margin_avg_c"),
+        )
+
+    keys = ("source_product_key", "candidate_product_key")
+    return side("s", "c", *keys).unionByName(side("c", "s", *reversed(keys)))
+
+
+def source_stats(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """Per source: maxima over its candidates and their number, written beside the mart."""
+    def make() -> DataFrame:
+        return directed_candidates(star, block_size).groupBy("source_product_key").agg(
+            F.max("co_purchase_count").alias("_max_cnt"),
+            F.max("last_together_date").alias("_max_last"),
+            F.max("product_order_count_c").alias("_max_pop"),
+            F.max("margin_avg_c").alias("_max_margin"),
+            F.count(F.lit(1)).alias("_n"),
+        )
+
+    return once_per_star(star, f"source-stats-{block_size}", make)
 
 
 def copurchase_pairs(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
@@ -184,7 +193,7 @@ def copurchase_pairs(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFr
 
 def copurchase_directed(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """U19 read from the pair mart: every pair in both directions."""
-    return direct(copurchase_pairs(star, block_size))
+    return mirrored(copurchase_pairs(star, block_size))
 
 
 def _text(c: Column, collation: str | None) -> Column:
@@ -197,15 +206,15 @@ def _text(c: Column, collation: str | None) -> Column:
 def _with_parents(d: DataFrame, star: Star, collation: str | None = None) -> DataFrame:
     """LEFT JOIN the category of source and candidate subcategory (by name).
 
-    The category dimension is a short fixed list, so it is broadcast; duplicate
-    category names fan out rows exactly as the SQL join does.
+    The category dimension is short; the runtime broadcasts it when its size says so.
+    Duplicate category names fan out rows exactly as the SQL join does.
     """
     cat = star.category.select("category_name", "parent_category")
     sc = cat.select(F.col("category_name").alias("_sn"), F.col("parent_category").alias("parent_s"))
     cc = cat.select(F.col("category_name").alias("_cn"), F.col("parent_category").alias("parent_c"))
-    d = d.join(F.broadcast(sc), _text(d["subcategory_s"], collation) == _text(sc["_sn"], collation),
+    d = d.join(sc, _text(d["subcategory_s"], collation) == _text(sc["_sn"], collation),
                "left").drop("_sn")
-    return d.join(F.broadcast(cc), _text(d["subcategory_c"], collation) == _text(cc["_cn"], collation),
+    return d.join(cc, _text(d["subcategory_c"], collation) == _text(cc["_cn"], collation),
                   "left").drop("_cn")
 
 
@@ -244,24 +253,19 @@ def scored_pairs(
     into that many salts (see ``_salt_hot_sources``).
     """
     w = {**WEIGHTS, **(weights or {})}
-    mart = pair_mart(star, block_size)
-    cands = directed_candidates(star, block_size, mart)
-    # Twice the mart's pair count bounds the scored rows (parquet metadata, no job).
-    rows_bound = 2 * mart.count()
-    # Global maxima over the scored rows, as one scalar subquery: a pass over
-    # the materialised pairs (the category fan-out cannot change a maximum).
-    glob = cands.select(F.struct(
-        F.max("product_order_count_c").alias("pop"), F.max("margin_avg_c").alias("margin")
-    )).scalar()
+    stats = source_stats(star, block_size)
+    cands = directed_candidates(star, block_size)
+    # Global maxima and the row count from the small table of sources.
+    glob = stats.select(F.struct(F.max("_max_pop").alias("pop"), F.max("_max_margin").alias("margin"))).scalar()
     # Bound to a column once, so the subquery appears (and runs) once.
     d = _with_parents(cands.withColumn("_glob", glob), star, collation)
     max_pop = F.col("_glob.pop")
     max_margin = F.col("_glob.margin")
     d = d.withColumn("category_match", category_match_expr(collation))
-    # Statistics come from the candidates before the category joins: the
-    # fan-out cannot change a maximum, and the row count only steers salting.
-    d = _salt_hot_sources(d, cands, rows_bound, salt_budget, min_hot_rows)
-
+    # Statistics are taken before the category joins: the fan-out cannot change a
+    # maximum, and the row count only steers salting.
+    rows = stats.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    d = _salt_hot_sources(d, stats, rows, salt_budget, min_hot_rows)
 
     cnt = F.col("co_purchase_count").cast("double")
     pop = F.col("product_order_count_c").cast("double")
@@ -322,20 +326,20 @@ def recommendation_scores(star: Star, **kw) -> DataFrame:
 
 
 def category_match(star: Star, **kw) -> DataFrame:
-    """The category signal of every scored pair (1.0 / 0.5 / 0.0)."""
-    s = scored_pairs(star, **kw)
-    return s.select(
+    """The category signal of every scored pair (1.0 / 0.5 / 0.0); needs no statistics."""
+    collation = kw.get("collation")
+    d = _with_parents(directed_candidates(star, kw.get("block_size", DEFAULT_BLOCK_SIZE)), star, collation)
+    return d.select(
         "source_product_key", "candidate_product_key",
-        round_dec(F.col("category_match"), 1, 3).alias("category_match"),
+        round_dec(category_match_expr(collation), 1, 3).alias("category_match"),
     )
 
 
-def _salt_hot_sources(d: DataFrame, base: DataFrame, rows_bound: int, budget: int,
+def _salt_hot_sources(d: DataFrame, stats: DataFrame, rows_bound: int, budget: int,
                       min_rows: int) -> DataFrame:
     """Attach the per-source maxima, splitting hot sources over several salts.
 
-    Per-source statistics (max count, newest date, row count) are a partial
-    aggregate. With N <= rows_bound scored rows and
+    ``stats`` is the written table of per-source maxima and row counts. With N <= rows_bound scored rows and
     unit = max(rows_bound / budget, min_rows), a source owning n > unit rows
     gets ceil(n / unit) salts, every other source one. Fewer than ``budget``
     sources can exceed rows_bound / budget, so the hot list has a proven bound
@@ -345,11 +349,6 @@ def _salt_hot_sources(d: DataFrame, base: DataFrame, rows_bound: int, budget: in
     (source, salt), which the first ranking window reuses. A source holding a
     third of all pairs is thus spread over about budget / 3 tasks.
     """
-    stats = base.groupBy("source_product_key").agg(
-        F.max("co_purchase_count").alias("_max_cnt"),
-        F.max("last_together_date").alias("_max_last"),
-        F.count(F.lit(1)).alias("_n"),
-    )
     unit = max(-(-rows_bound // budget), min_rows)
     stats = stats.withColumn("_ns", F.greatest(F.ceil(F.col("_n") / F.lit(unit)), F.lit(1)).cast("int"))
     hot = stats.where(F.col("_ns") > 1).select("source_product_key", "_ns")

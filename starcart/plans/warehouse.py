@@ -1,30 +1,35 @@
-"""Build the star once, query it many times.
+"""Build the star's tables once, query them many times.
 
 The adapter's fact is a large-large join (lineitem x orders) plus decimal
 arithmetic; recomputing it inside every query would repeat that shuffle per
-query. ``materialize_star`` writes the seven tables as parquet into the shared
-checkpoint folder (``spark.checkpoint.dir``), each through a REBALANCE so the
-files come out evenly sized whatever the input layout, and returns a
-``Star`` that reads them back. ``warehouse_star`` memoises that build per
-application and input folder.
+query. ``warehouse_star`` gives a ``Star`` whose fact, calendar and payment tables
+are written as parquet on first use, into the shared checkpoint folder or a
+persistent folder of the caller's; the other dimensions are plain projections of
+their input and are read from it, so a dimension query never touches the lines.
+
+A table is built once per application, input folder and state of the input files:
+their paths, sizes and times are part of the key and are looked up on every call,
+through Spark's own file listing, so a replaced file is never answered from an old
+copy. Tables of the application's checkpoint folder go when it ends.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import inspect
 import threading
-from concurrent.futures import ThreadPoolExecutor
-from pathlib import Path
+from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-from ..sources.driver import DRIVER_TABLES, driver_star
+from ..session import materialize, stage_path
+from ..sources import driver
 from ..sources.schema import Star
 
-_LOCK = threading.Lock()
-_BUILT: dict[tuple[str, str], str] = {}
+_LOCK = threading.RLock()
+_BUILT: dict[tuple, str] = {}
 
 _FIELDS = {
     "dim_date": "date", "dim_customer": "customer", "dim_category": "category",
@@ -33,33 +38,30 @@ _FIELDS = {
 }
 
 
-def _input_fingerprint(sf_dir: str) -> str:
-    """Input paths, sizes and mtimes plus the adapter source: a changed input
-    or mapping gets a new folder, never a stale one."""
-    h = hashlib.sha256()
-    for name in DRIVER_TABLES:
-        p = Path(sf_dir) / f"{name}.parquet"
-        st = p.stat() if p.exists() else None
-        h.update(f"{p}|{st.st_size if st else -1}|{st.st_mtime_ns if st else -1}".encode())
-    src = Path(__file__).resolve().parents[1] / "sources" / "driver.py"
-    h.update(src.read_bytes())
-    return h.hexdigest()[:16]
+def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Paths, sizes and times of the input files plus the adapter source.
+
+    One aggregate over the file listing (no file is opened), so any file system
+    Spark reads will do and nothing grows on the driver.
+    """
+    paths = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in driver.DRIVER_TABLES]
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
+    row = files.agg(
+        F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
+    ).first()
+    return hashlib.sha256(f"{sf_dir}|{tuple(row)}|{inspect.getsource(driver)}".encode()).hexdigest()[:16]
 
 
 def materialize_star(star: Star, path: str) -> None:
-    """Write the star's tables under ``path`` (one folder per table).
+    """Write all tables of a star under ``path`` (one folder per table)."""
+    for name, df in star.tables().items():
+        write_table(df, f"{path}/{name}")
 
-    The seven writes are independent jobs, submitted concurrently so the small
-    dimension jobs overlap with the fact job instead of queueing behind it.
-    """
-    def write(item):
-        name, df = item
-        # REBALANCE: AQE sizes the output files (a large dimension is split, a
-        # tiny one becomes one file) whatever the input layout.
-        df.hint("rebalance").write.mode("overwrite").parquet(f"{path}/{name}")
 
-    with ThreadPoolExecutor(max_workers=len(_FIELDS)) as pool:
-        list(pool.map(write, star.tables().items()))
+def write_table(df: DataFrame, path: str) -> None:
+    # REBALANCE: AQE sizes the output files (a large table is split, a tiny one
+    # becomes one file) whatever the input layout.
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
 
 
 def read_star(spark: SparkSession, path: str) -> Star:
@@ -68,14 +70,63 @@ def read_star(spark: SparkSession, path: str) -> Star:
     return Star(**frames, origin=path)
 
 
-def warehouse_star(spark: SparkSession, sf_dir: str) -> Star:
-    """The driver tables adapted to the star, built once per application."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+class WarehouseStar(Star):
+    """A star over the driver tables that writes a costly table when it is first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str):
+        object.__setattr__(self, "_source", driver.driver_star(spark, sf_dir, spread=True))
+        object.__setattr__(self, "_spark", spark)
+        object.__setattr__(self, "origin", folder)
+
+    def _written(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.origin}/{name}"
+        key = (self._spark.sparkContext.applicationId, path)
+        with _LOCK:
+            if key not in _BUILT:
+                write_table(df, path)
+                _BUILT[key] = path
+        return self._spark.read.parquet(path)
+
+    customer = property(lambda self: self._source.customer)
+    category = property(lambda self: self._source.category)
+    product = property(lambda self: self._source.product)
+    shipping = property(lambda self: self._source.shipping)
+
+    @cached_property
+    def date(self) -> DataFrame:
+        return self._written("dim_date", self._source.date)
+
+    @cached_property
+    def payment(self) -> DataFrame:
+        return self._written("dim_payment", self._source.payment)
+
+    @cached_property
+    def fact(self) -> DataFrame:
+        return self._written("fact_order_line", self._source.fact)
+
+
+def warehouse_star(spark: SparkSession, sf_dir: str, folder: str | None = None) -> Star:
+    """The driver tables as a star; ``folder`` keeps the written tables beyond the application."""
+    mark = input_fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, mark, folder)
+    with _LOCK:
+        if key not in _BUILT:
+            _BUILT[key] = f"{folder.rstrip('/')}/{mark}" if folder else stage_path(spark, "warehouse")
+        return WarehouseStar(spark, sf_dir, _BUILT[key])
+
+
+def once_per_star(star: Star, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table of a star, written once: per application for a materialised star, else per ``Star`` object."""
+    if not star.origin:
+        own = star.__dict__.setdefault("_once", {})
+        if name not in own:
+            own[name] = materialize(make(), name)
+        return own[name]
+    spark = star.product.sparkSession
+    key = (spark.sparkContext.applicationId, star.origin, name)
     with _LOCK:
-        path = _BUILT.get(key)
-        if path is None:
-            base = checkpoint_dir(spark).rstrip("/")
-            path = f"{base}/starcart-warehouse-{_input_fingerprint(sf_dir)}"
-            materialize_star(driver_star(spark, sf_dir, spread=True), path)
+        if key not in _BUILT:
+            path = stage_path(spark, name)
+            make().write.mode("overwrite").parquet(path)
             _BUILT[key] = path
-    return read_star(spark, path)
+    return spark.read.parquet(_BUILT[key])

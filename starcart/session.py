@@ -6,6 +6,8 @@ only filled in where they are unset.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -107,6 +109,41 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def write_stage(df: DataFrame, name: str = "stage") -> str:
     """Write ``df`` as parquet into a fresh folder of the checkpoint folder; returns the path."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/starcart-{name}-{uuid.uuid4().hex[:12]}"
+    path = stage_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+_STAGES: dict[str, list[str]] = {}
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name in the checkpoint folder; it is removed when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/starcart-{name}-{uuid.uuid4().hex[:12]}"
+    application = spark.sparkContext.applicationId
+    if application not in _STAGES:
+        _STAGES[application] = []
+        _remove_at_end(spark, _STAGES[application])
+    _STAGES[application].append(path)
+    return path
+
+
+def _remove_at_end(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the stage folders when the context stops (or Python exits before that)."""
+    sc = spark.sparkContext
+    stop = sc.stop
+
+    def remove() -> None:
+        jvm, conf = sc._jvm, sc._jsc and sc._jsc.hadoopConfiguration()
+        while paths and conf:
+            path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+    def stop_after_removal() -> None:
+        with contextlib.suppress(Exception):  # a context that is already gone cannot clean up
+            remove()
+        sc.stop = stop
+        stop()
+
+    sc.stop = stop_after_removal
+    atexit.register(lambda: sc._jsc and sc.stop())

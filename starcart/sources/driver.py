@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import padded
 from .schema import Star
 
 DRIVER_TABLES = (
@@ -44,7 +45,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
 
 
 def _padded(prefix: str, key: Column, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(key.cast("string"), width, "0"))
+    return F.concat(F.lit(prefix), padded(key, width))
 
 
 def _date_key(ts: Column) -> Column:
@@ -80,10 +81,8 @@ def dim_category(spark: SparkSession) -> DataFrame:
 
 
 def dim_customer(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    # nation and region are fixed 25/5-row tables: broadcasting them is size-safe.
-    joined = (
-        customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
+        region, F.col("n_regionkey") == F.col("r_regionkey")
     )
     age = (F.col("c_custkey") % 4).cast("int")
     return joined.select(
