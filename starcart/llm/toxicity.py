@@ -26,6 +26,7 @@ is 0, columns of the input other than doc_id and text pass through unseen.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,34 +66,34 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, batch: list[str], cache: BoundedCache) -> np.ndarray:
+    def score(self, batch: Iterable[str], cache: BoundedCache) -> np.ndarray:
         """Scores of texts; ``cache`` keeps the weighted features of words already seen."""
         weighted = dict(zip(np.flatnonzero(self.weights).tolist(), self.weights[self.weights != 0].tolist(), strict=True))
 
         def of(words):
             return [tuple(i for i in word_ids(w) if i in weighted) for w in words]
 
-        logits = np.empty(len(batch))
-        for i, text in enumerate(batch):
+        logits = []
+        for text in batch:
             words = words_in(text)
             cache.fill(words, of)
             found = set().union(*map(cache.__getitem__, words))
-            logits[i] = self.bias + sum(weighted[f] for f in sorted(found))
-        return _sigmoid(logits)
+            logits.append(self.bias + sum(weighted[f] for f in sorted(found)))
+        return _sigmoid(np.array(logits, dtype=np.float64))
 
 
 def one_of_each(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """One text of each group of copies (texts whose words have the same min-hash)."""
-    seen: dict[int, np.ndarray] = {}
+    """One text of each group of copies (texts that agree in three min-hashes of their features)."""
+    seen: dict[tuple, np.ndarray] = {}
     for row in rows:
-        mixed = (row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        seen.setdefault(int((mixed ^ (mixed >> np.uint64(31))).min()) if len(row) else -1, row)
+        mixed = [(row.astype(np.uint64) + np.uint64(1)) * np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
+        seen.setdefault(tuple(int((m ^ (m >> np.uint64(31))).min()) if len(m) else -1 for m in mixed), row)
     return list(seen.values())
 
 
 def fit_nnpu(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
-    features: int = 2000, excess: float = 5.0, steps: int = 400, rate: float = 0.1, l1: float = 0.01,
+    features: int = 2000, excess: float = 5.0, steps: int = 400, rate: float = 0.1, l1: float = 3e-3,
 ) -> Model:
     """Train on lists of word-id arrays.
 
@@ -177,7 +178,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "score", text: str
     @F.arrow_udf("double")
     def scored(column: pa.Array) -> pa.Array:
         if not caches:
-            caches.append(BoundedCache(1_000_000))
+            caches.append(BoundedCache(400_000))
         return pa.array(Model(*shared.value).score(texts(column), caches[0]))
 
     return docs.withColumn(column, scored(F.col(text)))
