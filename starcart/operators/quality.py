@@ -98,9 +98,10 @@ def constraint_rules(columns: dict[str, list[str]]) -> list[tuple[str, str, str,
     for table, key in S.UNIQUE_KEYS.items():
         if set(key) <= cols[table]:
             rules.append((f"unique_{table}_{'_'.join(key)}", table, "unique", key))
-    for c in S.NOT_NULL_FACT:
-        if c in cols["fact_order_line"]:
-            rules.append((f"not_null_fact_order_line_{c}", "fact_order_line", "not_null", c))
+    for table, schema in S.SCHEMAS.items():
+        for field in schema:
+            if not field.nullable and field.name in cols[table] and [field.name] != S.PRIMARY_KEYS.get(table):
+                rules.append((f"not_null_{table}_{field.name}", table, "not_null", field.name))
     for (table, c), allowed in S.ENUM_RULES.items():
         if c in cols[table]:
             rules.append((f"enum_{table}_{c}", table, "enum", (c, allowed)))
@@ -170,7 +171,37 @@ def corrupted_fact(fact: DataFrame) -> DataFrame:
     )
 
 
-def sparse_fact(fact: DataFrame) -> DataFrame:
-    """Orders whose number is a multiple of 20 (FIXTURES D), to exercise the
-    coverage / missing-recommendation checks; used by tests, not registered."""
-    return fact.where(F.substring("order_id", 4, 20).cast("int") % 20 == 0)
+def scattered_fact(fact: DataFrame) -> DataFrame:
+    """The whole fact with few baskets left: a line whose product key % 40 is not 1 moves
+    to an order of its own product, so few products keep a pair and the coverage and
+    missing-recommendation checks have something to find."""
+    alone = F.concat(F.col("order_id"), F.lit("-"), F.col("product_key").cast("string"))
+    return fact.withColumn("order_id", F.when(F.col("product_key") % 40 != 1, alone).otherwise(F.col("order_id")))
+
+
+def zero_revenue_fact(fact: DataFrame) -> DataFrame:
+    """The whole fact with the lines of every 7th product given away (net and profit 0)."""
+    free = F.col("product_key") % 7 == 0
+    zero = F.lit(0).cast("decimal(10,2)")
+    for c in ("net_amount", "profit_amount"):
+        fact = fact.withColumn(c, F.when(free, zero).otherwise(F.col(c)))
+    return fact
+
+
+def corrupted_star(star: Star) -> Star:
+    """A star that breaks declared constraints by rule, all rows kept.
+
+    Customers: a gender column with a value outside the enum for every 7th, no name for every
+    13th. Products: every 50th twice, a name of 250 characters for every 60th. Payments: every
+    method twice. Fact: no quantity where product % 89 = 0.
+    """
+    customer, product, payment = star.customer, star.product, star.payment
+    key = F.col("customer_key")
+    customer = customer.withColumn("gender", F.when(key % 7 == 0, "Unknown").otherwise("Other")).withColumn(
+        "customer_name", F.when(key % 13 == 0, F.lit(None)).otherwise(F.col("customer_name"))
+    )
+    key = F.col("product_key")
+    product = product.withColumn("product_name", F.when(key % 60 == 0, F.repeat(F.lit("x"), F.lit(250))).otherwise(F.col("product_name")))
+    product = product.unionByName(product.where(key % 50 == 0))
+    fact = star.fact.withColumn("quantity", F.when(key % 89 == 0, F.lit(None)).otherwise(F.col("quantity")))
+    return Star(star.date, customer, star.category, product, payment.unionByName(payment), star.shipping, fact)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import customer, kpi, product, quality, rec_checks, recommend
 from ..sources.schema import Star
+from .warehouse import once_per_star, written_path
 
 KPI_TABLES = {
     "monthly_kpis": kpi.monthly_kpis,
@@ -83,6 +84,16 @@ def build(star: Star, out: str, gate: bool = True, **rec_kw) -> dict[str, str]:
     return paths
 
 
+def served_recommendations(star: Star) -> str:
+    """Path of a star's recommendation table, clustered by source and written on first use."""
+    def make() -> DataFrame:
+        recs = recommend.recommendation_top4(star)
+        return recs.repartitionByRange("source_product_key").sortWithinPartitions("source_product_key", "recommendation_rank")
+
+    once_per_star(star, "served-recommendations", make)
+    return written_path(star, "served-recommendations")
+
+
 def serve_recommendations(spark: SparkSession, path: str, product_key: int) -> DataFrame:
     """U28 serving path: <= 4 rows of one source product, in rank order."""
     recs = spark.read.parquet(path)

@@ -130,3 +130,8 @@ def once_per_star(star: Star, name: str, make: Callable[[], DataFrame]) -> DataF
             make().write.mode("overwrite").parquet(path)
             _BUILT[key] = path
     return spark.read.parquet(_BUILT[key])
+
+
+def written_path(star: Star, name: str) -> str:
+    """Where ``once_per_star`` wrote a table of a materialised star."""
+    return _BUILT[(star.product.sparkSession.sparkContext.applicationId, star.origin, name)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import basket, catalog, customer, kpi, product, quality, rec_checks, recommend
 from .sources import generate
 from .sources.driver import read_table
+from .plans import build
 from .plans.warehouse import warehouse_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +47,46 @@ def _on_corrupted(fn) -> Query:
     return run
 
 
+def _on_scattered(fn, with_products: bool = False) -> Query:
+    """A recommendation check on the whole fact with its baskets scattered by rule."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star = warehouse_star(spark, sf_dir)
+        recs = recommend.recommendation_top4(star.with_fact(quality.scattered_fact(star.fact)))
+        return fn(star.product, recs) if with_products else fn(recs)
+
+    run.__name__ = fn.__name__ + "_sparse"
+    run.__doc__ = fn.__doc__
+    return run
+
+
+def dq_constraints_corrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U42 on a star that breaks the declared constraints by rule."""
+    return quality.dq_constraints(quality.corrupted_star(warehouse_star(spark, sf_dir)))
+
+
+FLOOR_CLOCK = datetime.date(2002, 1, 1)  # recency clock of the floor-mode queries
+
+
+def monthly_kpis_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 with floors instead of NULL for zero denominators, on a fact with given-away lines."""
+    star = warehouse_star(spark, sf_dir)
+    return kpi.monthly_kpis(star.with_fact(quality.zero_revenue_fact(star.fact)), zero="floor")
+
+
+def recommendation_top4_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U27 with floors and a fixed recency clock, on a fact with given-away lines."""
+    star = warehouse_star(spark, sf_dir)
+    given = star.with_fact(quality.zero_revenue_fact(star.fact))
+    return recommend.recommendation_top4(given, zero="floor", as_of=FLOOR_CLOCK)
+
+
+def recommendations_for_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U28 served from the written recommendation table; the key filter prunes its files."""
+    star = warehouse_star(spark, sf_dir)
+    path = build.served_recommendations(star)
+    return build.serve_recommendations(spark, path, product_key=5)
+
+
 def date_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U43 over the ship-date span of the line items (every day, 13 attributes)."""
     li = read_table(spark, sf_dir, "lineitem")
@@ -70,6 +112,7 @@ def derive_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "monthly_kpis": _on_star(kpi.monthly_kpis),
+        "monthly_kpis_floor": monthly_kpis_floor,
         "monthly_revenue_growth": _on_star(kpi.monthly_revenue_growth),
         "cumulative_revenue": _on_star(kpi.cumulative_revenue),
         "moving_average_3m": _on_star(kpi.moving_average_3m),
@@ -101,9 +144,12 @@ def queries() -> dict[str, Query]:
         "category_match": _on_star(recommend.category_match),
         "recommendation_scores": _on_star(recommend.recommendation_scores),
         "recommendation_top4": _on_star(recommend.recommendation_top4),
-        "recommendations_for_product": _on_star(recommend.recommendations_for_product, product_key=5),
+        "recommendation_top4_floor": recommendation_top4_floor,
+        "recommendations_for_product": recommendations_for_product,
         "rec_coverage": _on_recs(rec_checks.rec_coverage),
         "rec_missing": _on_recs(rec_checks.rec_missing, with_products=True),
+        "rec_coverage_sparse": _on_scattered(rec_checks.rec_coverage),
+        "rec_missing_sparse": _on_scattered(rec_checks.rec_missing, with_products=True),
         "rec_self_check": _on_recs(rec_checks.rec_self_check),
         "rec_score_stats": _on_recs(rec_checks.rec_score_stats),
         "rec_diversity": _on_recs(rec_checks.rec_diversity),
@@ -111,6 +157,7 @@ def queries() -> dict[str, Query]:
         "dq_orphans": _on_star(quality.dq_orphans),
         "dq_arithmetic": _on_star(quality.dq_arithmetic),
         "dq_constraints": _on_star(quality.dq_constraints),
+        "dq_constraints_corrupted": dq_constraints_corrupted,
         "dq_orphans_corrupted": _on_corrupted(quality.dq_orphans),
         "dq_arithmetic_corrupted": _on_corrupted(quality.dq_arithmetic),
         "date_dimension": date_dimension,

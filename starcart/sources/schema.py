@@ -127,11 +127,6 @@ FOREIGN_KEYS = [
     ("fk_fact_payment", "payment_key", "dim_payment", "payment_key"),
     ("fk_fact_shipping", "shipping_key", "dim_shipping", "shipping_key"),
 ]
-NOT_NULL_FACT = [
-    "date_key", "customer_key", "product_key", "category_key", "payment_key", "shipping_key",
-    "order_id", "quantity", "gross_amount", "discount_amount", "net_amount", "cost_amount",
-    "profit_amount",
-]
 # Column defaults of the declared DDL (fixed values): (table, column) -> value.
 DEFAULTS = {
     ("dim_date", "is_weekend"): False,

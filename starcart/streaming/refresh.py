@@ -34,11 +34,11 @@ def refresh_months(spark: SparkSession, star: Star, fact_dir: str, out: str, bat
     if not touched:
         return
     keys = [y * 100 + m for y, m in touched]
+    # Only the touched months are read: a range for the files' statistics, then the list.
     lo, hi = min(keys) * 100, max(keys) * 100 + 99
-    fact = spark.read.parquet(fact_dir).where(F.col("date_key").between(lo, hi))
-    kpis = kpi.monthly_kpis(star.with_fact(fact)).where(
-        (F.col("year_num") * 100 + F.col("month_num")).isin(keys)
-    )
+    month = F.floor(F.col("date_key") / 100)
+    fact = spark.read.parquet(fact_dir).where(F.col("date_key").between(lo, hi) & month.isin(keys))
+    kpis = kpi.monthly_kpis(star.with_fact(fact))
     (kpis.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year_num", "month_num").parquet(out))
 

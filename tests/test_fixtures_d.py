@@ -15,6 +15,11 @@ def star(spark):
     return warehouse_star(spark, SF_MID)
 
 
+def sparse_fact(fact):
+    """Orders whose number is a multiple of 20."""
+    return fact.where(F.substring("order_id", 4, 20).cast("long") % 20 == 0)
+
+
 def checks(df):
     return {r.check_name: r.issue_count for r in df.collect()}
 
@@ -36,7 +41,7 @@ def test_corrupted_fact(star):
 
 
 def test_sparse_fact_recommendation_checks(star):
-    sparse = star.with_fact(quality.sparse_fact(star.fact))
+    sparse = star.with_fact(sparse_fact(star.fact))
     assert sparse.fact.count() == 3045
     recs = recommend.recommendation_top4(sparse)
     assert rec_checks.rec_missing(sparse.product, recs).count() == 421

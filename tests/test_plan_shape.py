@@ -8,6 +8,7 @@ import tempfile
 import pytest
 
 from conftest import SF_SMALL
+from tools.plan_report import final_part
 from starcart.operators import customer, kpi, product, recommend
 from starcart.plans import build as B
 from starcart.plans.warehouse import warehouse_star
@@ -55,7 +56,7 @@ def test_no_global_window_over_customers_or_products(star):
 def executed_plan(df) -> str:
     qe = df._jdf.queryExecution()
     qe.executedPlan().execute().count()
-    return qe.executedPlan().toString().split("== Initial Plan ==")[0]
+    return final_part(qe.executedPlan().toString())
 
 
 def test_recommendation_ranking_shape(star):

@@ -40,9 +40,26 @@ PATTERNS = {
 def final_plan(df) -> str:
     qe = df._jdf.queryExecution()
     qe.executedPlan().execute().count()
-    text = qe.executedPlan().toString()
-    # AQE prints the final plan and then the initial one: keep the final one.
-    return text.split("== Initial Plan ==")[0]
+    return final_part(qe.executedPlan().toString())
+
+
+def final_part(text: str) -> str:
+    """The final plans in an AQE plan string, those of subqueries included.
+
+    Every AdaptiveSparkPlan (a subquery has its own) prints its final and then its initial
+    plan; each initial part runs to the next line that is not indented deeper than its title.
+    """
+    kept, skip = [], None
+    for line in text.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if "== Initial Plan ==" in line:
+            skip = line.index("== Initial Plan ==")
+            continue
+        if skip is not None and depth < skip:
+            skip = None
+        if skip is None:
+            kept.append(line)
+    return "\n".join(kept)
 
 
 _WRAPPERS = ("ShuffleQueryStage", "AQEShuffleRead", "Sort", "Project", "Filter", "InputAdapter",
