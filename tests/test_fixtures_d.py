@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF_MID
 from starcart.operators import quality, rec_checks, recommend
 from starcart.plans.warehouse import warehouse_star
+from starcart.sources.schema import Star
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +56,6 @@ def test_sparse_fact_recommendation_checks(star):
 
 def test_duplicate_key_is_reported(spark, star):
     dup = star.product.unionByName(star.product.where(F.col("product_key") == 7))
-    bad = type(star)(star.date, star.customer, star.category, dup, star.payment, star.shipping, star.fact)
+    bad = Star(star.date, star.customer, star.category, dup, star.payment, star.shipping, star.fact)
     c = checks(quality.dq_constraints(bad))
     assert c["pk_dim_product_product_key"] == 1 and c["unique_dim_product_product_id"] == 1
