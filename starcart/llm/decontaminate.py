@@ -7,14 +7,15 @@ necessary shingle. Shingles are ordered by rarity (occurrences in all documents)
 rarest one of each window is its prefix. An occurrence at word p of a shingle that stands
 at offset o of the window can only come from an occurrence of the window at p - o: the
 positional bound asks for p - o >= 0, the length bound for room for the whole window.
-What is left is verified word by word on the document, over the item-sized window.
+What is left is verified over the whole item-sized window: all its shingles have to occur
+there, one at each word. Shingles are compared by 64-bit hashes of their words.
 
-Plan: documents are tokenised once to find occurrences of benchmark shingles (each
-document word is hashed with its successors, one narrow row per word goes through a
-join with the shingle list; the list is broadcast only below ``broadcast_rows`` rows).
-Occurrences, which are few, give the rarity counts and the candidates. Candidates are
-kept per distinct text and joined back to the documents, so that copies are searched
-once. Only DataFrame functions are used.
+Plan: documents are tokenised once to find the occurrences of benchmark shingles (each word
+is hashed with its successors, one narrow row per word goes through a join with the shingle
+list; the list is broadcast only below ``broadcast_rows`` rows). Occurrences, which are few,
+give the rarity counts, the candidates and their verification; they are kept per distinct
+text, so that copies are searched once. Texts are never shuffled: verdicts join back to the
+documents by a hash of the text. Only DataFrame functions are used.
 
 Edge cases: null and empty texts have no words, items without words have no windows, a
 null item_id counts as the id ``null``, repeated items with one id count once, repeated
@@ -23,7 +24,7 @@ or null doc_ids are judged row by row, empty tables work, other columns are igno
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -54,17 +55,17 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
-    """(text, q, off, h) of every distinct window; windows shorter than a shingle have one of their own length q."""
+    """(text, m, q, off, h) of every distinct window; windows shorter than a shingle have one of their own length q."""
     w = windows.select("text", "m").distinct().withColumn("q", F.least("m", F.lit(shingle)))
-    w = w.select("text", "q", F.split("text", " ").alias("w"), F.explode(F.sequence(F.lit(0), F.col("m") - F.col("q"))).alias("off"))
+    w = w.select("text", "m", "q", F.split("text", " ").alias("w"), F.explode(F.sequence(F.lit(0), F.col("m") - F.col("q"))).alias("off"))
     h = F.lit(None).cast("long")
     for q in range(1, shingle + 1):
         h = F.when(F.col("q") == q, _shingle(F.col("w"), F.col("off"), q)).otherwise(h)
-    return w.select("text", "q", "off", h.alias("h"))
+    return w.select("text", "m", "q", "off", h.alias("h"))
 
 
 def occurrences(docs: DataFrame, shingles: DataFrame, lengths: list[int], broadcast: bool, text: str = "text") -> DataFrame:
-    """(key, n_words, pos, h): where the listed shingles occur; ``key`` is a hash of the text."""
+    """(key, q, n_words, pos, h): where the listed shingles occur in each distinct text; ``key`` is a hash of the text."""
     w = F.col("w")
 
     def hashes_of(size: int) -> Column:
@@ -75,37 +76,43 @@ def occurrences(docs: DataFrame, shingles: DataFrame, lengths: list[int], broadc
     tokenised = docs.select(F.xxhash64(text).alias("key"), words_of(F.col(text)).alias("w"))
     found = None
     for size in lengths:
-        rows = tokenised.select("key", F.size("w").alias("n_words"), F.posexplode(hashes_of(size)).alias("pos", "h"))
+        rows = tokenised.select("key", F.lit(size).alias("q"), F.size("w").alias("n_words"), F.posexplode(hashes_of(size)).alias("pos", "h"))
         rows = rows.join(listed, "h", "left_semi")
         found = rows if found is None else found.unionByName(rows)
-    return found
+    return found.groupBy("key", "q", "pos").agg(F.first("h").alias("h"), F.first("n_words").alias("n_words"))
 
 
-def candidates(hits: DataFrame, windows: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(key, found): for each text the windows that may occur, with their starts and items."""
+def contained_windows(hits: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(key, start, text): the windows that occur in each text, with their first word's place."""
     counts = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    prefix = (
-        shingles.join(counts, "h")  # a shingle that never occurs rules its windows out
-        .groupBy("text")
-        .agg(F.min(F.struct("n", "off", "h")).alias("rarest"), F.count(F.lit(1)).alias("present"))
-        .join(shingles.groupBy("text").agg(F.count(F.lit(1)).alias("needed")), "text")
-        .where("present = needed")
-        .select("text", F.col("rarest.off").alias("off"), F.col("rarest.h").alias("h"))
+    chains = shingles.join(counts, "h", "left").groupBy("text", "q", "m").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "h")).alias("rarest"),
+        F.array_sort(F.collect_list(F.struct("off", "h"))).alias("chain"),
     )
-    owners = windows.groupBy("text", "m").agg(F.collect_set("item").alias("items"))
+    # A shingle that never occurs is the rarest and rules its window out.
+    prefix = chains.where("rarest.n > 0").select(
+        "text", "q", "m", F.col("rarest.off").alias("off"), F.col("rarest.h").alias("h"), F.transform("chain", lambda c: c["h"]).alias("chain")
+    )
+    # From each occurrence on, the next ones in the text as they follow each other word by word.
+    longest = chains.agg(F.coalesce(F.max(F.size("chain")), F.lit(1))).first()[0]  # at most the window's length
+    ahead = Window.partitionBy("key", "q").orderBy("pos").rowsBetween(0, longest - 1)
+    runs = hits.withColumn("run", F.collect_list(F.struct("pos", "h")).over(ahead))
+    runs = runs.select("key", "q", F.col("pos").alias("start"), "run")
     start = F.col("pos") - F.col("off")
-    return (
-        hits.join(prefix.join(owners, "text"), "h")
+    spots = (
+        hits.join(prefix, ["h", "q"])
         .where((start >= 0) & (start + F.col("m") <= F.col("n_words")))
-        .select("key", start.alias("start"), "m", "text", "items")
-        .dropDuplicates(["key", "start", "text"])
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("start", "m", "text", "items")).alias("found"))
+        .select("key", "q", start.alias("start"), "text", "chain")
+    )
+    size = F.size("chain")
+    whole = (F.transform(F.slice("run", 1, size), lambda r: r["h"]) == F.col("chain")) & (
+        F.get("run", size - 1)["pos"] == F.col("start") + size - 1
     )
+    return spots.join(runs, ["key", "q", "start"]).where(whole).select("key", "start", "text")
 
 
 def contaminated_words(
-    docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, broadcast_rows: int = 2_000_000, text: str = "text"
+    docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, broadcast_rows: int = 200_000, text: str = "text"
 ) -> DataFrame:
     """Every row of ``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated.
 
@@ -113,38 +120,35 @@ def contaminated_words(
     """
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     kept = [c for c in docs.columns if c.lower() not in added]
-    windows = materialize(item_windows(items, window), "windows")
-    shingles = materialize(window_shingles(windows, shingle), "window-shingles")
-    lengths = [r["q"] for r in shingles.select("q").distinct().orderBy("q").collect()]  # at most ``shingle`` numbers
-    plain = docs.select(*kept, F.size(words_of(F.col(text))).cast("long").alias("n_words"), F.xxhash64(text).alias("_key"))
-    if not lengths:
-        return _clean(plain, kept)
-    hits = materialize(occurrences(docs, shingles, lengths, shingles.count() <= broadcast_rows, text), "shingle-hits")
-    found = materialize(candidates(hits, windows, shingles), "window-candidates")
-
-    w = F.col("_w")
-    true = F.filter(F.col("found"), lambda c: F.array_join(F.slice(w, c["start"] + 1, c["m"]), " ") == c["text"])
-    covered = F.transform(F.col("_true"), lambda c: F.sequence(c["start"], c["start"] + c["m"] - 1))
-    item_list = F.array_sort(F.array_distinct(F.flatten(F.transform(F.col("_true"), lambda c: c["items"]))))
-    judged = (
-        docs.withColumn("_key", F.xxhash64(text))
-        .join(found, F.col("_key") == F.col("key"))
-        .withColumn("_w", words_of(F.col(text)))
-        .select(*kept, F.size("_w").cast("long").alias("n_words"), true.alias("_true"))
-        .withColumn("n_hit", F.size(F.array_distinct(F.flatten(covered))).cast("long"))
-        .withColumn("_items", item_list)
-        .select(
-            *kept, "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"),
-            F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-        )
+    rows = docs.select(*kept, F.size(words_of(F.col(text))).cast("long").alias("n_words"), F.xxhash64(text).alias("_text_key"))
+    zero = F.lit(0).cast("long")
+    hit, n_items, sha = (F.coalesce(c, z) for c, z in ((F.col("_hit"), zero), (F.col("_items"), zero), (F.col("_sha"), F.sha2(F.lit(""), 256))))
+    found = contaminated_texts(docs, items, window, shingle, broadcast_rows, text)
+    few = found.count() <= broadcast_rows
+    return rows.join(F.broadcast(found) if few else found, "_text_key", "left").select(
+        *kept, "n_words", hit.alias("n_hit"), n_items.alias("n_items"), sha.alias("items_sha256"), (hit > 0).alias("contaminated")
     )
-    rest = plain.join(found.select("key"), F.col("_key") == F.col("key"), "left_anti")
-    return judged.unionByName(_clean(rest, kept))
 
 
-def _clean(rows: DataFrame, kept: list[str]) -> DataFrame:
-    zero = F.lit(0).cast("long")
-    return rows.select(
-        *kept, "n_words", zero.alias("n_hit"), zero.alias("n_items"),
-        F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"),
+def contaminated_texts(
+    docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, broadcast_rows: int = 200_000, text: str = "text"
+) -> DataFrame:
+    """(_text_key, _hit, _items, _sha) of every text (by its hash) that contains a window."""
+    windows = materialize(item_windows(items, window), "windows")
+    shingles = materialize(window_shingles(windows, shingle), "window-shingles")
+    lengths = [r["q"] for r in shingles.select("q").distinct().orderBy("q").collect()] or [shingle]  # at most ``shingle`` numbers
+    listed = shingles.count() <= 10 * broadcast_rows  # rows of one long
+    hits = materialize(occurrences(docs, shingles, lengths, listed, text), "shingle-hits")
+    spots = materialize(contained_windows(hits, shingles), "contained-windows")
+    sizes = windows.select("text", "m").distinct()
+    words = (
+        spots.join(sizes, "text")
+        .select("key", F.sequence("start", F.col("start") + F.col("m") - 1).alias("at"))
+        .groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("_hit"))
+    )
+    who = spots.select("key", "text").distinct().join(windows.select("text", "item"), "text")
+    who = who.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("ids"))
+    found = words.join(who, "key").select(
+        F.col("key").alias("_text_key"), "_hit", F.size("ids").cast("long").alias("_items"), F.sha2(F.array_join("ids", ","), 256).alias("_sha")
     )
+    return materialize(found, "contaminated-texts")
