@@ -91,7 +91,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 _BLOCK = "part int, first_sid long, tokens binary, owners binary, digests binary, doc_ids array<long>, sizes binary, keys binary"
 _DOC = [("sid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())]
-_SHARED = [("h", pa.list_(pa.int64())), ("df", pa.list_(pa.int32()))]
+_SHARED = [("owners", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())]
 
 
 def _blocks(docs: DataFrame, size: int, parts: int, chunk_tokens: int) -> DataFrame:
@@ -103,12 +103,12 @@ def _blocks(docs: DataFrame, size: int, parts: int, chunk_tokens: int) -> DataFr
         owners = np.repeat(np.arange(len(found), dtype=np.uint16), [len(s) for s in found])
         order = np.argsort(tokens)
         tokens, owners = tokens[order], owners[order]
-        digests = np.frombuffer(b"".join(k[:8] for k in sets), "<u8").astype("<u8").tobytes()
+        digests = b"".join(k[:8] for k in sets)
         part = ((tokens >> np.uint64(HASH_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
-        cuts = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 63)))
+        cuts = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 63))).tolist()
         out = [
             (int(part[a]), first, _pack(tokens[a:b]), owners[a:b].tobytes(), digests, None, None, None)
-            for a, b in zip(cuts, [*cuts[1:], len(tokens)], strict=True)
+            for a, b in zip(cuts, cuts[1:] + [len(tokens)], strict=False)  # no cuts without tokens
         ]
         sids = [sets[k][0] if n else -1 for _, n, k in rows]
         out.append((
@@ -121,7 +121,7 @@ def _blocks(docs: DataFrame, size: int, parts: int, chunk_tokens: int) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def make(batches):
-        cache = worker_value("shingle-words", lambda: BoundedCache(600_000))
+        cache = worker_value("shingle-words", lambda: BoundedCache(250_000))
         # Numbers of sets: the partition's range of 2^40, in order of the partition's rows.
         first = sid = TaskContext.get().partitionId() << 40
         sets, rows, held = {}, [], 0
@@ -144,9 +144,9 @@ def _blocks(docs: DataFrame, size: int, parts: int, chunk_tokens: int) -> DataFr
 
 
 def _count_range(table):
-    """Of one hash range: its documents' rows, and the shared shingles of each set with their frequencies."""
-    doc_rows, tokens, owners, digests = [], [], [], []
-    for row in table.to_pylist():
+    """Of one hash range: its documents' rows, and for each chunk the shared shingles of its sets with frequencies."""
+    doc_rows, firsts, tokens, owners, digests = [], [], [], [], []
+    for row in (r for batch in table.to_batches(max_chunksize=16) for r in batch.to_pylist()):
         if row["doc_ids"] is not None:
             keys = row["keys"]
             numbers = np.frombuffer(row["sizes"], "<i8").reshape(-1, 2)
@@ -155,45 +155,44 @@ def _count_range(table):
             ]
         else:
             own = np.frombuffer(row["owners"], np.uint16)
+            firsts.append(row["first_sid"])
             tokens.append(_unpack(row["tokens"]))
-            owners.append(own.astype(np.int64) + row["first_sid"])
+            owners.append(own)
             digests.append(np.frombuffer(row["digests"], "<u8")[own])
     columns = [pa.array(c, t) for c, (_, t) in zip(zip(*doc_rows, strict=True) if doc_rows else [()] * 4, _DOC, strict=True)]
     columns += [pa.nulls(len(doc_rows), t) for _, t in _SHARED]
     names = [n for n, _ in _DOC + _SHARED]
     out = [pa.RecordBatch.from_arrays(columns, names=names)]
     if tokens:
+        chunk = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
         tokens, owners, digests = map(np.concatenate, (tokens, owners, digests))
         order = np.argsort(tokens, kind="stable")
-        tokens, owners, digests = tokens[order], owners[order], digests[order]
+        tokens, owners, digests, chunk = tokens[order], owners[order], digests[order], chunk[order]
         starts = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
         lengths = np.diff(starts, append=len(tokens))
         shared = np.minimum.reduceat(digests, starts) != np.maximum.reduceat(digests, starts)
         keep = np.repeat(shared, lengths)
-        df = np.repeat(lengths, lengths)[keep]
-        tokens, owners = tokens[keep], owners[keep]
-        order = np.argsort(owners, kind="stable")
-        tokens, owners, df = tokens[order], owners[order], df[order]
-        starts = np.flatnonzero(np.diff(owners, prepend=-1))
-        offsets = pa.array(np.append(starts, len(owners)).astype(np.int32))
-        n = len(starts)
-        out.append(pa.RecordBatch.from_arrays(
-            [
-                pa.array(owners[starts]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-                pa.ListArray.from_arrays(offsets, pa.array(tokens.astype(np.int64))),
-                pa.ListArray.from_arrays(offsets, pa.array(df.astype(np.int32))),
-            ],
-            names=names,
-        ))
+        df = np.repeat(lengths, lengths)[keep].astype("<u4")
+        tokens, owners, chunk = tokens[keep], owners[keep], chunk[keep]
+        order = np.argsort(chunk, kind="stable")  # within a chunk the hashes stay sorted
+        tokens, owners, chunk, df = tokens[order], owners[order], chunk[order], df[order]
+        cuts = np.flatnonzero(np.diff(chunk, prepend=-1)).tolist()
+        rows = [
+            (firsts[chunk[a]], None, None, None, owners[a:b].tobytes(), _pack(tokens[a:b]), df[a:b].tobytes())
+            for a, b in zip(cuts, cuts[1:] + [len(tokens)], strict=False)
+        ]
+        if rows:
+            kinds = [t for _, t in _DOC + _SHARED]
+            out.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names))
     return pa.Table.from_batches(out)
 
 
 def shingle_tables(docs: DataFrame, size: int, part_bytes: int, chunk_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """(sid, doc_id, n, digest) of the documents and (sid, h, df) lists of shared shingles."""
+    """(sid, doc_id, n, digest) of the documents, and blocks (sid of the chunk's first set, owners, tokens, df) of shared shingles."""
     parts = max(1, -(-total_bytes(docs) // part_bytes))
-    schema = "sid long, doc_id long, n long, digest binary, h array<long>, df array<int>"
+    schema = "sid long, doc_id long, n long, digest binary, owners binary, tokens binary, df binary"
     both = materialize(_blocks(docs, size, parts, chunk_tokens).groupBy("part").applyInArrow(_count_range, schema), "shared-shingles")
-    return both.where("digest is not null").select("sid", "doc_id", "n", "digest"), both.where("h is not null").select("sid", "h", "df")
+    return both.where("digest is not null").select("sid", "doc_id", "n", "digest"), both.where("tokens is not null").select("sid", "owners", "tokens", "df")
 
 
 # --- prefix lists ------------------------------------------------------------------------
@@ -204,32 +203,28 @@ def needed_overlap(n1: Column, n2: Column, percent: int) -> Column:
     return F.ceil((percent * (n1 + n2)) / F.lit(100 + percent).cast("double"))
 
 
+def _order_chunk(table):
+    """Of one chunk of documents: its sets' shared shingles, by frequency."""
+    blocks = [(r["sid"], r["owners"], r["tokens"], r["df"]) for batch in table.to_batches(max_chunksize=16) for r in batch.to_pylist()]
+    owners = np.concatenate([np.frombuffer(o, np.uint16) for _, o, _, _ in blocks])
+    tokens = np.concatenate([_unpack(t) for _, _, t, _ in blocks])
+    df = np.concatenate([np.frombuffer(d, "<u4") for *_, d in blocks])
+    by = np.lexsort((tokens, df, owners))
+    owners, tokens = owners[by], tokens[by].astype(np.int64)
+    starts = np.flatnonzero(np.diff(owners.astype(np.int64), prepend=-1))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(owners)).astype(np.int32)), pa.array(tokens))
+    return pa.table({"sid": pa.array(owners[starts].astype(np.int64) + blocks[0][0]), "tokens": lists})
+
+
 def ordered_sets(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, tokens, k): a set's shared shingles by frequency; the first k belong to its prefix."""
+    """(sid, n, tokens, k): a set's shared shingles by frequency; the first k belong to its prefix.
 
-    def order(batches):
-        for batch in batches:
-            sid, n, parts = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
-            tokens, rows, df = [], [], []
-            for i, row in enumerate(parts):
-                h = row.values.field(0).flatten().to_numpy()
-                tokens.append(h)
-                df.append(row.values.field(1).flatten().to_numpy())
-                rows.append(np.full(len(h), i))
-            tokens, rows, df = map(np.concatenate, (tokens, rows, df))
-            by = np.lexsort((tokens, df, rows))
-            counts = np.bincount(rows, minlength=len(n))
-            prefix = n - -(-percent * n // 100) + 1
-            k = np.maximum(0, prefix - (n - counts))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(tokens[by]))
-            found = pa.RecordBatch.from_arrays([sid, batch.column(1), lists, pa.array(k)], names=["sid", "n", "tokens", "k"])
-            yield found.filter(pa.array(k > 0))
-
-    def skip_empty(batches):
-        return order(b for b in batches if b.num_rows)
-
-    parts = shared.groupBy("sid").agg(F.collect_list(F.struct("h", "df")).alias("parts"))
-    return parts.join(sets, "sid").select("sid", "n", "parts").mapInArrow(skip_empty, "sid long, n long, tokens array<long>, k long")
+    The set's other shingles are rarer and come before them.
+    """
+    lists = shared.groupBy("sid").applyInArrow(_order_chunk, "sid long, tokens array<long>")
+    needed = F.ceil(F.lit(percent) * F.col("n") / F.lit(100).cast("double"))
+    k = F.greatest(F.lit(0), F.size("tokens") - needed + 1).cast("long")
+    return lists.join(sets, "sid").select("sid", "n", "tokens", k.alias("k")).where("k > 0")
 
 
 def index_lists(sets: DataFrame) -> DataFrame:
@@ -351,7 +346,7 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_classes(
-    docs: DataFrame, percent: int = 80, size: int = 5, part_bytes: int = 24 << 20, chunk_tokens: int = 2_000_000
+    docs: DataFrame, percent: int = 80, size: int = 5, part_bytes: int = 12 << 20, chunk_tokens: int = 1_000_000
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     documents, shared = shingle_tables(docs.select("doc_id", "text"), size, part_bytes, chunk_tokens)
