@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,9 +49,11 @@ def running_base(df: DataFrame, key: str, value: str, out: str, part: str | None
     )
 
 
-def texts(column: pa.Array) -> list[str]:
-    """Arrow strings as Python strings, null as empty."""
-    return [t or "" for t in column.to_pylist()]
+def texts(column: pa.Array, step: int = 256) -> Iterator[str]:
+    """Arrow strings as Python strings, null as empty, few at a time."""
+    for at in range(0, len(column), step):
+        for text in column.slice(at, step).to_pylist():
+            yield text or ""
 
 
 def worker_value(key, make: Callable[[], object]):

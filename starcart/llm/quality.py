@@ -73,7 +73,7 @@ class Grams:
     """Hashed grams of texts; keeps the hashes of words already seen."""
 
     def __init__(self):
-        self.words = BoundedCache(1_000_000)
+        self.words = BoundedCache(400_000)
 
     def of(self, data: bytes, words: list[bytes]) -> list[np.ndarray]:
         """Feature numbers of the three kinds of grams, one for each gram."""

@@ -50,7 +50,7 @@ def load_scores(path: str) -> dict[str, float]:
 class PrefixTrie:
     """Forward scores and piece counts of prefixes; terminal counts of inserted pre-tokens."""
 
-    def __init__(self, scores: dict[str, float], nodes: int = 1_000_000, words: int = 600_000):
+    def __init__(self, scores: dict[str, float], nodes: int = 800_000, words: int = 400_000):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.byte_score = -math.log(len(scores) + 2)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -84,10 +85,10 @@ def write_shards(docs: DataFrame, tokenizer: str, style: str, end_id: int, vocab
         encoder = PieceEncoder.of_worker(tokenizer, style)
         ids, lengths = [], []
         for batch in batches:
-            payloads = list(encoder.encode_all(texts(batch.column(1))))
             ids += batch.column(0).to_pylist()
-            lengths += [len(p) // width + 1 for p in payloads]
-            yield pa.RecordBatch.from_arrays([pa.array(payloads, pa.binary())], names=["payload"])
+            for payloads in batched(encoder.encode_all(texts(batch.column(1))), 1000):
+                lengths += [len(p) // width + 1 for p in payloads]
+                yield pa.RecordBatch.from_arrays([pa.array(payloads, pa.binary())], names=["payload"])
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([footer(ids, lengths)], pa.binary())], names=["payload"])
 

@@ -17,7 +17,8 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 from .common import BoundedCache, worker_value
 
@@ -26,13 +27,23 @@ _HEAD = "\0"  # marks the first piece of a text, which has no space before it
 
 
 def cut(text: str, style: str) -> list:
-    """The pieces of ``text`` that can be encoded one by one."""
+    """The pieces of ``text`` that can be encoded one by one, if none of them is ``odd``."""
     if style == "words":
         return text.encode().split()
     pieces = text.split(" ")
-    if any(not p or p[0].isspace() or p[-1].isspace() for p in pieces):
-        pieces = _BEFORE_WORD.split(text)  # spaces beside other white space stay inside
-    return [_HEAD + pieces[0], *pieces[1:]]
+    pieces[0] = _HEAD + pieces[0]
+    return pieces
+
+
+def odd(piece, style: str) -> bool:
+    """Does a space stand beside other white space here, so that the text must be cut with care?"""
+    return style == "spaced" and (not piece or piece[0].isspace() or piece[-1].isspace() or piece == _HEAD)
+
+
+def careful_cut(text: str) -> list[str]:
+    """As ``cut``, but spaces beside other white space stay inside the pieces."""
+    first, *others = _BEFORE_WORD.split(text)
+    return [_HEAD + first, *others]
 
 
 def id_type(vocabulary: int) -> str:
@@ -42,7 +53,7 @@ def id_type(vocabulary: int) -> str:
 class PieceEncoder:
     """Ids of texts by one tokenizer file; keeps the ids of at most ``cache`` pieces."""
 
-    def __init__(self, path: str, style: str, cache: int = 800_000):
+    def __init__(self, path: str, style: str, cache: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -65,14 +76,22 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}{code}", *ids) for ids in (e.ids for e in found)]
 
-    def encode_all(self, texts: list[str], step: int = 64) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str], step: int = 64) -> Iterator[bytes]:
         """The ids of each text as bytes; new pieces are encoded for ``step`` texts at a time."""
-        for at in range(0, len(texts), step):
-            cuts = [cut(t, self.style) for t in texts[at : at + step]]
-            known = self.pieces
-            new = dict.fromkeys(p for pieces in cuts for p in pieces if p not in known)
+        known = self.pieces
+        for some in batched(texts, step):
+            cuts, new = [], set()
+            for text in some:
+                pieces = cut(text, self.style)
+                unseen = {p for p in pieces if p not in known}
+                if unseen and any(odd(p, self.style) for p in unseen):  # odd pieces are never kept
+                    pieces = careful_cut(text)
+                    unseen = {p for p in pieces if p not in known}
+                cuts.append(pieces)
+                new |= unseen
             if len(known) + len(new) > known.limit:
-                new = dict.fromkeys(p for pieces in cuts for p in pieces)
-            known.fill(new, self._ids)
+                new = set().union(*cuts)
+            if new:
+                known.fill(sorted(new), self._ids)
             for pieces in cuts:
                 yield b"".join([known[p] for p in pieces])
