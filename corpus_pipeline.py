@@ -41,11 +41,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: one document of each group of near duplicates stays.
 
-    Rows are told apart by their place in the files (the same for every scan of them), so
-    repeated and null doc_ids need no care; the row that stands first stays. Empty documents
-    are no group.
+    Rows are told apart by a number that is written with them (another scan might cut the
+    files otherwise and number them anew), so repeated and null doc_ids need no care; the row
+    that stands first stays. Empty documents are no group.
     """
-    numbered = docs.select(F.struct("*").alias("document"), F.monotonically_increasing_id().alias("row"))
+    numbered = materialize(_boxed(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
     classes = jaccard.jaccard_classes(numbered.select(F.col("row").alias("doc_id"), F.col("document.text").alias("text")))
     others = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("row")), "other-copies")
     others = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others

@@ -72,6 +72,28 @@ def test_near_duplicates_stage(stages):
     assert len({c for _, _, c in left}) == groups
 
 
+def test_near_duplicates_when_files_are_cut_otherwise_meanwhile(spark, table, tmp_path, monkeypatch):
+    """Between the join and the removal of copies the scan is packed into other tasks (as when executors come or go)."""
+    rows = [(i, " ".join(f"w{i // 2 if i % 4 < 2 else i}x{k}" for k in range(20))) for i in range(80)]
+    table(rows).repartition(16, "doc_id").write.parquet(f"{tmp_path}/docs")
+    write, conf = corpus_pipeline.materialize, "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(conf)
+
+    def meanwhile(df, name):
+        written = write(df, name)
+        if name == "other-copies":
+            spark.conf.set(conf, str(1 << 30))
+        return written
+
+    monkeypatch.setattr(corpus_pipeline, "materialize", meanwhile)
+    spark.conf.set(conf, "1")
+    try:
+        left = corpus_pipeline.one_of_each_class(spark, spark.read.parquet(f"{tmp_path}/docs"), SF).collect()
+    finally:
+        spark.conf.set(conf, before)
+    assert sorted(r["text"] for r in left) == sorted({text for _, text in rows})
+
+
 def test_decontamination_stage(spark, stages):
     before, after = stages["decontamination"]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
