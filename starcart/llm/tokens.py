@@ -23,7 +23,9 @@ from itertools import batched
 from .common import BoundedCache, worker_value
 
 _BEFORE_WORD = re.compile(r"(?<=\S) (?=\S)")
-_HEAD = "\0"  # marks the first piece of a text, which has no space before it
+# Marks the first piece of a text, which has no space before it. No other piece starts with a
+# space: ``cut`` leaves none in the pieces, and in ``careful_cut`` they start behind one.
+_HEAD = " "
 
 
 def cut(text: str, style: str) -> list:
@@ -37,7 +39,7 @@ def cut(text: str, style: str) -> list:
 
 def odd(piece, style: str) -> bool:
     """Does a space stand beside other white space here, so that the text must be cut with care?"""
-    return style == "spaced" and (not piece or piece[0].isspace() or piece[-1].isspace() or piece == _HEAD)
+    return style == "spaced" and (not piece or piece[-1].isspace() or (piece[0] != _HEAD and piece[0].isspace()))
 
 
 def careful_cut(text: str) -> list[str]:

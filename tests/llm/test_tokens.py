@@ -32,6 +32,16 @@ def test_pieces_give_the_ids_of_the_whole_text(path, style):
         assert np.frombuffer(ids, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path,style", [(WORDS, "words"), (BYTES, "spaced")])
+def test_pieces_of_texts_with_nul(path, style):
+    rng = random.Random(8)
+    alphabet = list("ab \0\n\x1c.é")
+    texts = ["a \0b", "a \0 b", "\0", " \0", "\0a", *("".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(5000))]
+    encoder, whole = PieceEncoder(path, style, cache=500), tokenizer(path)
+    for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def expected_table(rows):
     t, start, out = tokenizer(WORDS), 0, []
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
