@@ -8,6 +8,10 @@ put together, are the ids of the whole text:
 * ``"spaced"``: a space belongs to the word behind it (``byte_bpe_50k``), so a text is
   cut before every single space that stands between two other characters.
 
+The operators take the file as it is: the name of one of its special tokens in a text gets
+that token's id, as by ``Tokenizer.encode(text, add_special_tokens=False)``. No such name
+holds white space, so none is cut.
+
 Ids are kept as little-endian integers of two bytes (four for vocabularies over
 65 536 entries).
 """
@@ -53,21 +57,25 @@ def id_type(vocabulary: int) -> str:
 
 
 class PieceEncoder:
-    """Ids of texts by one tokenizer file; keeps the ids of at most ``cache`` pieces."""
+    """Ids of texts by one tokenizer file; keeps the ids of at most ``cache`` pieces.
+
+    ``spell_names``: names of special tokens in a text are spelt out like other text.
+    """
 
-    def __init__(self, path: str, style: str, cache: int = 900_000):
+    def __init__(self, path: str, style: str, cache: int = 900_000, spell_names: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are text
+        self.tokenizer.encode_special_tokens = spell_names
         self.style = style
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.pieces = BoundedCache(cache)
 
     @classmethod
     def of_worker(cls, path: str, style: str) -> PieceEncoder:
-        return worker_value(("encoder", path, style), lambda: cls(path, style))
+        """The encoder of the operators, by the untouched tokenizer file."""
+        return worker_value(("encoder", path, style), lambda: cls(path, style, spell_names=False))
 
     def _ids(self, pieces: list) -> list[bytes]:
         if self.style == "words":

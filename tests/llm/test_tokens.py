@@ -42,6 +42,29 @@ def test_pieces_of_texts_with_nul(path, style):
         assert np.frombuffer(ids, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+NAMES = ["x <|endoftext|> y", "<|endoftext|>", "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext|>c", "\n <|endoftext|>  \n z", "<|endoftext |>"]
+
+
+@pytest.mark.parametrize("path,style", [(WORDS, "words"), (BYTES, "spaced")])
+def test_pieces_with_names_of_special_tokens_as_by_the_plain_call(path, style):
+    rng = random.Random(9)
+    alphabet = [*"ab'sé \n\t\0.1", "\u0301", "<|endoftext|>", "<|startoftext|>", "<|endof", "text|>"]
+    texts = [*NAMES, *("".join(rng.choices(alphabet, k=rng.randint(0, 20))) for _ in range(5000))]
+    encoder, plain = PieceEncoder.of_worker(path, style), Tokenizer.from_file(path)
+    for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_operators_give_the_ids_of_the_plain_call(table):
+    words, pieces = (Tokenizer.from_file(p) for p in (WORDS, BYTES))
+    files = token_files.token_table(table(list(enumerate(NAMES))), WORDS, "words", 2, 49_408).collect()
+    packed = packing.pack_documents(table(list(enumerate(NAMES))), BYTES, "spaced", end_id=0, length=2048).collect()
+    for got, plain, end in ((files, words, 2), (packed, pieces, 0)):
+        checksums = {r["doc_id"]: r["ids_crc32"] for r in got}
+        for i, text in enumerate(NAMES):
+            assert checksums[i] == zlib.crc32(np.array(plain.encode(text, add_special_tokens=False).ids + [end], dtype="<u4")), text
+
+
 def expected_table(rows):
     t, start, out = tokenizer(WORDS), 0, []
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
