@@ -1,11 +1,11 @@
 """License scans by a trained paragraph classifier (operator 9).
 
 A paragraph is a line with a word; its features are the word 1- and 2-grams that occur in
-licence templates and are not common in ordinary text. A multinomial logistic regression
-with an L1 penalty tells licence families and ``unknown`` apart. It is trained on windows of
-the template sentences and on a bounded sample of the corpus' own paragraphs (those with the
-smallest hashes that hold no whole template sentence) as ``unknown``; its temperature is
-calibrated on a part kept from training. A prediction counts as confirmed when the paragraph
+licence templates and are not common in ordinary text, counted over the distinct paragraphs
+of all documents that hold no three words of a template sentence in a row. A multinomial
+logistic regression with an L1 penalty tells licence families and ``unknown`` apart. It is
+trained on windows of the template sentences and on a bounded sample of those paragraphs (the
+distinct ones with the smallest hashes) as ``unknown``; its temperature is calibrated on a part kept from training. A prediction counts as confirmed when the paragraph
 also holds enough of the 2-word shingles of one of the family's template sentences.
 
 Only DataFrame functions and Spark's own regression are used. A paragraph without any feature
@@ -21,6 +21,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -94,33 +95,65 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]]) -> Data
     return spark.createDataFrame(rows, "family string, sentence int, line string").withColumn("w", words_of(F.col("line")))
 
 
-def training_rows(docs: DataFrame, templates: DataFrame, unknown: int) -> DataFrame:
+def _known(grams: list[str]) -> Callable[[Column], Column]:
+    """Is a gram one of ``grams`` (a hash set in the plan)?"""
+    return lambda g: g.isin(grams) if grams else F.lit(False)
+
+
+def trigrams_of(words: Column) -> Column:
+    triples = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)))
+    return F.slice(triples, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+
+
+def ordinary(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """``lines`` without those that hold three words of a template sentence in a row; ``found`` has their template grams."""
+    parts = templates.agg(F.flatten(F.collect_set(grams_of(F.col("w")))).alias("g"), F.flatten(F.collect_set(trigrams_of(F.col("w")))).alias("t")).first()
+    words, pairs = sorted({g for g in parts["g"] if " " not in g}), sorted({g for g in parts["g"] if " " in g})
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(words) & F.get("w", i + 1).isin(words))
+    bigrams = F.transform(at, lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
+    marked = lines.withColumn("pairs", F.array_distinct(F.filter(bigrams, _known(pairs))))
+    overlaps = F.when(F.size("pairs") > 1, F.exists(trigrams_of(F.col("w")), _known(sorted(set(parts["t"]))))).otherwise(False)
+    return marked.where(~overlaps).withColumn("found", F.concat(F.array_distinct(F.filter("w", _known(words))), "pairs")).drop("pairs")
+
+
+def frequencies(lines: DataFrame) -> tuple[int, dict[int, int]]:
+    """Number of distinct ``lines`` (w, found), and of those with a gram by the gram's hash (bounded by the templates)."""
+    distinct = lines.select(F.xxhash64("w").alias("line"), F.transform("found", lambda g: F.xxhash64(g)).alias("found")).distinct()
+    grams = distinct.select(F.explode(F.concat(F.array(F.lit(None).cast("long")), "found")).alias("gram"))
+    counts = {r["gram"]: r["n"] for r in grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return counts.pop(None, 0), counts
+
+
+def sample_lines(lines: DataFrame, distinct: int, wanted: int) -> DataFrame:
+    """The ``wanted`` distinct ``lines`` of three words or more with the smallest hashes, of ``distinct`` in all."""
+    share = min(1.0, 8 * wanted / max(distinct, 1))
+    while True:
+        some = lines.where((F.size("w") >= 3) & (F.xxhash64("w") <= int(-(2**63) + share * (2**64 - 2**12)))).select("w").distinct()
+        some = materialize(some.orderBy(F.xxhash64("w"), "w").limit(wanted), "licence-unknown")
+        if share == 1.0 or some.count() >= wanted:
+            return some
+        share = min(1.0, 8 * share)
+
+
+def training_rows(sample: DataFrame, templates: DataFrame) -> DataFrame:
     """(family, w, held): windows of at least 60 % of a template sentence, and sampled paragraphs."""
     size = F.size("w")
     least = F.ceil(0.6 * size).cast("int")
     windows = templates.select("family", "w", F.explode(F.sequence(least, size)).alias("n"))
     windows = windows.select("family", "w", "n", F.explode(F.sequence(F.lit(1), size - F.col("n") + 1)).alias("at"))
     windows = windows.select("family", F.slice("w", F.col("at"), F.col("n")).alias("w")).distinct()
-    lines = paragraphs(docs).select("w").where(F.size("w") >= 3)
-    whole = templates.agg(F.collect_set(F.array_join("w", " ")).alias("s"))
-    sentences = whole.first()["s"]  # bounded by the templates
-    text = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    ordinary = lines.where(~F.array_contains(F.transform(F.lit(sentences), lambda s: text.contains(F.concat(F.lit(" "), s, F.lit(" ")))), True))
-    sample = ordinary.orderBy(F.xxhash64("w"), "w").limit(unknown).select(F.lit(UNKNOWN).alias("family"), "w")
     held = (F.pmod(F.xxhash64("w", F.lit("held")), F.lit(5)) == 0).alias("held")
-    return windows.union(sample).select("family", "w", held)
+    return windows.union(sample.select(F.lit(UNKNOWN).alias("family"), "w")).select("family", "w", held)
 
 
 def train(docs: DataFrame, templates: DataFrame, unknown: int = 2000, common: float = 0.01) -> tuple[DataFrame, list[str]]:
     """Weights (gram, family, weight; the intercept is the gram "") and the feature words."""
     spark = docs.sparkSession
-    rows = materialize(training_rows(docs, templates, unknown), "licence-training")
-    ordinary = rows.where(F.col("family") == UNKNOWN)
-    total = ordinary.count()
-    seen = ordinary.select(F.explode(grams_of(F.col("w"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    own = templates.select(F.explode(grams_of(F.col("w"))).alias("gram")).distinct()
-    rare = own.join(seen, "gram", "left").where(F.coalesce("n", F.lit(0)) <= common * total).select("gram")
-    grams = sorted(r["gram"] for r in rare.collect())  # bounded by the templates
+    lines = ordinary(paragraphs(docs).select("w"), templates)
+    total, seen = frequencies(lines)
+    rows = materialize(training_rows(sample_lines(lines, total, unknown), templates), "licence-training")
+    own = templates.select(F.explode(grams_of(F.col("w"))).alias("gram")).distinct().select("gram", F.xxhash64("gram").alias("h"))
+    grams = sorted(r["gram"] for r in own.collect() if seen.get(r["h"], 0) <= common * total)  # bounded by the templates
     feature_words = {g for g in grams if " " not in g}
     grams = [g for g in grams if " " not in g or set(g.split()) & feature_words]
     families = sorted({r["family"] for r in templates.select("family").distinct().collect()} | {UNKNOWN})
@@ -179,7 +212,7 @@ def scan(
     weights, feature_words = train(docs, table, unknown)
     weights = materialize(weights, "licence-weights")
     families = sorted(r["family"] for r in weights.select("family").distinct().collect())
-    with_word = paragraphs(docs).where(F.arrays_overlap("w", F.lit(feature_words)) if feature_words else F.lit(False))
+    with_word = paragraphs(docs).where(F.exists("w", _known(feature_words)))
     with_word = materialize(with_word.select("doc_id", "paragraph", F.array_join("w", " ").alias("text")), "licence-paragraphs")
     lines = with_word.select("text").distinct().select(F.split("text", " ").alias("w"))
 
