@@ -41,19 +41,3 @@ def test_repeated_rows_and_empty(table):
 def test_native_plan(table):
     plan = licenses.scan(table([(1, "All rights reserved.")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-
-
-def test_copies_and_parts_of_templates_are_no_ordinary_lines(spark, table):
-    """Copies of a line are one line in the statistics, and a part of a template none."""
-    rng = random.Random(4)
-    part = "WARRANTIES OR CONDITIONS OF ANY KIND, either"
-    texts = [part] * 2000 + ["the of zorn"] * 2000 + [" ".join(["the", *rng.choices(WORDS, k=6)]) for _ in range(400)]
-    docs = table(list(enumerate(texts)))
-    templates = licenses.template_table(spark, licenses.TEMPLATES)
-    lines = licenses.ordinary(licenses.paragraphs(docs).select("w"), templates)
-    total, seen = licenses.frequencies(lines)
-    hashes = {r["gram"]: r["h"] for r in spark.sql("SELECT gram, xxhash64(gram) AS h FROM VALUES ('the'), ('of'), ('warranties') AS t(gram)").collect()}
-    assert total == len(set(texts)) - 1 == seen[hashes["the"]]
-    assert seen[hashes["of"]] == sum("of" in t.split() for t in set(texts)) and hashes["warranties"] not in seen
-    sample = [" ".join(r["w"]) for r in licenses.sample_lines(lines, total, 300).collect()]
-    assert len(sample) == len(set(sample)) == 300 and set(sample) <= set(texts) - {part}
