@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from tests.paths import SF_MID
 from starcart.operators import quality, rec_checks, recommend
 from starcart.plans.warehouse import warehouse_star
 from starcart.sources.schema import Star

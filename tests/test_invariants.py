@@ -7,7 +7,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tests.paths import SF_SMALL
 from micro import micro_star
 from starcart.operators import basket, customer, kpi, product, recommend
 from starcart.sources.driver import driver_star

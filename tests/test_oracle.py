@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from tests.paths import SF_SMALL
 from oracle_compare import compare, duck
 from starcart import registry
 

@@ -7,7 +7,7 @@ import tempfile
 
 import pytest
 
-from conftest import SF_SMALL
+from tests.paths import SF_SMALL
 from tools.plan_report import final_part
 from starcart.operators import customer, kpi, product, recommend
 from starcart.plans import build as B

@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tests.paths import SF_SMALL
 from micro import micro_star
 from starcart.operators import kpi, quality, recommend
 from starcart.plans import build as B

@@ -7,7 +7,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tests.paths import SF_SMALL
 from starcart import registry
 from starcart.operators import kpi, recommend
 from starcart.operators.recommend import product_signals

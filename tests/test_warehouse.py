@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import SF_SMALL
+from tests.paths import SF_SMALL
 from starcart.plans.warehouse import warehouse_star
 from starcart.sources.driver import driver_star
 
