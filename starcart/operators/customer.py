@@ -89,7 +89,7 @@ def clv_histogram(star: Star, bins: int = 20) -> DataFrame:
     Bounds and bin numbers use exact decimal arithmetic; min and max are scalar
     subqueries (one row each), the bin counts a partial aggregate.
     """
-    clv = clv_base(star).select(F.col("lifetime_revenue").alias("v"))
+    clv = _clv_table(star).select(F.col("lifetime_revenue").alias("v"))
     lo = clv.select(F.min("v")).scalar()
     hi = clv.select(F.max("v")).scalar()
     span = hi - lo
@@ -109,7 +109,7 @@ def clv_histogram(star: Star, bins: int = 20) -> DataFrame:
 
 def average_clv(star: Star) -> DataFrame:
     """Mean lifetime revenue over buying customers."""
-    return clv_base(star).agg(
+    return _clv_table(star).agg(
         F.count(F.lit(1)).alias("customers"),
         money_mean("lifetime_revenue").alias("average_clv"),
     )
@@ -129,11 +129,17 @@ def top_customers_by_clv(star: Star, n: int = 20) -> DataFrame:
     return numbered.withColumn("spending_quartile", tile).drop("_rn").orderBy(*_by_revenue())
 
 
+def orders_of_customers(star: Star) -> DataFrame:
+    """customer_key, order_count of every customer in the fact, known to the dimension or not."""
+    def make() -> DataFrame:
+        return star.fact.groupBy("customer_key").agg(F.countDistinct("order_id").alias("order_count"))
+
+    return once_per_star(star, "customer-orders", make)
+
+
 def repeat_purchase_rate(star: Star, zero: str = "null") -> DataFrame:
     """Share of buying customers with more than one distinct order."""
-    per_customer = star.fact.groupBy("customer_key").agg(
-        F.countDistinct("order_id").alias("order_count")
-    )
+    per_customer = orders_of_customers(star)
     agg = per_customer.agg(
         F.count(F.lit(1)).alias("total_customers"),
         F.count_if(F.col("order_count") > 1).alias("repeat_customers"),
@@ -148,8 +154,7 @@ def repeat_purchase_rate(star: Star, zero: str = "null") -> DataFrame:
 
 def customer_segments(star: Star) -> DataFrame:
     """Customers and mean revenue / profit / orders per segment."""
-    clv = clv_base(star)
-    return clv.groupBy("customer_segment").agg(
+    return _clv_table(star).groupBy("customer_segment").agg(
         F.count(F.lit(1)).alias("count"),
         money_mean("lifetime_revenue").alias("avg_revenue"),
         money_mean("lifetime_profit").alias("avg_profit"),

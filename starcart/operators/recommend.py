@@ -14,8 +14,9 @@ candidate key. Maxima are taken after the joins and the active filter.
 
 Plan (one large shuffle per step, none on a single partition):
   * product signals (popularity, mean line margin) come from the (order, product)
-    aggregate; they and the product attributes join the aggregated pairs, which
-    are then written once;
+    aggregate and are written with the product attributes, one narrow row a product;
+  * the aggregated pairs are written once with four columns; attributes join them
+    where they are used, by a broadcast of checked size;
   * pairs come from the blocked self-join in ``basket`` (huge baskets split);
   * per-source maxima are a partial aggregate (a hot source collapses
     map-side); hot sources (bounded in number) are split over salts and their
@@ -109,7 +110,7 @@ def candidate_margin(star: Star) -> DataFrame:
 
 # ------------------------------------------------------------- scoring ----
 
-ATTRS = ["subcategory", "is_active", "in_dim", "product_order_count", "margin_avg"]
+ATTRS_BROADCAST_ROWS = 1_000_000  # product rows (some 60 bytes each) that are broadcast to the pairs
 
 
 def _product_attrs(star: Star, facts: DataFrame) -> DataFrame:
@@ -123,26 +124,28 @@ def _product_attrs(star: Star, facts: DataFrame) -> DataFrame:
     return signals.join(prod, "product_key", "left").withColumn("in_dim", F.coalesce(F.col("in_dim"), F.lit(False)))
 
 
+def _basket_facts(star: Star) -> DataFrame:
+    """``order_product_facts``, written once: items, signals and order sizes prune it differently."""
+    return once_per_star(star, "order-products", lambda: order_product_facts(star))
+
+
+def product_attrs(star: Star) -> DataFrame:
+    """Attributes and signals of every product of the fact, written once (one narrow row a product)."""
+    return once_per_star(star, "product-attrs", lambda: _product_attrs(star, _basket_facts(star)))
+
+
 def pair_mart(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
-    """The co-purchase pairs with the attributes of both products, as parquet.
+    """The co-purchase pairs as parquet: two keys, count and last date.
 
-    Pairs are aggregated on the two keys alone, so the largest shuffle carries four
-    narrow columns; the attributes join the aggregated pairs. Written once to the
-    shared checkpoint folder (this also cuts the lineage back through the self-join
-    if executors are lost). For a materialised star (``star.origin``) the mart is
-    built once per application and reused by every recommendation query on it.
+    Pairs are aggregated and stored on the two keys alone, so the largest shuffle and
+    every later read carry four narrow columns; attributes join where they are used.
+    Written once to the shared checkpoint folder (this also cuts the lineage back through
+    the self-join if executors are lost). For a materialised star (``star.origin``) the
+    mart is built once per application and reused by every recommendation query on it.
     """
     def make() -> DataFrame:
-        # Read by several consumers (items, signals, order sizes) that prune it
-        # differently, so it is written once instead of recomputed per consumer.
-        facts = materialize(order_product_facts(star), "order_products")
-        items = order_products(star, facts)
-        pairs = aggregate_pairs(pair_rows(tagged=tag_blocks(items, block_size, sizes_from=items)))
-        attrs = materialize(_product_attrs(star, facts), "product_attrs")
-        for side, key in (("s", "source_product_key"), ("c", "candidate_product_key")):
-            named = attrs.select(F.col("product_key").alias(key), *[F.col(a).alias(f"{a}_{side}") for a in ATTRS])
-            pairs = pairs.join(named, key)  # every item's product has signals: no pair is lost
-        return pairs
+        items = order_products(star, _basket_facts(star))
+        return aggregate_pairs(pair_rows(tagged=tag_blocks(items, block_size, sizes_from=items)))
 
     return once_per_star(star, f"pairs-{block_size}", make)
 
@@ -150,24 +153,22 @@ def pair_mart(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
 def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Directed pairs whose source is a known product and candidate an active one.
 
-    Two filtered projections of the mart; the filters reach its scans.
+    The attributes of a product are joined to the mirrored pairs once for each side: by
+    broadcast while ``product_attrs`` (one row a product) counts no more than
+    ATTRS_BROADCAST_ROWS, else by a shuffle whose hot products AQE splits.
     """
-    mart = pair_mart(star, block_size)
-
-    def side(s: str, c: str, source: str, candidate: str) -> DataFrame:
-        known = (
-            F.col(f"in_dim_{s}") & F.col(f"in_dim_{c}") & F.col(f"is_active_{c}")
-            & F.col(f"product_order_count_{c}").isNotNull() & F.col(f"margin_avg_{c}").isNotNull()
-        )
-        return mart.where(known).select(
-            F.col(source).alias("source_product_key"), F.col(candidate).alias("candidate_product_key"),
-            "co_purchase_count", "last_together_date", F.col(f"subcategory_{s}").alias("subcategory_s"),
-            F.col(f"subcategory_{c}").alias("subcategory_c"),
-            F.col(f"product_order_count_{c}").alias("product_order_count_c"), F.col(f"margin_avg_{c}").alias("margin_avg_c"),
-        )
-
-    keys = ("source_product_key", "candidate_product_key")
-    return side("s", "c", *keys).unionByName(side("c", "s", *reversed(keys)))
+    attrs = product_attrs(star)
+    few = attrs.count() <= ATTRS_BROADCAST_ROWS  # a written table: read from its footers
+
+    def named(side: str, key: str, rows: DataFrame, columns: list[str]) -> DataFrame:
+        kept = rows.select(F.col("product_key").alias(key), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        return F.broadcast(kept) if few else kept
+
+    known = attrs.where("in_dim")
+    active = known.where("is_active and product_order_count is not null and margin_avg is not null")
+    sources = named("s", "source_product_key", known, ["subcategory"])
+    candidates = named("c", "candidate_product_key", active, ["subcategory", "product_order_count", "margin_avg"])
+    return mirrored(pair_mart(star, block_size)).join(candidates, "candidate_product_key").join(sources, "source_product_key")
 
 
 def source_stats(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:

@@ -26,30 +26,36 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, stage_path
 from ..sources import driver
-from ..sources.schema import Star
+from ..sources.schema import TABLE_FIELDS, Star
 
 _LOCK = threading.RLock()
 _BUILT: dict[tuple, str] = {}
-
-_FIELDS = {
-    "dim_date": "date", "dim_customer": "customer", "dim_category": "category",
-    "dim_product": "product", "dim_payment": "payment", "dim_shipping": "shipping",
-    "fact_order_line": "fact",
-}
+_STARS: dict[tuple, Star] = {}
 
 
 def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Paths, sizes and times of the input files plus the adapter source.
 
-    One aggregate over the file listing (no file is opened), so any file system
-    Spark reads will do and nothing grows on the driver.
+    The state of a table in one file is asked of its file system; tables in folders are
+    listed by Spark in one aggregate (no file is opened, nothing grows on the driver).
     """
-    paths = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in driver.DRIVER_TABLES]
-    files = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
-    row = files.agg(
-        F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
-    ).first()
-    return hashlib.sha256(f"{sf_dir}|{tuple(row)}|{inspect.getsource(driver)}".encode()).hexdigest()[:16]
+    context = spark.sparkContext
+    conf, to_path = context._jsc.hadoopConfiguration(), context._jvm.org.apache.hadoop.fs.Path
+    files, folders = [], []
+    for name in driver.DRIVER_TABLES:
+        path = to_path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        if status.isDirectory():
+            folders.append(path.toString())
+        else:
+            files.append((name, status.getLen(), status.getModificationTime()))
+    if folders:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+        listed = listed.select("path", "length", "modificationTime")
+        files.append(tuple(listed.agg(
+            F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
+        ).first()))
+    return hashlib.sha256(f"{sf_dir}|{files}|{inspect.getsource(driver)}".encode()).hexdigest()[:16]
 
 
 def materialize_star(star: Star, path: str) -> None:
@@ -66,24 +72,34 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def read_star(spark: SparkSession, path: str) -> Star:
     """The seven tables of a materialised star (schema from the files)."""
-    frames = {field: spark.read.parquet(f"{path}/{name}") for name, field in _FIELDS.items()}
+    frames = {field: spark.read.parquet(f"{path}/{name}") for name, field in TABLE_FIELDS.items()}
     return Star(**frames, origin=path)
 
 
 class WarehouseStar(Star):
-    """A star over the driver tables that writes a costly table when it is first used."""
+    """A star over the driver tables that writes a costly table when it is first used.
+
+    ``keep``: the folder outlives the application, so a table that another one finished
+    there (for the same state of the inputs) is read, never written over.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, folder: str):
-        object.__setattr__(self, "_source", driver.driver_star(spark, sf_dir, spread=True))
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str, keep: bool = False):
         object.__setattr__(self, "_spark", spark)
+        object.__setattr__(self, "_sf_dir", sf_dir)
+        object.__setattr__(self, "_keep", keep)
         object.__setattr__(self, "origin", folder)
 
-    def _written(self, name: str, df: DataFrame) -> DataFrame:
+    @cached_property
+    def _source(self) -> Star:
+        return driver.driver_star(self._spark, self._sf_dir, spread=True)
+
+    def _written(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.origin}/{name}"
         key = (self._spark.sparkContext.applicationId, path)
         with _LOCK:
             if key not in _BUILT:
-                write_table(df, path)
+                if not (self._keep and is_finished(self._spark, path)):
+                    write_table(make(), path)
                 _BUILT[key] = path
         return self._spark.read.parquet(path)
 
@@ -94,25 +110,36 @@ class WarehouseStar(Star):
 
     @cached_property
     def date(self) -> DataFrame:
-        return self._written("dim_date", self._source.date)
+        return self._written("dim_date", lambda: self._source.date)
 
     @cached_property
     def payment(self) -> DataFrame:
-        return self._written("dim_payment", self._source.payment)
+        return self._written("dim_payment", lambda: self._source.payment)
 
     @cached_property
     def fact(self) -> DataFrame:
-        return self._written("fact_order_line", self._source.fact)
+        return self._written("fact_order_line", lambda: self._source.fact)
+
+
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """Has a write of this folder been committed?"""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
 def warehouse_star(spark: SparkSession, sf_dir: str, folder: str | None = None) -> Star:
-    """The driver tables as a star; ``folder`` keeps the written tables beyond the application."""
+    """The driver tables as a star; ``folder`` keeps the written tables beyond the application.
+
+    One star serves all calls of an application for one state of the inputs, so a repeated
+    call asks for that state and plans nothing.
+    """
     mark = input_fingerprint(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir, mark, folder)
     with _LOCK:
-        if key not in _BUILT:
-            _BUILT[key] = f"{folder.rstrip('/')}/{mark}" if folder else stage_path(spark, "warehouse")
-        return WarehouseStar(spark, sf_dir, _BUILT[key])
+        if key not in _STARS:
+            path = f"{folder.rstrip('/')}/{mark}" if folder else stage_path(spark, "warehouse")
+            _STARS[key] = WarehouseStar(spark, sf_dir, path, keep=bool(folder))
+        return _STARS[key]
 
 
 def once_per_star(star: Star, name: str, make: Callable[[], DataFrame]) -> DataFrame:

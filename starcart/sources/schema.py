@@ -167,6 +167,14 @@ VARCHAR_LIMITS = {
 }
 
 
+# Table of the warehouse -> field of ``Star``.
+TABLE_FIELDS = {
+    "dim_date": "date", "dim_customer": "customer", "dim_category": "category",
+    "dim_product": "product", "dim_payment": "payment", "dim_shipping": "shipping",
+    "fact_order_line": "fact",
+}
+
+
 @dataclass(frozen=True)
 class Star:
     """The seven warehouse tables as lazy DataFrames."""
@@ -183,12 +191,7 @@ class Star:
     origin: str | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        names = {
-            "date": "dim_date", "customer": "dim_customer", "category": "dim_category",
-            "product": "dim_product", "payment": "dim_payment", "shipping": "dim_shipping",
-            "fact": "fact_order_line",
-        }
-        return {names[f.name]: getattr(self, f.name) for f in fields(self) if f.name in names}
+        return {name: getattr(self, field) for name, field in TABLE_FIELDS.items()}
 
     def with_fact(self, fact: DataFrame) -> "Star":
         return Star(self.date, self.customer, self.category, self.product,
@@ -205,7 +208,3 @@ class Star:
                 df = df.withColumn(c, F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)))
             frames[field.name] = df
         return Star(**frames)
-
-    def register_views(self, prefix: str = "") -> None:
-        for name, df in self.tables().items():
-            df.createOrReplaceTempView(prefix + name)
