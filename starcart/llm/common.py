@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,28 +58,80 @@ def texts(column: pa.Array, step: int = 256) -> Iterator[str]:
 
 
 def worker_value(key, make: Callable[[], object]):
-    """A value kept by the Python worker from task to task (made once per process)."""
-    registry = sys.modules.setdefault("_starcart_worker", types.ModuleType("_starcart_worker")).__dict__
-    if key not in registry:
-        registry[key] = make()
-    return registry[key]
+    """A value kept by the Python worker from task to task (made once per process).
+
+    A worker keeps one value: the next operator's replaces it, so the stages of a pipeline
+    do not add up in memory.
+    """
+    kept = sys.modules.setdefault("_starcart_worker", types.ModuleType("_starcart_worker")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
 class BoundedCache(dict):
-    """A dict that empties itself when a batch would carry it over ``limit`` entries.
+    """A dict that empties itself when a batch would carry it over ``limit`` entries or ``most_bytes`` of keys.
 
-    Bounds a worker's memory whatever the number of distinct keys in its partition.
+    Bounds a worker's memory whatever the number and length of the keys in its partition.
     """
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, most_bytes: int = 32 << 20):
         super().__init__()
-        self.limit = limit
+        self.limit, self.most_bytes, self.held = limit, most_bytes, 0
 
     def fill(self, keys, make: Callable[[list], list]) -> None:
         """Add the missing ``keys``; ``make`` computes their values in one call."""
         missing = [k for k in keys if k not in self]
-        if missing and len(self) + len(missing) > self.limit:
+        if not missing:
+            return
+        size = sum(map(len, missing))
+        if len(self) + len(missing) > self.limit or self.held + size > self.most_bytes:
             self.clear()
             missing = list(keys)
-        if missing:
-            self.update(zip(missing, make(missing), strict=True))
+            self.held, size = 0, sum(map(len, missing))
+        self.held += size
+        self.update(zip(missing, make(missing), strict=True))
+
+
+class Codes(dict):
+    """Consecutive numbers for keys in the order in which they are first looked up."""
+
+    def __missing__(self, key) -> int:
+        code = self[key] = len(self)
+        return code
+
+
+class Ragged:
+    """Number lists by code: added at the end, gathered by numpy."""
+
+    def __init__(self, dtype):
+        self.flat = np.empty(1 << 16, dtype)
+        self.ends = np.zeros(1 << 12, np.int64)  # ends[i]: where list i - 1 ends
+        self.count = 0
+
+    def __len__(self) -> int:
+        return self.count
+
+    @staticmethod
+    def _room(array: np.ndarray, size: int) -> np.ndarray:
+        if size <= len(array):
+            return array
+        wider = np.empty(max(size, 2 * len(array)), array.dtype)
+        wider[: len(array)] = array
+        return wider
+
+    def extend(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        used = int(self.ends[self.count])
+        self.flat = self._room(self.flat, used + len(values))
+        self.ends = self._room(self.ends, self.count + len(lengths) + 1)
+        self.flat[used : used + len(values)] = values
+        self.ends[self.count + 1 : self.count + 1 + len(lengths)] = used + np.cumsum(lengths)
+        self.count += len(lengths)
+
+    def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of ``codes`` one after the other, and the length of each."""
+        starts = self.ends[codes]
+        lengths = self.ends[codes + 1] - starts
+        before = np.cumsum(lengths) - lengths
+        return self.flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))], lengths

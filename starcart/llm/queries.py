@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, packing, quality, sharding, token_counts, token_files, toxicity, url_filter
+from . import bpe, decontaminate, divergence, jaccard, licenses, packing, quality, sharding, spelling, token_counts, token_files, toxicity, url_filter
 from .common import read
 
 # The rules of operator 10.
@@ -96,6 +96,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed_urls(pages), URL_RULES).drop("listed")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of every language's sources to each other, and the terms that each over-uses most."""
+    return divergence.audit(read(spark, sf_dir, "documents"), least=10, ranks=10)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, every 97th (by checksum) damaged first."""
+    return spelling.variant_groups(read(spark, sf_dir, "documents"), every=97)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text they decode to, as digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.encode(read(spark, sf_dir, "documents"), path).withColumn("decoded", bpe.decode(F.col("ids"), path))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op10_sql() -> str:
     fits = " UNION ALL ".join(
         f"SELECT '{verdict}' AS verdict, '{rule}' AS rule, '{rule.partition('/')[0]}' AS h, '/{rule.partition('/')[2]}' AS p"
@@ -143,6 +163,37 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (k) LEFT JOIN found USING (k)"""
 
 
+def op11_sql(documents: str = "documents") -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    share = "(1 + (1000000000::HUGEINT * ({c} + 2)) // ({n} + 2 * v))"
+    differ = "((p - q) * (p - q)) // (p + q)"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         unnest(regexp_extract_all({lower}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {documents}),
+grp AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM {documents}),
+kept AS (SELECT lang, term, count(*) AS whole FROM d GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(whole) AS n FROM kept GROUP BY lang),
+cnt AS (SELECT lang, source, term, count(*) AS c FROM d SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM grp g LEFT JOIN cnt USING (lang, source) GROUP BY ALL),
+grid AS (
+  SELECT s.lang, s.source, kept.term, coalesce(c, 0) AS c, {share.format(c="coalesce(c, 0)", n="s.n")} AS p,
+         {share.format(c="whole", n="langs.n")} AS q
+  FROM sums s JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN cnt ON cnt.lang = s.lang AND cnt.source = s.source AND cnt.term = kept.term),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum({differ.replace("p", "a.p").replace("q", "b.p")}) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, {differ} AS value FROM grid WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
@@ -154,8 +205,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op9_licenses": op9_licenses,
     "op10_url_filter": op10_url_filter,
+    "op11_divergence": op11_divergence,
+    "op12_spelling": op12_spelling,
+    "op13_bpe": op13_bpe,
 }
 
 
 def sql() -> dict[str, str]:
-    return {"op4_decontamination": op4_sql(), "op10_url_filter": op10_sql()}
+    return {"op4_decontamination": op4_sql(), "op10_url_filter": op10_sql(), "op11_divergence": op11_sql()}

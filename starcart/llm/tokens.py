@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 from collections.abc import Iterable, Iterator
-from itertools import batched
+from itertools import islice, pairwise
 
-from .common import BoundedCache, worker_value
+import numpy as np
+
+from .common import Codes, Ragged, worker_value
 
 _BEFORE_WORD = re.compile(r"(?<=\S) (?=\S)")
 # Marks the first piece of a text, which has no space before it. No other piece starts with a
@@ -62,7 +63,7 @@ class PieceEncoder:
     ``spell_names``: names of special tokens in a text are spelt out like other text.
     """
 
-    def __init__(self, path: str, style: str, cache: int = 900_000, spell_names: bool = True):
+    def __init__(self, path: str, style: str, cache: int = 600_000, spell_names: bool = True, cache_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -70,38 +71,81 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = spell_names
         self.style = style
         self.dtype = id_type(self.tokenizer.get_vocab_size())
-        self.pieces = BoundedCache(cache)
+        names = {} if spell_names else {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # Pieces are encoded many at a time, put together by a special token's name.
+        self.between, self.between_id = next(iter(names.items()), (None, None))
+        self.names = re.compile("|".join(map(re.escape, names))) if names else None
+        self.cache, self.cache_bytes = cache, cache_bytes
+        self.reset()
+
+    def reset(self) -> None:
+        self.codes, self.ids, self.held = Codes(), Ragged(self.dtype), 0
 
     @classmethod
     def of_worker(cls, path: str, style: str) -> PieceEncoder:
         """The encoder of the operators, by the untouched tokenizer file."""
         return worker_value(("encoder", path, style), lambda: cls(path, style, spell_names=False))
 
-    def _ids(self, pieces: list) -> list[bytes]:
+    def _string(self, piece) -> str:
         if self.style == "words":
-            strings = [p.decode() for p in pieces]
-        else:
-            strings = [p[1:] if p[:1] == _HEAD else " " + p for p in pieces]
-        code = "H" if self.dtype == "<u2" else "I"
-        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}{code}", *ids) for ids in (e.ids for e in found)]
-
-    def encode_all(self, texts: Iterable[str], step: int = 64) -> Iterator[bytes]:
-        """The ids of each text as bytes; new pieces are encoded for ``step`` texts at a time."""
-        known = self.pieces
-        for some in batched(texts, step):
-            cuts, new = [], set()
-            for text in some:
-                pieces = cut(text, self.style)
-                unseen = {p for p in pieces if p not in known}
-                if unseen and any(odd(p, self.style) for p in unseen):  # odd pieces are never kept
-                    pieces = careful_cut(text)
-                    unseen = {p for p in pieces if p not in known}
-                cuts.append(pieces)
-                new |= unseen
-            if len(known) + len(new) > known.limit:
-                new = set().union(*cuts)
-            if new:
-                known.fill(sorted(new), self._ids)
-            for pieces in cuts:
-                yield b"".join([known[p] for p in pieces])
+            return piece.decode()
+        return piece[1:] if piece[:1] == _HEAD else " " + piece
+
+    def _learn(self, pieces: list, together: int = 200) -> None:
+        """Encode new pieces and add their ids in order."""
+        strings = [self._string(p) for p in pieces]
+        alone = [i for i, s in enumerate(strings) if not self.between or ("<" in s and self.names.search(s))]
+        joined = strings
+        if self.between:
+            joined = ["" if i in hidden else s for i, s in enumerate(strings)] if (hidden := set(alone)) else strings
+            joined = [self.between.join(joined[i : i + together]) for i in range(0, len(joined), together)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+            ids = [np.array([*x, self.between_id], self.dtype) for x in found]
+            flat = np.concatenate(ids)
+            ends = np.flatnonzero(flat == self.between_id)
+            flat, lengths = flat[flat != self.between_id], np.diff(ends, prepend=-1) - 1
+        if not alone:
+            self.ids.extend(flat, lengths)
+            return
+        own = dict(zip(alone, (e.ids for e in self.tokenizer.encode_batch_fast([strings[i] for i in alone], add_special_tokens=False)), strict=True))
+        starts = np.cumsum(lengths) - lengths if self.between else None
+        lists = [own[i] if i in own else flat[starts[i] : starts[i] + lengths[i]] for i in range(len(strings))]
+        self.ids.extend(np.concatenate([np.array(x, self.dtype) for x in lists]), np.array([len(x) for x in lists]))
+
+    def _code(self, text: str) -> np.ndarray:
+        """The text's pieces as codes."""
+        known = len(self.codes)
+        pieces = cut(text, self.style)
+        codes = list(map(self.codes.__getitem__, pieces))
+        if self.style == "spaced" and len(self.codes) > known:
+            new = list(islice(reversed(self.codes), len(self.codes) - known))
+            if any(odd(p, self.style) for p in new):  # odd pieces are never kept
+                for p in new:
+                    del self.codes[p]
+                codes = list(map(self.codes.__getitem__, careful_cut(text)))
+        return np.array(codes, np.int64)
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        coded = [self._code(text) for text in texts]
+        if len(self.codes) > len(self.ids):
+            new = list(islice(reversed(self.codes), len(self.codes) - len(self.ids)))[::-1]
+            self._learn(new)
+            self.held += sum(map(len, new))
+        flat, lengths = self.ids.take(np.concatenate(coded))
+        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum([len(c) for c in coded]))].tolist()
+        for a, b in pairwise(ends):
+            yield flat[a:b].tobytes()
+        if len(self.codes) > self.cache or self.held > self.cache_bytes:
+            self.reset()
+
+    def encode_all(self, texts: Iterable[str], step: int = 1 << 20) -> Iterator[bytes]:
+        """The ids of each text as bytes; new pieces are encoded for about ``step`` characters at a time."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= step or len(some) >= 4096:
+                yield from self._encode(some)
+                some, size = [], 0
+        if some:
+            yield from self._encode(some)

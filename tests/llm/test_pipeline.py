@@ -113,7 +113,7 @@ def test_run_and_registration(spark):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     got = names["pipeline"](spark, SF)
     assert got.columns[:3] == ["doc_id", "piece", "start"] and got.count() > 0
     assert set(queries.sql()) <= set(__spark_entry__.oracle_sql())
