@@ -97,20 +97,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", compression: str | None = None) -> DataFrame:
     """Write ``df`` as parquet into the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing the
     plan) and lets several consumers share one computation. Columnar and
     compressed, so re-reads prune columns; cheaper than an RDD checkpoint of rows.
     """
-    return df.sparkSession.read.parquet(write_stage(df, name))
+    return df.sparkSession.read.parquet(write_stage(df, name, compression))
 
 
-def write_stage(df: DataFrame, name: str = "stage") -> str:
+def write_stage(df: DataFrame, name: str = "stage", compression: str | None = None) -> str:
     """Write ``df`` as parquet into a fresh folder of the checkpoint folder; returns the path."""
     path = stage_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return path
 
 
