@@ -52,7 +52,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             self.config = json.load(file)
-        model = self.config["model"]
+        model = self.config.pop("model")
         plain = {"dropout": (None, 0), "continuing_subword_prefix": (None, ""), "byte_fallback": (None, False), "ignore_merges": (None, False)}
         if model["type"] != "BPE" or any(model.get(k) not in allowed for k, allowed in plain.items()):
             raise ValueError("not a plain BPE file")
@@ -92,9 +92,8 @@ class Vocabulary:
         n = len(symbols)
         symbols = np.append(symbols, np.int32(-1))  # the place behind the last word: no symbol
         new_word = np.diff(owner, prepend=-1, append=-1) != 0
-        following = np.where(new_word[1:], n, np.arange(1, n + 1))
-        before = np.where(new_word[:-1], n, np.arange(-1, n - 1))
-        following, before = np.append(following, n), np.append(before, n)
+        following, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        following[:-1][new_word[1:]] = before[:-1][new_word[:-1]] = following[-1] = before[-1] = n
         self._apply(symbols, following, before, n)
         alive = symbols[:n] >= 0
         return symbols[:n][alive], np.bincount(owner[alive], minlength=len(words))
@@ -118,7 +117,8 @@ class Vocabulary:
                     heapq.heappush(active, rank)
 
         active: list[int] = []
-        enter(np.arange(n))
+        for a in range(0, n, 1 << 18):
+            enter(np.arange(a, min(n, a + (1 << 18)), dtype=np.int32))
         while active:
             rank = heapq.heappop(active)
             found = lists.pop(rank)
@@ -148,7 +148,7 @@ class Vocabulary:
 class Encoder:
     """Ids of whole texts by blocks; keeps the ids of at most ``cache`` chunks between them."""
 
-    def __init__(self, path: str, cache: int = 300_000, cache_bytes: int = 32 << 20):
+    def __init__(self, path: str, cache: int = 200_000, cache_bytes: int = 16 << 20):
         from tokenizers import Tokenizer
 
         self.vocabulary = Vocabulary(path)
@@ -220,7 +220,7 @@ class Encoder:
         return np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
 
 
-def encode(docs: DataFrame, tokenizer: str, block_bytes: int = 24 << 20, block_chunks: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, block_bytes: int = 16 << 20, block_chunks: int = 150_000) -> DataFrame:
     """doc_id and ids (array of int) of every row of ``docs``.
 
     A block ends at ``block_bytes`` of text or ``block_chunks`` new chunks.

@@ -6,14 +6,16 @@ count as letters), lower-cased in A-Z only. ASCII white space is never part of a
 text's terms are those of its white-space chunks:
 
 1. Chunks. Every task counts the chunks of its documents in blocks. A block is one packed
-   row (for each chunk the documents that hold it and how often) and one narrow row for each
-   of its distinct chunks.
-2. Terms. The narrow rows meet by chunk, sorted, and each globally distinct chunk is cut into
-   terms once, whatever the number of blocks that hold it. A chunk in every block costs a row
-   for each block, not for each occurrence.
-3. Join back. The terms return to their block, whose packed row gives for every (lang,
-   source, term) the distinct documents (a document counts once, through however many chunks
-   it holds the term) and the occurrences. Blocks are bounded, so is this join's memory.
+   row (for each chunk the documents that hold it and how often) and one narrow row (chunk,
+   number of documents) for each of its distinct chunks.
+2. Terms. The narrow rows are grouped by chunk, and each globally distinct chunk is cut into
+   terms once. A chunk in every block costs a row for each block, not for each occurrence.
+   The documents of a term's chunks add up to an upper bound of the term's documents; terms
+   whose bound is below ``least`` can be kept by no language and go no further.
+3. Join back. The terms return to the blocks that hold their chunks, and the packed row gives
+   for every (lang, source, term) the distinct documents (a document counts once, through
+   however many chunks it holds the term) and the occurrences. Blocks are bounded, so is this
+   join's memory.
 4. Aggregation. A language keeps the terms in at least ``least`` of its documents.
 
 With count occurrences in a group, N the group's sum over kept terms and V kept terms, a
@@ -35,8 +37,6 @@ terms has differences 0; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -44,20 +44,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import Codes
+from .common import Codes, ascii_lower
 
-_TERM = re.compile(rb"[a-z\x80-\xff]+")  # in UTF-8, lower-cased
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BLOCK = "block long, code int, chunk binary, counts binary, owners binary, times binary, groups binary, langs array<string>, sources array<string>"
-_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 5, *[pa.list_(pa.string())] * 2]
+NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_BLOCK = "block long, code int, chunk string, docs long, counts binary, owners binary, times binary, groups binary, langs array<string>, sources array<string>"
+_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4, *[pa.list_(pa.string())] * 2]
 _NAMES = [f.split()[0] for f in _BLOCK.split(", ")]
 SHARE = 1_000_000_000
 
 
-def terms_of(chunk: bytes) -> list[bytes]:
-    return _TERM.findall(chunk.translate(_LOWER))
-
-
 def _squeeze(numbers: np.ndarray, kind: str) -> bytes:
     raw = numbers.astype(kind).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
@@ -68,94 +63,71 @@ def _spread(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), kind)
 
 
-def chunk_blocks(docs: DataFrame, block_chunks: int = 3_000_000, block_docs: int = 60_000, block_bytes: int = 48 << 20) -> DataFrame:
-    """A packed row for each block of documents, and a row (block, code, chunk) for each of its distinct chunks.
+def chunk_blocks(docs: DataFrame, block_chunks: int = 6_000_000, block_docs: int = 60_000, block_bytes: int = 64 << 20) -> DataFrame:
+    """A packed row for each block of documents, and a row (block, code, chunk, docs) for each of its distinct chunks.
 
     A block ends at so many chunk occurrences, documents or bytes of text.
     """
 
-    def flush(block, chunks, coded, owners, groups):
-        where = np.repeat(np.arange(len(coded)), [len(c) for c in coded])
-        # Documents are renumbered by group, so that a group's documents are neighbours.
+    def flush(block, chunks, coded, times, owners, groups):
+        # Documents are numbered by group, so that a group's documents are neighbours.
         by_group = np.argsort(owners, kind="stable")
-        number = np.empty(len(owners), np.int64)
-        number[by_group] = np.arange(len(owners))
-        keys = np.concatenate(coded) * len(owners) + number[where] if coded else np.empty(0, np.int64)
-        keys, times = np.unique(keys, return_counts=True)
-        code, doc = keys // max(1, len(owners)), keys % max(1, len(owners))
+        coded, times = [coded[i] for i in by_group], [times[i] for i in by_group]
+        doc = np.repeat(np.arange(len(coded), dtype=np.uint16), [len(c) for c in coded])
+        code, times = np.concatenate(coded), np.concatenate(times)
+        # Chunks are numbered in their own order, so that their rows compress well.
+        names = np.array(list(chunks), object)
+        order = np.argsort(names)
+        rank = np.empty(len(names), np.int32)
+        rank[order] = np.arange(len(names), dtype=np.int32)
+        code = rank[code]
+        by_code = np.argsort(code, kind="stable")
+        counts = np.bincount(code, minlength=len(names))
         packed = (
-            block, None, None, _squeeze(np.bincount(code, minlength=len(chunks)), "<u4"), _squeeze(doc, "<u2"), _squeeze(times, "<u4"),
+            block, None, None, None, _squeeze(counts, "<u4"), _squeeze(doc[by_code], "<u2"), _squeeze(times[by_code], "<u4"),
             _squeeze(np.array(owners)[by_group], "<u4"), [g[0] for g in groups], [g[1] for g in groups],
         )
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(packed, _TYPES, strict=True)], names=_NAMES)
-        names = list(chunks)
         for at in range(0, len(names), 50_000):
-            some = names[at : at + 50_000]
-            columns = [pa.repeat(pa.scalar(block, pa.int64()), len(some)), pa.array(np.arange(at, at + len(some)), pa.int32()), pa.array(some, pa.binary())]
-            columns += [pa.nulls(len(some), t) for t in _TYPES[3:]]
+            some = names[order[at : at + 50_000]]
+            columns = [
+                pa.repeat(pa.scalar(block, pa.int64()), len(some)), pa.array(np.arange(at, at + len(some)), pa.int32()),
+                pa.array(some, pa.binary()).cast(pa.string()), pa.array(counts[at : at + 50_000], pa.int64()),
+            ]
+            columns += [pa.nulls(len(some), t) for t in _TYPES[4:]]
             yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     def make(batches):
         block = TaskContext.get().partitionId() << 32
-        chunks, coded, owners, groups, held, size = Codes(), [], [], Codes(), 0, 0
+        chunks, coded, times, owners, groups, held, size = Codes(), [], [], [], Codes(), 0, 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 raw = (text.as_py() or "").encode()
                 words = raw.split()
-                coded.append(np.fromiter(map(chunks.__getitem__, words), np.int64, len(words)))
+                code, n = np.unique(np.fromiter(map(chunks.__getitem__, words), np.int32, len(words)), return_counts=True)
+                coded.append(code)
+                times.append(n.astype(np.uint32))
                 owners.append(groups[lang.as_py() or "", source.as_py() or ""])
                 held += len(words)
                 size += len(raw)
                 if held >= block_chunks or len(owners) >= block_docs or size >= block_bytes:
-                    yield from flush(block, chunks, coded, owners, groups)
+                    yield from flush(block, chunks, coded, times, owners, groups)
                     block += 1
-                    chunks, coded, owners, groups, held, size = Codes(), [], [], Codes(), 0, 0
+                    chunks, coded, times, owners, groups, held, size = Codes(), [], [], [], Codes(), 0, 0
         if owners:
-            yield from flush(block, chunks, coded, owners, groups)
+            yield from flush(block, chunks, coded, times, owners, groups)
 
     return docs.select("lang", "source", "text").mapInArrow(make, _BLOCK)
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(block, code, term, times) of the rows (block, code, chunk); every distinct chunk is cut into terms once."""
-
-    def make(batches):
-        last, found = None, []
-        for batch in batches:
-            column = batch.column(2)
-            if not len(column):
-                continue
-            runs = column.to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
-            terms, times, sizes = [], [], []
-            for at in starts.tolist():
-                if runs[at] != last:
-                    last = runs[at]
-                    found = terms_of(last)
-                    if len(found) > 1:
-                        tally: dict[bytes, int] = {}
-                        for t in found:
-                            tally[t] = tally.get(t, 0) + 1
-                        found = list(tally.items())
-                    else:
-                        found = [(t, 1) for t in found]
-                terms += [t for t, _ in found]
-                times += [n for _, n in found]
-                sizes.append(len(found))
-            # Repeat each run's terms for all its rows.
-            sizes, rows = np.array(sizes), np.diff(np.append(starts, len(runs)))
-            first = np.append(0, np.cumsum(sizes))[:-1]
-            run = np.repeat(np.arange(len(starts)), rows)
-            row = np.repeat(np.arange(len(runs)), sizes[run])
-            within = np.arange(len(row)) - np.repeat(np.append(0, np.cumsum(sizes[run]))[:-1], sizes[run])
-            pick = pa.array(first[run[row]] + within)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)),
-                 pa.array(terms, pa.binary()).take(pick).cast(pa.string()), pa.array(times, pa.int64()).take(pick)],
-                names=["block", "code", "term", "times"],
-            )
-
-    return chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(make, "block long, code int, term string, times long")
+def chunk_terms(chunks: DataFrame, least: int) -> DataFrame:
+    """(chunk, term, times): the terms of every distinct chunk, of terms that ``least`` documents may hold."""
+    cut = F.array_remove(F.split(ascii_lower(F.col("chunk")), NOT_TERM), "")
+    distinct = chunks.groupBy("chunk").agg(F.sum("docs").alias("docs"))
+    terms = distinct.select("chunk", "docs", F.explode(cut).alias("term"))
+    terms = materialize(terms.groupBy("chunk", "term", "docs").agg(F.count(F.lit(1)).alias("times")), "chunk-terms", "zstd")
+    possible = terms.groupBy("term").agg(F.sum("docs").alias("bound")).where(F.col("bound") >= least).select("term")
+    return materialize(terms.join(possible, "term", "left_semi").select("chunk", "term", "times"), "possible-terms", "zstd")
 
 
 _COUNT = [("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())]
@@ -191,13 +163,14 @@ def _count_block(terms: pa.Table, packed: pa.Table) -> pa.Table:
     })
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, docs, n): distinct documents and occurrences of every term in every group."""
-    blocks = materialize(chunk_blocks(docs), "chunk-blocks")
-    terms = chunk_terms(blocks.where("chunk is not null").select("block", "code", "chunk"))
-    packed = blocks.where("counts is not null").select("block", "counts", "owners", "times", "groups", "langs", "sources")
+def term_counts(docs: DataFrame, least: int) -> DataFrame:
+    """(lang, source, term, docs, n): distinct documents and occurrences in every group, of terms that ``least`` documents may hold."""
+    blocks = materialize(chunk_blocks(docs), "chunk-blocks", "zstd")
+    chunks = blocks.where("chunk is not null")
+    found = chunks.select("block", "code", "chunk").join(chunk_terms(chunks.select("chunk", "docs"), least), "chunk")
+    packed = blocks.where("counts is not null").select(F.col("block").alias("of"), "counts", "owners", "times", "groups", "langs", "sources")
     schema = "lang string, source string, term string, docs long, n long"
-    counted = terms.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_count_block, schema)
+    counted = found.select("block", "code", "term", "times").groupBy("block").cogroup(packed.groupBy("of")).applyInArrow(_count_block, schema)
     return counted.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
@@ -254,7 +227,7 @@ def pair_differences(kept: DataFrame, sizes: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, least: int = 10, ranks: int = 10) -> DataFrame:
     """lang, source, part, item, value, rank: each source's distances to the others of its
     language (part ``pair``) and its ``ranks`` most over-used terms (part ``term``)."""
-    counts = materialize(term_counts(docs), "term-counts")
+    counts = materialize(term_counts(docs, least), "term-counts")
     common = counts.groupBy("lang", "term").agg(F.sum("docs").alias("d"), F.sum("n").alias("lang_n")).where(F.col("d") >= least)
     kept = materialize(counts.join(common.drop("d"), ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "kept-terms")
     sizes, langs = (materialize(df, "group-sizes") for df in group_sizes(docs, kept))
