@@ -24,7 +24,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, stage_path
+from ..session import finished, materialize, stage_path
 from ..sources import driver
 from ..sources.schema import TABLE_FIELDS, Star
 
@@ -98,7 +98,7 @@ class WarehouseStar(Star):
         key = (self._spark.sparkContext.applicationId, path)
         with _LOCK:
             if key not in _BUILT:
-                if not (self._keep and is_finished(self._spark, path)):
+                if not (self._keep and finished(self._spark, path)):
                     write_table(make(), path)
                 _BUILT[key] = path
         return self._spark.read.parquet(path)
@@ -121,12 +121,6 @@ class WarehouseStar(Star):
         return self._written("fact_order_line", lambda: self._source.fact)
 
 
-def is_finished(spark: SparkSession, path: str) -> bool:
-    """Has a write of this folder been committed?"""
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
-
-
 def warehouse_star(spark: SparkSession, sf_dir: str, folder: str | None = None) -> Star:
     """The driver tables as a star; ``folder`` keeps the written tables beyond the application.
 

@@ -114,6 +114,12 @@ def write_stage(df: DataFrame, name: str = "stage", compression: str | None = No
     return path
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Has a write of this folder been committed?"""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 _STAGES: dict[str, list[str]] = {}
 
 
