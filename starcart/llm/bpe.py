@@ -148,7 +148,7 @@ class Vocabulary:
 class Encoder:
     """Ids of whole texts by blocks; keeps the ids of at most ``cache`` chunks between them."""
 
-    def __init__(self, path: str, cache: int = 200_000, cache_bytes: int = 16 << 20):
+    def __init__(self, path: str, cache: int = 120_000, cache_bytes: int = 8 << 20):
         from tokenizers import Tokenizer
 
         self.vocabulary = Vocabulary(path)
@@ -220,25 +220,27 @@ class Encoder:
         return np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
 
 
-def encode(docs: DataFrame, tokenizer: str, block_bytes: int = 16 << 20, block_chunks: int = 150_000) -> DataFrame:
-    """doc_id and ids (array of int) of every row of ``docs``.
+def encode(docs: DataFrame, tokenizer: str, decoded: bool = False, block_bytes: int = 8 << 20, block_chunks: int = 120_000) -> DataFrame:
+    """doc_id and ids (array of int) of every row of ``docs``; with ``decoded`` also the text that the ids decode to.
 
     A block ends at ``block_bytes`` of text or ``block_chunks`` new chunks.
     """
+    names = ["doc_id", "ids", "decoded"][: 3 if decoded else 2]
 
     def make(batches):
-        encoder = worker_value(("pair-index", tokenizer), lambda: Encoder(tokenizer))
+        encoder, decoder = worker_value(("pair-index", tokenizer), lambda: (Encoder(tokenizer), Decoder(tokenizer)))
 
         def flush(rows, coded):
             flat, lengths = encoder.encode_block(coded)
             offsets = np.append(0, np.cumsum(lengths))
             at = 0
-            while at < len(rows):  # slices of about a million ids
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), "right")) - 1)
+            while at < len(rows):  # slices of some 250 000 ids
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 18), "right")) - 1)
                 ids = pa.ListArray.from_arrays(
                     pa.array((offsets[at : to + 1] - offsets[at]).astype(np.int32)), pa.array(flat[offsets[at] : offsets[to]], pa.int32())
                 )
-                yield pa.RecordBatch.from_arrays([pa.array(rows[at:to], pa.int64()), ids], names=["doc_id", "ids"])
+                columns = [pa.array(rows[at:to], pa.int64()), ids, *([decoder.decode(ids)] if decoded else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 at = to
 
         rows, coded, held, known = [], [], 0, len(encoder.codes)
@@ -254,7 +256,9 @@ def encode(docs: DataFrame, tokenizer: str, block_bytes: int = 16 << 20, block_c
         if rows:
             yield from flush(rows, coded)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        make, "doc_id long, ids array<int>" + (", decoded string" if decoded else "")
+    )
 
 
 class Decoder:

@@ -6,17 +6,17 @@ count as letters), lower-cased in A-Z only. ASCII white space is never part of a
 text's terms are those of its white-space chunks:
 
 1. Chunks. Every task counts the chunks of its documents in blocks. A block is one packed
-   row (for each chunk the documents that hold it and how often) and one narrow row (chunk,
-   number of documents) for each of its distinct chunks.
-2. Terms. The narrow rows are grouped by chunk, and each globally distinct chunk is cut into
-   terms once. A chunk in every block costs a row for each block, not for each occurrence.
-   The documents of a term's chunks add up to an upper bound of the term's documents; terms
-   whose bound is below ``least`` can be kept by no language and go no further.
-3. Join back. The terms return to the blocks that hold their chunks, and the packed row gives
-   for every (lang, source, term) the distinct documents (a document counts once, through
-   however many chunks it holds the term) and the occurrences. Blocks are bounded, so is this
-   join's memory.
-4. Aggregation. A language keeps the terms in at least ``least`` of its documents.
+   row (for each chunk the documents that hold it and how often) and one narrow row for each
+   of its distinct chunks.
+2. Terms. The narrow rows meet by chunk, sorted, and each globally distinct chunk is cut into
+   terms once, whatever the number of blocks that hold it. A chunk in every block costs a row
+   for each block, not for each occurrence.
+3. Join back. The terms return to their blocks, whose packed rows give for every (lang,
+   source, term) the distinct documents (a document counts once, through however many chunks
+   it holds the term) and the occurrences. The blocks of a few tasks meet in one group and
+   are counted one after the other, so memory is bounded by a block and the group's terms.
+4. Aggregation. A language keeps the terms in at least ``least`` of its documents. They are
+   stored once, a row for each (lang, term) with the counts of its sources.
 
 With count occurrences in a group, N the group's sum over kept terms and V kept terms, a
 group's share is p = 1 + floor(1e9 (count + 2) / (N + 2 V)); two shares differ by
@@ -37,6 +37,10 @@ terms has differences 0; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -44,13 +48,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import Codes, ascii_lower
+from .common import Codes
 
-NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_BLOCK = "block long, code int, chunk string, docs long, counts binary, owners binary, times binary, groups binary, langs array<string>, sources array<string>"
-_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4, *[pa.list_(pa.string())] * 2]
+_TERM = re.compile(rb"[a-z\x80-\xff]+")  # in UTF-8, lower-cased
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BLOCK = "block long, code int, chunk binary, counts binary, owners binary, times binary, groups binary, langs array<string>, sources array<string>"
+_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 5, *[pa.list_(pa.string())] * 2]
 _NAMES = [f.split()[0] for f in _BLOCK.split(", ")]
 SHARE = 1_000_000_000
+TASKS_TOGETHER = 4  # tasks whose blocks are counted in one group
+
+
+def terms_of(chunk: bytes) -> list[bytes]:
+    return _TERM.findall(chunk.translate(_LOWER))
 
 
 def _squeeze(numbers: np.ndarray, kind: str) -> bytes:
@@ -64,114 +74,145 @@ def _spread(data: bytes, kind: str) -> np.ndarray:
 
 
 def chunk_blocks(docs: DataFrame, block_chunks: int = 6_000_000, block_docs: int = 60_000, block_bytes: int = 64 << 20) -> DataFrame:
-    """A packed row for each block of documents, and a row (block, code, chunk, docs) for each of its distinct chunks.
+    """A packed row for each block of documents, and a row (block, code, chunk) for each of its distinct chunks.
 
     A block ends at so many chunk occurrences, documents or bytes of text.
     """
 
-    def flush(block, chunks, coded, times, owners, groups):
+    def flush(block, chunks, coded, owners, groups):
         # Documents are numbered by group, so that a group's documents are neighbours.
         by_group = np.argsort(owners, kind="stable")
-        coded, times = [coded[i] for i in by_group], [times[i] for i in by_group]
-        doc = np.repeat(np.arange(len(coded), dtype=np.uint16), [len(c) for c in coded])
-        code, times = np.concatenate(coded), np.concatenate(times)
-        # Chunks are numbered in their own order, so that their rows compress well.
-        names = np.array(list(chunks), object)
-        order = np.argsort(names)
-        rank = np.empty(len(names), np.int32)
-        rank[order] = np.arange(len(names), dtype=np.int32)
-        code = rank[code]
-        by_code = np.argsort(code, kind="stable")
-        counts = np.bincount(code, minlength=len(names))
+        coded = [coded[i] for i in by_group]
+        doc = np.repeat(np.arange(len(coded), dtype=np.int64), [len(c) for c in coded])
+        keys = np.concatenate(coded) * np.int64(len(coded)) + doc
+        del coded, doc
+        keys.sort()
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        times = np.diff(starts, append=len(keys))
+        code, doc = np.divmod(keys[starts], len(owners))
         packed = (
-            block, None, None, None, _squeeze(counts, "<u4"), _squeeze(doc[by_code], "<u2"), _squeeze(times[by_code], "<u4"),
+            block, None, None, _squeeze(np.bincount(code, minlength=len(chunks)), "<u4"), _squeeze(doc, "<u2"), _squeeze(times, "<u4"),
             _squeeze(np.array(owners)[by_group], "<u4"), [g[0] for g in groups], [g[1] for g in groups],
         )
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(packed, _TYPES, strict=True)], names=_NAMES)
-        for at in range(0, len(names), 50_000):
-            some = names[order[at : at + 50_000]]
-            columns = [
-                pa.repeat(pa.scalar(block, pa.int64()), len(some)), pa.array(np.arange(at, at + len(some)), pa.int32()),
-                pa.array(some, pa.binary()).cast(pa.string()), pa.array(counts[at : at + 50_000], pa.int64()),
-            ]
-            columns += [pa.nulls(len(some), t) for t in _TYPES[4:]]
+        names = iter(chunks)
+        for at in range(0, len(chunks), 50_000):
+            some = list(islice(names, 50_000))
+            columns = [pa.repeat(pa.scalar(block, pa.int64()), len(some)), pa.array(np.arange(at, at + len(some)), pa.int32()), pa.array(some, pa.binary())]
+            columns += [pa.nulls(len(some), t) for t in _TYPES[3:]]
             yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     def make(batches):
         block = TaskContext.get().partitionId() << 32
-        chunks, coded, times, owners, groups, held, size = Codes(), [], [], [], Codes(), 0, 0
+        chunks, coded, owners, groups, held, size = Codes(), [], [], Codes(), 0, 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 raw = (text.as_py() or "").encode()
                 words = raw.split()
-                code, n = np.unique(np.fromiter(map(chunks.__getitem__, words), np.int32, len(words)), return_counts=True)
-                coded.append(code)
-                times.append(n.astype(np.uint32))
+                coded.append(np.fromiter(map(chunks.__getitem__, words), np.int32, len(words)))
                 owners.append(groups[lang.as_py() or "", source.as_py() or ""])
                 held += len(words)
                 size += len(raw)
                 if held >= block_chunks or len(owners) >= block_docs or size >= block_bytes:
-                    yield from flush(block, chunks, coded, times, owners, groups)
+                    yield from flush(block, chunks, coded, owners, groups)
                     block += 1
-                    chunks, coded, times, owners, groups, held, size = Codes(), [], [], [], Codes(), 0, 0
+                    chunks, coded, owners, groups, held, size = Codes(), [], [], Codes(), 0, 0
         if owners:
-            yield from flush(block, chunks, coded, times, owners, groups)
+            yield from flush(block, chunks, coded, owners, groups)
 
     return docs.select("lang", "source", "text").mapInArrow(make, _BLOCK)
 
 
-def chunk_terms(chunks: DataFrame, least: int) -> DataFrame:
-    """(chunk, term, times): the terms of every distinct chunk, of terms that ``least`` documents may hold."""
-    cut = F.array_remove(F.split(ascii_lower(F.col("chunk")), NOT_TERM), "")
-    distinct = chunks.groupBy("chunk").agg(F.sum("docs").alias("docs"))
-    terms = distinct.select("chunk", "docs", F.explode(cut).alias("term"))
-    terms = materialize(terms.groupBy("chunk", "term", "docs").agg(F.count(F.lit(1)).alias("times")), "chunk-terms", "zstd")
-    possible = terms.groupBy("term").agg(F.sum("docs").alias("bound")).where(F.col("bound") >= least).select("term")
-    return materialize(terms.join(possible, "term", "left_semi").select("chunk", "term", "times"), "possible-terms", "zstd")
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """(block, code, term, times) of the rows (block, code, chunk); every distinct chunk is cut into terms once."""
+
+    def make(batches):
+        last, found = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(2).dictionary_encode()  # rows of one chunk are neighbours
+            row_chunk = column.indices.to_numpy()
+            terms, times, sizes = [], [], []
+            for chunk in column.dictionary.to_pylist():
+                if chunk != last:  # the batch before may have ended within its rows
+                    last, found = chunk, terms_of(chunk)
+                if len(found) < 2:
+                    terms += found
+                    times += [1] * len(found)
+                    sizes.append(len(found))
+                else:
+                    tally = Counter(found)
+                    terms += tally
+                    times += tally.values()
+                    sizes.append(len(tally))
+            sizes = np.array(sizes, np.int64)
+            first, size = (np.cumsum(sizes) - sizes)[row_chunk], sizes[row_chunk]
+            row = pa.array(np.repeat(np.arange(len(size)), size))
+            pick = pa.array(np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(terms, pa.binary()).take(pick).cast(pa.string()), pa.array(times, pa.int32()).take(pick)],
+                names=["block", "code", "term", "times"],
+            )
+
+    return chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(make, "block long, code int, term string, times int")
 
 
 _COUNT = [("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())]
 
 
-def _count_block(terms: pa.Table, packed: pa.Table) -> pa.Table:
-    """(lang, source, term, docs, n) of one block."""
-    if not (terms.num_rows and packed.num_rows):
-        return pa.table({n: pa.array([], t) for n, t in _COUNT})
-    row = packed.to_pylist()[0]
-    per_code, doc, times = _spread(row["counts"], "<u4").astype(np.int64), _spread(row["owners"], "<u2").astype(np.int64), _spread(row["times"], "<u4")
-    group = _spread(row["groups"], "<u4").astype(np.int64)  # of every document, ascending
-    first = np.cumsum(per_code) - per_code
-    names = terms["term"].combine_chunks().dictionary_encode()
-    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
-    code = terms["code"].to_numpy()
-    size = per_code[code]
-    at = np.repeat(first[code] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    keys = np.repeat(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), size) * len(group) + doc[at]
-    weights = np.repeat(terms["times"].to_numpy(), size) * times[at]
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of the values of each."""
     order = np.argsort(keys, kind="stable")
-    keys, weights = keys[order], weights[order]
-    # Distinct (term, document), then (term, group): documents of a group are neighbours.
+    keys = keys[order]
     starts = np.flatnonzero(np.diff(keys, prepend=-1))
-    weights, keys = np.add.reduceat(weights, starts), keys[starts]
-    term, of = keys // len(group), group[keys % len(group)]
-    starts = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
-    of = pa.array(of[starts])
-    return pa.table({
-        "lang": pa.array(row["langs"], pa.string()).take(of), "source": pa.array(row["sources"], pa.string()).take(of),
-        "term": names.dictionary.cast(pa.string()).take(pa.array(term[starts])),
-        "docs": pa.array(np.diff(np.append(starts, len(term)))), "n": pa.array(np.add.reduceat(weights, starts)),
-    })
-
-
-def term_counts(docs: DataFrame, least: int) -> DataFrame:
-    """(lang, source, term, docs, n): distinct documents and occurrences in every group, of terms that ``least`` documents may hold."""
+    return keys[starts], *(np.add.reduceat(v[order], starts) if len(starts) else v[:0] for v in values)
+
+
+def _count_blocks(terms: pa.Table, packed: pa.Table) -> pa.Table:
+    """(lang, source, term, docs, n) of the blocks of one group."""
+    if not (terms.num_rows and packed.num_rows):
+        return pa.table({n: pa.array([], t) for n, t in _COUNT})
+    names = pa.chunked_array(terms["term"].chunks).combine_chunks().dictionary_encode()
+    term, block = names.indices.to_numpy().astype(np.int64), terms["block"].to_numpy()
+    code, repeats = terms["code"].to_numpy(), terms["times"].to_numpy()
+    by_block = np.argsort(block, kind="stable")
+    groups, found = Codes(), []
+    for row in packed.to_pylist():
+        mine = by_block[slice(*np.searchsorted(block[by_block], [row["block"], row["block"] + 1]))]
+        per_code, doc, times = (_spread(row[c], k) for c, k in (("counts", "<u4"), ("owners", "<u2"), ("times", "<u4")))
+        of = np.array([groups[g] for g in zip(row["langs"], row["sources"], strict=True)], np.int64)[_spread(row["groups"], "<u4")]
+        per_code = per_code.astype(np.int64)
+        first, size = (np.cumsum(per_code) - per_code)[code[mine]], per_code[code[mine]]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        # Distinct (term, document) first, then (group, term).
+        keys, n = _sums(np.repeat(term[mine], size) * len(of) + doc[at], np.repeat(repeats[mine], size) * times[at].astype(np.int64))
+        which, doc = np.divmod(keys, len(of))
+        found.append(_sums(of[doc] * len(names.dictionary) + which, np.ones(len(keys), np.int64), n))
+    keys, docs, n = _sums(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    group, term = np.divmod(keys, len(names.dictionary))
+    lang, source = (pa.array([g[i] for g in groups], pa.string()).take(pa.array(group)) for i in (0, 1))
+    return pa.table({"lang": lang, "source": source, "term": names.dictionary.take(pa.array(term)), "docs": pa.array(docs), "n": pa.array(n)})
+
+
+def kept_terms(docs: DataFrame, least: int) -> DataFrame:
+    """(lang, term, lang_n, sources): the terms in at least ``least`` documents of a language, with
+    their occurrences in the language and in each source (an array of (source, n))."""
     blocks = materialize(chunk_blocks(docs), "chunk-blocks", "zstd")
-    chunks = blocks.where("chunk is not null")
-    found = chunks.select("block", "code", "chunk").join(chunk_terms(chunks.select("chunk", "docs"), least), "chunk")
-    packed = blocks.where("counts is not null").select(F.col("block").alias("of"), "counts", "owners", "times", "groups", "langs", "sources")
+    together = F.shiftright("block", 32 + TASKS_TOGETHER.bit_length() - 1)
+    terms = chunk_terms(blocks.where("chunk is not null").select("block", "code", "chunk")).withColumn("group", together)
+    columns = ["block", "counts", "owners", "times", "groups", "langs", "sources"]
+    packed = blocks.where("counts is not null").select(*[F.col(c).alias(c) for c in columns], together.alias("of"))
     schema = "lang string, source string, term string, docs long, n long"
-    counted = found.select("block", "code", "term", "times").groupBy("block").cogroup(packed.groupBy("of")).applyInArrow(_count_block, schema)
-    return counted.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    counted = terms.groupBy("group").cogroup(packed.groupBy("of")).applyInArrow(
+        lambda found, rows: _count_blocks(found.drop(["group"]), rows.drop(["of"])), schema
+    )
+    # Dealt by (lang, term) once; all that follows stays in place.
+    summed = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    nested = summed.groupBy("lang", "term").agg(
+        F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("source", "n")).alias("sources")
+    )
+    return nested.where(F.col("docs") >= least).drop("docs")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -185,58 +226,53 @@ def difference(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def group_sizes(docs: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, total, terms, absent, v) of every group, and (lang, v, lang_total)."""
+def group_sizes(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(lang, source, total, terms, v, lang_total, absent) of every group."""
     empty = F.lit("")
     groups = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source")).distinct()
-    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms"))
-    langs = kept.select("lang", "term", "lang_n").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
+    sums = kept.select("lang", F.inline("sources")).groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms"))
+    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     zero = F.lit(0).cast("long")
-    sized = groups.join(sums, ["lang", "source"], "left").join(langs.select("lang", "v"), "lang", "left")
-    sized = sized.select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("total", "terms", "v")])
-    absent = F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("v"))).alias("absent")
-    return sized.select("*", absent), langs
+    sized = groups.join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
+    sized = sized.select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("total", "terms", "v", "lang_total")])
+    absent = F.when(F.col("v") > 0, share(zero, F.col("total"), F.col("v"))).alias("absent")
+    return sized.select("*", absent)
 
 
 def pair_differences(kept: DataFrame, sizes: DataFrame) -> DataFrame:
     """(lang, source, item, value): the sum of differences of every two sources of a language."""
-    one = sizes.select("lang", "source", "v", F.col("terms").alias("k1"), F.col("absent").alias("a1"))
-    two = sizes.select("lang", F.col("source").alias("item"), F.col("terms").alias("k2"), F.col("absent").alias("a2"))
+    one = sizes.select("lang", "source", "v", "total", F.col("terms").alias("k1"), F.col("absent").alias("a1"))
+    two = sizes.select("lang", F.col("source").alias("item"), F.col("total").alias("total2"), F.col("terms").alias("k2"), F.col("absent").alias("a2"))
     pairs = one.join(two, "lang").where("source <> item")  # the rows of the result
-    # A source's terms against another's absent share: as many rows as it has different counts.
-    levels = kept.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("m"))
-    against = levels.join(two, "lang").where("source <> item").groupBy("lang", "source", "item").agg(
-        F.sum(F.col("m") * difference(F.col("p"), F.col("a2"))).alias("alone")
-    )
-    left = kept.select("lang", "term", "source", "p", F.col("absent").alias("a1"))
-    right = kept.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("absent").alias("a2"))
-    both = left.join(right, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(
-        difference(F.col("p"), F.col("q")) - difference(F.col("p"), F.col("a2")) - difference(F.col("a1"), F.col("q"))
-        + difference(F.col("a1"), F.col("a2"))
-    ).alias("common"))
     names = ["lang", "source", "item"]
-    absent = F.when(F.col("v") > 0, (F.col("v") - F.col("k1") - F.col("k2")) * difference(F.col("a1"), F.col("a2")))
+    p, q = share(F.col("n"), F.col("total"), F.col("v")), share(F.col("n2"), F.col("total2"), F.col("v"))
+    a1, a2 = F.col("a1"), F.col("a2")
+    # A source's terms against another's absent share: as many rows as it has different counts.
+    levels = kept.select("lang", F.inline("sources")).groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("m"))
+    against = levels.join(pairs, ["lang", "source"]).groupBy(*names).agg(F.sum(F.col("m") * difference(p, a2)).alias("value"))
+    # What both have: pairs of counts, equal ones together.
+    first = kept.select("lang", "sources", F.inline("sources"))
+    both = first.select("lang", "source", "n", F.explode("sources").alias("s")).where("source < s.source")
+    both = both.groupBy("lang", "source", F.col("s.source").alias("item"), "n", F.col("s.n").alias("n2")).agg(F.count(F.lit(1)).alias("m"))
+    correction = difference(p, q) - difference(p, a2) - difference(a1, q) + difference(a1, a2)
+    both = both.join(pairs, names).groupBy(*names).agg(F.sum(F.col("m") * correction).alias("value"))
+    absent = F.when(F.col("v") > 0, (F.col("v") - F.col("k1") - F.col("k2")) * difference(a1, a2))
     parts = pairs.select(*names, absent.alias("value"))
-    for part, value in ((against, "alone"), (both, "common")):
-        there = part.select(*names, F.col(value).alias("value"))
-        back = part.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.col(value).alias("value"))
-        parts = parts.unionByName(there).unionByName(back)
+    for part in (against, both):
+        back = part.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
+        parts = parts.unionByName(part).unionByName(back)
     return parts.groupBy(*names).agg(F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("value"))
 
 
 def audit(docs: DataFrame, least: int = 10, ranks: int = 10) -> DataFrame:
     """lang, source, part, item, value, rank: each source's distances to the others of its
     language (part ``pair``) and its ``ranks`` most over-used terms (part ``term``)."""
-    counts = materialize(term_counts(docs, least), "term-counts")
-    common = counts.groupBy("lang", "term").agg(F.sum("docs").alias("d"), F.sum("n").alias("lang_n")).where(F.col("d") >= least)
-    kept = materialize(counts.join(common.drop("d"), ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "kept-terms")
-    sizes, langs = (materialize(df, "group-sizes") for df in group_sizes(docs, kept))
-    kept = kept.join(sizes.select("lang", "source", "total", "v", "absent"), ["lang", "source"])
-    kept = kept.withColumn("p", share(F.col("n"), F.col("total"), F.col("v")))
-
+    kept = materialize(kept_terms(docs, least), "kept-terms")
+    sizes = materialize(group_sizes(docs, kept), "group-sizes")
     pairs = pair_differences(kept, sizes).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
-    q = share(F.col("lang_n"), F.col("lang_total"), F.col("v"))
-    terms = kept.join(langs.select("lang", "lang_total"), "lang").withColumn("q", q).where("p > q")
+    flat = kept.select("lang", "term", "lang_n", F.inline("sources")).join(sizes, ["lang", "source"])
+    p, q = share(F.col("n"), F.col("total"), F.col("v")), share(F.col("lang_n"), F.col("lang_total"), F.col("v"))
+    terms = flat.select("lang", "source", "term", p.alias("p"), q.alias("q")).where("p > q")
     terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), difference(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     rank = F.row_number().over(order).alias("rank")

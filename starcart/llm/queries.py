@@ -109,7 +109,7 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they decode to, as digests."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode(read(spark, sf_dir, "documents"), path).withColumn("decoded", bpe.decode(F.col("ids"), path))
+    coded = bpe.encode(read(spark, sf_dir, "documents"), path, decoded=True)
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

@@ -104,6 +104,7 @@ def test_edge_rows_and_clashing_columns(edges, edge_rows, library, block_bytes):
     docs = edges.withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(1))
     coded = bpe.encode(docs, PATH, block_bytes=block_bytes)
     rows = coded.withColumn("decoded", bpe.decode(F.col("ids"), PATH)).collect()
+    assert Counter(map(str, rows)) == Counter(map(str, bpe.encode(docs, PATH, True, block_bytes).collect()))
     want = Counter()
     for doc_id, text in edge_rows:
         ids = library.encode(text or "", add_special_tokens=False).ids
