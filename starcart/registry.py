@@ -5,13 +5,16 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import basket, catalog, customer, kpi, product, quality, rec_checks, recommend
-from .sources import generate
+from .session import stage_path
+from .sources import generate, loader
 from .sources.driver import read_table
-from .plans import build
+from .sources.keys import KeyRegistry
+from .plans import build, layout, script
+from .plans.pair_refresh import PairMart
 from .plans.warehouse import warehouse_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +112,41 @@ def derive_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _halves(rows: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
+    """Rows up to the middle of the span of a date column, and those after it (or without a date)."""
+    middle = rows.agg(F.date_add(F.min(day), (F.datediff(F.max(day), F.min(day)) / 2).cast("int"))).first()[0]
+    early = F.coalesce(F.col(day) <= F.lit(middle), F.lit(False))
+    return rows.where(early), rows.where(~early)
+
+
+def order_line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dense, append-stable key of every order line, given in two loads: the early half by ship date, then the rest."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day"))
+    # Line numbers repeat within an order and day; equal lines are told apart by a number.
+    natural = ["l_orderkey", "l_linenumber", "day"]
+    lines = lines.withColumn("copy", F.row_number().over(Window.partitionBy(*natural).orderBy(F.lit(0))))
+    registry = KeyRegistry(spark, stage_path(spark, "order-line-keys"), [*natural, "copy"], "order_line_key")
+    for half in _halves(lines, "day"):
+        registry.append(half)
+    return registry.keys()
+
+
+def load_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U48 and U42 as a strict load: rows by table and reason, on a star that breaks the declared rules."""
+    star = quality.corrupted_star(warehouse_star(spark, sf_dir))
+    return loader.load_report(star.with_fact(quality.corrupted_fact(star.fact)))
+
+
+def product_pairs_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U18 kept as lines arrive: the early half by date, then the rest, which meets orders already seen."""
+    star = warehouse_star(spark, sf_dir)
+    mart = PairMart(spark, stage_path(spark, "pair-mart"))
+    dated = star.fact.select("order_id", "product_key", "date_key").join(F.broadcast(star.date.select("date_key", "full_date")), "date_key")
+    for half in _halves(dated, "full_date"):
+        mart.add(star, half.select("order_id", "product_key", "date_key"))
+    return mart.pairs()
+
+
 def queries() -> dict[str, Query]:
     return {
         "monthly_kpis": _on_star(kpi.monthly_kpis),
@@ -164,4 +202,13 @@ def queries() -> dict[str, Query]:
         "derive_measures": derive_measures,
         "star_fact": _on_star(lambda star: star.fact),
         "catalog_report": _on_star(catalog.catalog_tables),
+        "order_line_keys": order_line_keys,
+        "load_with_rejects": load_with_rejects,
+        "product_pairs_bucketed": _on_star(layout.product_pairs_bucketed),
+        "order_lookup": _on_star(layout.lookup_first_order),
+        "latest_quarter_kpis": _on_star(layout.latest_quarter_kpis),
+        "product_pairs_incremental": product_pairs_incremental,
+        "distinct_customers_by_period": _on_star(layout.distinct_by_period, column="customer_key", count="customers"),
+        "distinct_products_by_period": _on_star(layout.distinct_by_period, column="product_key", count="products"),
+        "recent_months": _on_star(script.recent_months),
     }
