@@ -148,7 +148,7 @@ class Vocabulary:
 class Encoder:
     """Ids of whole texts by blocks; keeps the ids of at most ``cache`` chunks between them."""
 
-    def __init__(self, path: str, cache: int = 120_000, cache_bytes: int = 8 << 20):
+    def __init__(self, path: str, cache: int = 250_000, cache_bytes: int = 16 << 20):
         from tokenizers import Tokenizer
 
         self.vocabulary = Vocabulary(path)
@@ -220,7 +220,7 @@ class Encoder:
         return np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
 
 
-def encode(docs: DataFrame, tokenizer: str, decoded: bool = False, block_bytes: int = 8 << 20, block_chunks: int = 120_000) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, decoded: bool = False, block_bytes: int = 20 << 20, block_chunks: int = 250_000) -> DataFrame:
     """doc_id and ids (array of int) of every row of ``docs``; with ``decoded`` also the text that the ids decode to.
 
     A block ends at ``block_bytes`` of text or ``block_chunks`` new chunks.

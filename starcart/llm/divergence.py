@@ -13,7 +13,7 @@ text's terms are those of its white-space chunks:
    for each block, not for each occurrence.
 3. Join back. The terms return to their blocks, whose packed rows give for every (lang,
    source, term) the distinct documents (a document counts once, through however many chunks
-   it holds the term) and the occurrences. The blocks of a few tasks meet in one group and
+   it holds the term) and the occurrences. The blocks of two tasks meet in one group and
    are counted one after the other, so memory is bounded by a block and the group's terms.
 4. Aggregation. A language keeps the terms in at least ``least`` of its documents. They are
    stored once, a row for each (lang, term) with the counts of its sources.
@@ -39,10 +39,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,7 +56,7 @@ _BLOCK = "block long, code int, chunk binary, counts binary, owners binary, time
 _TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 5, *[pa.list_(pa.string())] * 2]
 _NAMES = [f.split()[0] for f in _BLOCK.split(", ")]
 SHARE = 1_000_000_000
-TASKS_TOGETHER = 4  # tasks whose blocks are counted in one group
+TASKS_TOGETHER = 2  # tasks whose blocks are counted in one group
 
 
 def terms_of(chunk: bytes) -> list[bytes]:
@@ -84,7 +84,12 @@ def chunk_blocks(docs: DataFrame, block_chunks: int = 6_000_000, block_docs: int
         by_group = np.argsort(owners, kind="stable")
         coded = [coded[i] for i in by_group]
         doc = np.repeat(np.arange(len(coded), dtype=np.int64), [len(c) for c in coded])
-        keys = np.concatenate(coded) * np.int64(len(coded)) + doc
+        # Chunks are numbered in their own order, so that their rows compress well.
+        names = pa.array(chunks, pa.binary())
+        order = pa.compute.sort_indices(names)
+        rank = np.empty(len(names), np.int64)
+        rank[order.to_numpy()] = np.arange(len(names))
+        keys = rank[np.concatenate(coded)] * len(coded) + doc
         del coded, doc
         keys.sort()
         starts = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -95,10 +100,9 @@ def chunk_blocks(docs: DataFrame, block_chunks: int = 6_000_000, block_docs: int
             _squeeze(np.array(owners)[by_group], "<u4"), [g[0] for g in groups], [g[1] for g in groups],
         )
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(packed, _TYPES, strict=True)], names=_NAMES)
-        names = iter(chunks)
-        for at in range(0, len(chunks), 50_000):
-            some = list(islice(names, 50_000))
-            columns = [pa.repeat(pa.scalar(block, pa.int64()), len(some)), pa.array(np.arange(at, at + len(some)), pa.int32()), pa.array(some, pa.binary())]
+        for at in range(0, len(names), 50_000):
+            some = names.take(order.slice(at, 50_000))
+            columns = [pa.repeat(pa.scalar(block, pa.int64()), len(some)), pa.array(np.arange(at, at + len(some)), pa.int32()), some]
             columns += [pa.nulls(len(some), t) for t in _TYPES[3:]]
             yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
