@@ -36,14 +36,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, Ragged, worker_value
-
-
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+from .common import Codes, Ragged, byte_alphabet, worker_value
 
 
 class Vocabulary:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -23,6 +26,17 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, _ASCII_UPPER, _ASCII_UPPER.lower())
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def total_bytes(df: DataFrame, text: str = "text", per_row: int = 16) -> int:
     """UTF-8 bytes of a text column plus ``per_row`` for each row (one aggregate, no shuffle of rows)."""
     row = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
@@ -57,6 +71,21 @@ def texts(column: pa.Array, step: int = 256) -> Iterator[str]:
             yield text or ""
 
 
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the machine (workers live as long as the executor)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_value(key, make: Callable[[], object]):
     """A value kept by the Python worker from task to task (made once per process).
 
@@ -65,7 +94,9 @@ def worker_value(key, make: Callable[[], object]):
     """
     kept = sys.modules.setdefault("_starcart_worker", types.ModuleType("_starcart_worker")).__dict__.setdefault("kept", {})
     if key not in kept:
-        kept.clear()
+        if kept:
+            kept.clear()
+            release()
         kept[key] = make()
     return kept[key]
 

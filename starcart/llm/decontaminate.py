@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import ascii_lower
+from .common import ascii_lower, fresh
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -120,12 +120,14 @@ def contaminated_words(
     """
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     kept = [c for c in docs.columns if c.lower() not in added]
-    rows = docs.select(*kept, F.size(words_of(F.col(text))).cast("long").alias("n_words"), F.xxhash64(text).alias("_text_key"))
-    zero = F.lit(0).cast("long")
-    hit, n_items, sha = (F.coalesce(c, z) for c, z in ((F.col("_hit"), zero), (F.col("_items"), zero), (F.col("_sha"), F.sha2(F.lit(""), 256))))
     found = contaminated_texts(docs, items, window, shingle, broadcast_rows, text)
+    key, *values = fresh(docs, *found.columns)
+    found = found.toDF(key, *values)
+    rows = docs.select(*kept, F.size(words_of(F.col(text))).cast("long").alias("n_words"), F.xxhash64(text).alias(key))
+    zero = F.lit(0).cast("long")
+    hit, n_items, sha = (F.coalesce(F.col(c), z) for c, z in zip(values, (zero, zero, F.sha2(F.lit(""), 256)), strict=True))
     few = found.count() <= broadcast_rows
-    return rows.join(F.broadcast(found) if few else found, "_text_key", "left").select(
+    return rows.join(F.broadcast(found) if few else found, key, "left").select(
         *kept, "n_words", hit.alias("n_hit"), n_items.alias("n_items"), sha.alias("items_sha256"), (hit > 0).alias("contaminated")
     )
 

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import Codes
+from .common import Codes, release
 
 _TERM = re.compile(rb"[a-z\x80-\xff]+")  # in UTF-8, lower-cased
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -73,7 +73,7 @@ def _spread(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), kind)
 
 
-def chunk_blocks(docs: DataFrame, block_chunks: int = 6_000_000, block_docs: int = 60_000, block_bytes: int = 64 << 20) -> DataFrame:
+def chunk_blocks(docs: DataFrame, block_chunks: int = 5_000_000, block_docs: int = 60_000, block_bytes: int = 64 << 20) -> DataFrame:
     """A packed row for each block of documents, and a row (block, code, chunk) for each of its distinct chunks.
 
     A block ends at so many chunk occurrences, documents or bytes of text.
@@ -123,6 +123,8 @@ def chunk_blocks(docs: DataFrame, block_chunks: int = 6_000_000, block_docs: int
                     chunks, coded, owners, groups, held, size = Codes(), [], [], Codes(), 0, 0
         if owners:
             yield from flush(block, chunks, coded, owners, groups)
+        chunks, coded = None, None
+        release()
 
     return docs.select("lang", "source", "text").mapInArrow(make, _BLOCK)
 
@@ -193,6 +195,9 @@ def _count_blocks(terms: pa.Table, packed: pa.Table) -> pa.Table:
         keys, n = _sums(np.repeat(term[mine], size) * len(of) + doc[at], np.repeat(repeats[mine], size) * times[at].astype(np.int64))
         which, doc = np.divmod(keys, len(of))
         found.append(_sums(of[doc] * len(names.dictionary) + which, np.ones(len(keys), np.int64), n))
+        del per_code, doc, times, first, size, at, keys, n, which
+    del term, block, code, repeats, by_block
+    release()
     keys, docs, n = _sums(*(np.concatenate(x) for x in zip(*found, strict=True)))
     group, term = np.divmod(keys, len(names.dictionary))
     lang, source = (pa.array([g[i] for g in groups], pa.string()).take(pa.array(group)) for i in (0, 1))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, texts
+from .common import BoundedCache, fresh, texts
 
 BITS = 18
 _MASK = (1 << BITS) - 1
@@ -224,9 +224,10 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = 0.5, text: st
     added = [*_COUNTS, "p_good", "base_failed", "kept"]
     plain = [c for c in docs.columns if c.lower() not in added]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    (verdict,) = fresh(docs, "_judged")
     return (
-        docs.withColumn("_judged", judged(F.col(text)))
-        .select(*plain, *[F.col(f"_judged.{c}").alias(c) for c in [*_COUNTS, "p_good"]])
+        docs.withColumn(verdict, judged(F.col(text)))
+        .select(*plain, *[F.col(f"{verdict}.{c}").alias(c) for c in [*_COUNTS, "p_good"]])
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
     )

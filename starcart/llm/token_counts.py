@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, texts, worker_value
+from .common import BoundedCache, fresh, texts, worker_value
 
 MARK = "▁"
 
@@ -113,4 +113,5 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
         )
 
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_tokens")]
-    return docs.withColumn("_counted", counted(F.col("text"))).select(*kept, "_counted.n_words", "_counted.n_tokens")
+    (both,) = fresh(docs, "_counted")
+    return docs.withColumn(both, counted(F.col("text"))).select(*[F.col(f"`{c}`") for c in kept], f"{both}.n_words", f"{both}.n_tokens")

@@ -18,14 +18,16 @@ Ids are kept as little-endian integers of two bytes (four for vocabularies over
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import islice, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
+import regex
 
-from .common import Codes, Ragged, worker_value
+from .common import Codes, Ragged, byte_alphabet, worker_value
 
 _BEFORE_WORD = re.compile(r"(?<=\S) (?=\S)")
 # Marks the first piece of a text, which has no space before it. No other piece starts with a
@@ -53,6 +55,39 @@ def careful_cut(text: str) -> list[str]:
     return [_HEAD + first, *others]
 
 
+# Characters whose classes, cases and composed forms are the same in every Unicode version
+# that a tokenizer may have been built with, and white space that all regular expressions know.
+_COMMON = re.compile("[\n !-~\u00a1-\u024f]*").fullmatch
+_WORD = re.compile(" ?[A-Za-z]+").fullmatch  # always one pre-token
+# Fixed value: how byte-level tokenizers cut a text when their file names no pattern.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SHOWN = byte_alphabet()
+
+
+def _shown(word: str) -> str:
+    """A pre-token as the model reads it: a printable character for each of its bytes."""
+    if word.isascii() and word.isprintable():
+        return word.replace(" ", _SHOWN[32])
+    return "".join([_SHOWN[b] for b in word.encode()])
+
+
+def _pre_tokens(path: str):
+    """(lower-cased first?, finder of a text's pre-tokens), by the tokenizer file; no finder for files of another shape."""
+    with open(path, encoding="utf-8") as file:
+        config = json.load(file)
+    normalizer, cutter = config["normalizer"], config["pre_tokenizer"] or {}
+    steps = [s["type"] for s in (normalizer or {}).get("normalizers", [normalizer] if normalizer else [])]
+    cuts = cutter.get("pretokenizers", [cutter])
+    kinds = [c.get("type") for c in cuts]
+    if not set(steps) <= {"NFC", "Replace", "Lowercase"} or cuts[-1].get("add_prefix_space"):
+        return False, None
+    if kinds == ["ByteLevel"] and not steps and cuts[0]["use_regex"]:
+        return False, regex.compile(_BYTE_LEVEL).findall
+    if kinds == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["use_regex"]:
+        return "Lowercase" in steps, regex.compile(cuts[0]["pattern"]["Regex"]).findall
+    return False, None
+
+
 def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -71,10 +106,10 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = spell_names
         self.style = style
         self.dtype = id_type(self.tokenizer.get_vocab_size())
-        names = {} if spell_names else {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        # Pieces are encoded many at a time, put together by a special token's name.
-        self.between, self.between_id = next(iter(names.items()), (None, None))
+        names = [] if spell_names else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.names = re.compile("|".join(map(re.escape, names))) if names else None
+        self.model = self.tokenizer.model
+        self.lower, self.find = _pre_tokens(path)
         self.cache, self.cache_bytes = cache, cache_bytes
         self.reset()
 
@@ -91,26 +126,36 @@ class PieceEncoder:
             return piece.decode()
         return piece[1:] if piece[:1] == _HEAD else " " + piece
 
-    def _learn(self, pieces: list, together: int = 200) -> None:
-        """Encode new pieces and add their ids in order."""
-        strings = [self._string(p) for p in pieces]
-        alone = [i for i, s in enumerate(strings) if not self.between or ("<" in s and self.names.search(s))]
-        joined = strings
-        if self.between:
-            joined = ["" if i in hidden else s for i, s in enumerate(strings)] if (hidden := set(alone)) else strings
-            joined = [self.between.join(joined[i : i + together]) for i in range(0, len(joined), together)]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-            ids = [np.array([*x, self.between_id], self.dtype) for x in found]
-            flat = np.concatenate(ids)
-            ends = np.flatnonzero(flat == self.between_id)
-            flat, lengths = flat[flat != self.between_id], np.diff(ends, prepend=-1) - 1
-        if not alone:
-            self.ids.extend(flat, lengths)
-            return
-        own = dict(zip(alone, (e.ids for e in self.tokenizer.encode_batch_fast([strings[i] for i in alone], add_special_tokens=False)), strict=True))
-        starts = np.cumsum(lengths) - lengths if self.between else None
-        lists = [own[i] if i in own else flat[starts[i] : starts[i] + lengths[i]] for i in range(len(strings))]
-        self.ids.extend(np.concatenate([np.array(x, self.dtype) for x in lists]), np.array([len(x) for x in lists]))
+    def _learn(self, pieces: list) -> None:
+        """Encode new pieces and add their ids in order.
+
+        Pieces of common characters are cut into pre-tokens here and each distinct pre-token
+        goes through the library's model once; all others go through its whole call.
+        """
+        words, parts, sizes, others = Codes(), [], [], []
+        for piece in pieces:
+            text = self._string(piece)
+            if self.find and _WORD(text):
+                parts.append(words[text.lower() if self.lower else text])
+                sizes.append(1)
+            elif self.find and _COMMON(text) and not (self.names and "<" in text and self.names.search(text)):
+                found = self.find(text.lower() if self.lower else text)
+                parts += map(words.__getitem__, found)
+                sizes.append(len(found))
+            else:
+                others.append(text)
+                parts.append(-len(others))
+                sizes.append(1)
+        tokenize = self.model.tokenize
+        lists = [[t.id for t in tokenize(_shown(w))] for w in words]
+        if others:
+            lists += [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        table = Ragged(self.dtype)
+        table.extend(np.array(list(chain.from_iterable(lists)), self.dtype), np.array([len(x) for x in lists], np.int64))
+        parts = np.array(parts, np.int64)
+        flat, lengths = table.take(np.where(parts < 0, len(words) - 1 - parts, parts))
+        ends, edges = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(sizes))
+        self.ids.extend(flat, ends[edges[1:]] - ends[edges[:-1]])
 
     def _code(self, text: str) -> np.ndarray:
         """The text's pieces as codes."""
@@ -138,7 +183,7 @@ class PieceEncoder:
         if len(self.codes) > self.cache or self.held > self.cache_bytes:
             self.reset()
 
-    def encode_all(self, texts: Iterable[str], step: int = 1 << 20) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str], step: int = 2 << 20) -> Iterator[bytes]:
         """The ids of each text as bytes; new pieces are encoded for about ``step`` characters at a time."""
         some, size = [], 0
         for text in texts:

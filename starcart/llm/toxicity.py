@@ -93,13 +93,16 @@ def one_of_each(rows: list[np.ndarray]) -> list[np.ndarray]:
 
 def fit_nnpu(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
-    features: int = 2000, excess: float = 5.0, steps: int = 400, rate: float = 0.1, l1: float = 3e-3,
+    features: int = 2000, excess: float = 5.0, steps: int = 400, rate: float = 0.1, l1: float = 0.03,
 ) -> Model:
     """Train on lists of word-id arrays.
 
     Of the hashed words, the ``features`` that most exceed the count expected among the
-    positives from their share of the unlabelled texts take part, if by more than
-    ``excess`` standard errors; the rest weigh 0.
+    positives from their share of the unlabelled texts take part, if by more than two
+    standard errors; the threshold rises with the number of positives, to ``excess``, as
+    chance lifts more words over it. Few positives thus still have features. The penalty is
+    ``l1`` times the prior, the weight that the risk gives the positives, so that it does not
+    outweigh them when toxic texts are rare.
     """
     size = 1 << BITS
     positive, unlabelled = one_of_each(positive), one_of_each(unlabelled)
@@ -107,7 +110,7 @@ def fit_nnpu(
     expected = (count(unlabelled) + 0.5) * len(positive) / len(unlabelled)
     lift = (count(positive) - expected) / np.sqrt(expected + 1)
     chosen = np.argsort(-lift, kind="stable")[:features]
-    chosen = chosen[lift[chosen] > excess]
+    chosen = chosen[lift[chosen] > min(excess, 2 + len(positive) / 30)]
     column = np.full(size, -1, dtype=np.int64)
     column[chosen] = np.arange(len(chosen))
 
@@ -133,13 +136,13 @@ def fit_nnpu(
         g = prior * gradient(xp, sp - 1) + negative if as_negative >= 0 else -negative
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - rate * l1, 0)
+        theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - rate * l1 * prior, 0)
     weights = np.zeros(size, dtype=np.float64)
     weights[chosen] = theta[:-1]
     return Model(weights, float(theta[-1]))
 
 
-def sample_features(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
+def sample_features(docs: DataFrame, ids: DataFrame, most: int) -> list[np.ndarray]:
     """Word ids of the texts of the sampled doc_ids (``ids`` is a bounded sample)."""
 
     def hashed(batches):
@@ -147,7 +150,9 @@ def sample_features(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
             rows = [text_ids(t).astype("<u4").tobytes() for t in texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+    # A repeated doc_id brings each of its texts, not each of its rows; more texts than ids are cut by their hash.
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select(F.xxhash64("text").alias("h"), "text")
+    rows = rows.dropDuplicates(["h"]).orderBy("h").limit(most).select("text")
     return [np.frombuffer(r["ids"], "<u4").astype(np.int64) for r in rows.mapInArrow(hashed, "ids binary").collect()]
 
 
@@ -162,7 +167,7 @@ def train(
     confirmed = known.orderBy(F.xxhash64("doc_id", F.lit("p")), "doc_id").limit(positives)
     anything = docs.where("doc_id is not null").select("doc_id").distinct()
     drawn = anything.orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(unlabelled)
-    p_rows, u_rows = sample_features(docs, confirmed), sample_features(docs, drawn)
+    p_rows, u_rows = sample_features(docs, confirmed, positives), sample_features(docs, drawn, unlabelled)
     if not p_rows or not u_rows:
         return None
     return fit_nnpu(p_rows, u_rows, min(max(float(share), 1e-4), 0.9), **fit)

@@ -75,3 +75,34 @@ def test_non_negative_risk_does_not_collapse():
     positive = [np.append(r, 999) for r in rows[:100]]
     model = toxicity.fit_nnpu(positive, rows + positive[:50], prior=0.8, steps=200)
     assert np.isfinite(model.weights).all() and abs(model.bias) < 50
+
+
+@pytest.mark.parametrize("count", [5, 20, 100])
+def test_few_positives_still_rank(count):
+    """Held-out toxic texts score above clean ones, on average, with few confirmed ones."""
+    rows, fresh = corpus(2400, 5), corpus(800, 6)
+    positive = [toxicity.text_ids(t) for _, t, x in rows if x][:count]
+    model = toxicity.fit_nnpu(positive, [toxicity.text_ids(t) for _, t, _ in rows], prior=1 / 8)
+    scores = model.score([t for _, t, _ in fresh], BoundedCache(10_000))
+    toxic, clean = (scores[[x == k for _, _, x in fresh]] for k in (1, 0))
+    assert len(set(scores.tolist())) > 1
+    assert np.mean([(s > clean).mean() + 0.5 * (s == clean).mean() for s in toxic]) > 0.7
+
+
+def test_small_tables_are_not_scored_alike(spark):
+    """On the smallest tables the few confirmed texts score above the labelled clean ones, on average."""
+    from starcart.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    scores = {r["doc_id"]: r["score"] for r in queries.op3_toxicity(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()
+    toxic, clean = ([scores[r["doc_id"]] for r in labels if r["toxic"] == k and r["doc_id"] in scores] for k in (1, 0))
+    assert len(set(scores.values())) > 2
+    assert np.mean([np.mean(s > np.array(clean)) for s in toxic]) > 0.6
+
+
+def test_a_repeated_id_brings_its_texts_once(table):
+    docs = table([(1, "a b")] * 50 + [(1, f"text {i}") for i in range(9)] + [(2, "c")])
+    ids = docs.select("doc_id").distinct()
+    assert len(toxicity.sample_features(docs, ids, 100)) == 11
+    assert len(toxicity.sample_features(docs, ids, 4)) == 4
