@@ -3,8 +3,8 @@
 A paragraph is a line with a word; its features are the word 1- and 2-grams that occur in
 licence templates and are not common in ordinary text. A multinomial logistic regression
 with an L1 penalty tells licence families and ``unknown`` apart. It is trained on windows of
-the template sentences and on a bounded sample of the corpus' own paragraphs (those with the
-smallest hashes that hold no whole template sentence) as ``unknown``; its temperature is
+the template sentences and on a bounded sample of the corpus' own distinct paragraphs (of
+documents with the smallest hashes; none that holds a whole template sentence) as ``unknown``; its temperature is
 calibrated on a part kept from training. A prediction counts as confirmed when the paragraph
 also holds enough of the 2-word shingles of one of the family's template sentences.
 
@@ -101,12 +101,17 @@ def training_rows(docs: DataFrame, templates: DataFrame, unknown: int) -> DataFr
     windows = templates.select("family", "w", F.explode(F.sequence(least, size)).alias("n"))
     windows = windows.select("family", "w", "n", F.explode(F.sequence(F.lit(1), size - F.col("n") + 1)).alias("at"))
     windows = windows.select("family", F.slice("w", F.col("at"), F.col("n")).alias("w")).distinct()
-    lines = paragraphs(docs).select("w").where(F.size("w") >= 3)
+    # Documents with the smallest hashes of their texts, so many that they are some ``unknown``;
+    # of their distinct paragraphs as many. Only these are compared with the templates.
+    below = ((1 << 63) - 1) * unknown // max(unknown, docs.count(), 1)
+    drawn = docs.where(F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)) <= below)
+    lines = paragraphs(drawn).select("w").where(F.size("w") >= 3).distinct()
+    lines = materialize(lines.orderBy(F.xxhash64("w"), "w").limit(unknown), "licence-sample")
     whole = templates.agg(F.collect_set(F.array_join("w", " ")).alias("s"))
     sentences = whole.first()["s"]  # bounded by the templates
     text = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    ordinary = lines.where(~F.array_contains(F.transform(F.lit(sentences), lambda s: text.contains(F.concat(F.lit(" "), s, F.lit(" ")))), True))
-    sample = ordinary.orderBy(F.xxhash64("w"), "w").limit(unknown).select(F.lit(UNKNOWN).alias("family"), "w")
+    holds = F.exists(F.lit(sentences), lambda s: text.contains(F.concat(F.lit(" "), s, F.lit(" "))))
+    sample = lines.where(~holds).select(F.lit(UNKNOWN).alias("family"), "w")
     held = (F.pmod(F.xxhash64("w", F.lit("held")), F.lit(5)) == 0).alias("held")
     return windows.union(sample).select("family", "w", held)
 
