@@ -13,7 +13,7 @@ text's terms are those of its white-space chunks:
    for each block, not for each occurrence.
 3. Join back. The terms return to their blocks, whose packed rows give for every (lang,
    source, term) the distinct documents (a document counts once, through however many chunks
-   it holds the term) and the occurrences. The blocks of two tasks meet in one group and
+   it holds the term) and the occurrences. The blocks of a task meet in one group and
    are counted one after the other, so memory is bounded by a block and the group's terms.
 4. Aggregation. A language keeps the terms in at least ``least`` of its documents. They are
    stored once, a row for each (lang, term) with the counts of its sources.
@@ -56,7 +56,7 @@ _BLOCK = "block long, code int, chunk binary, counts binary, owners binary, time
 _TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 5, *[pa.list_(pa.string())] * 2]
 _NAMES = [f.split()[0] for f in _BLOCK.split(", ")]
 SHARE = 1_000_000_000
-TASKS_TOGETHER = 2  # tasks whose blocks are counted in one group
+TASKS_TOGETHER = 1  # tasks whose blocks are counted in one group (a power of two)
 
 
 def terms_of(chunk: bytes) -> list[bytes]:

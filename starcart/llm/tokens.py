@@ -98,7 +98,7 @@ class PieceEncoder:
     ``spell_names``: names of special tokens in a text are spelt out like other text.
     """
 
-    def __init__(self, path: str, style: str, cache: int = 600_000, spell_names: bool = True, cache_bytes: int = 32 << 20):
+    def __init__(self, path: str, style: str, cache: int = 900_000, spell_names: bool = True, cache_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
