@@ -56,6 +56,7 @@ _BLOCK = "block long, code int, chunk binary, counts binary, owners binary, time
 _TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 5, *[pa.list_(pa.string())] * 2]
 _NAMES = [f.split()[0] for f in _BLOCK.split(", ")]
 SHARE = 1_000_000_000
+BROADCAST_GROUPS = 1000  # (lang, source) groups up to which they, and their pairs, are broadcast
 TASKS_TOGETHER = 1  # tasks whose blocks are counted in one group (a power of two)
 
 
@@ -248,11 +249,12 @@ def group_sizes(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return sized.select("*", absent)
 
 
-def pair_differences(kept: DataFrame, sizes: DataFrame) -> DataFrame:
+def pair_differences(kept: DataFrame, sizes: DataFrame, few: bool) -> DataFrame:
     """(lang, source, item, value): the sum of differences of every two sources of a language."""
     one = sizes.select("lang", "source", "v", "total", F.col("terms").alias("k1"), F.col("absent").alias("a1"))
     two = sizes.select("lang", F.col("source").alias("item"), F.col("total").alias("total2"), F.col("terms").alias("k2"), F.col("absent").alias("a2"))
     pairs = one.join(two, "lang").where("source <> item")  # the rows of the result
+    pairs = F.broadcast(pairs) if few else pairs  # at most BROADCAST_GROUPS squared
     names = ["lang", "source", "item"]
     p, q = share(F.col("n"), F.col("total"), F.col("v")), share(F.col("n2"), F.col("total2"), F.col("v"))
     a1, a2 = F.col("a1"), F.col("a2")
@@ -278,7 +280,9 @@ def audit(docs: DataFrame, least: int = 10, ranks: int = 10) -> DataFrame:
     language (part ``pair``) and its ``ranks`` most over-used terms (part ``term``)."""
     kept = materialize(kept_terms(docs, least), "kept-terms")
     sizes = materialize(group_sizes(docs, kept), "group-sizes")
-    pairs = pair_differences(kept, sizes).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
+    few = sizes.count() <= BROADCAST_GROUPS
+    sizes = F.broadcast(sizes) if few else sizes
+    pairs = pair_differences(kept, sizes, few).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     flat = kept.select("lang", "term", "lang_n", F.inline("sources")).join(sizes, ["lang", "source"])
     p, q = share(F.col("n"), F.col("total"), F.col("v")), share(F.col("lang_n"), F.col("lang_total"), F.col("v"))
     terms = flat.select("lang", "source", "term", p.alias("p"), q.alias("q")).where("p > q")

@@ -150,10 +150,10 @@ def sample_features(docs: DataFrame, ids: DataFrame, most: int) -> list[np.ndarr
             rows = [text_ids(t).astype("<u4").tobytes() for t in texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
-    # A repeated doc_id brings each of its texts, not each of its rows; more texts than ids are cut by their hash.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select(F.xxhash64("text").alias("h"), "text")
-    rows = rows.dropDuplicates(["h"]).orderBy("h").limit(most).select("text")
-    return [np.frombuffer(r["ids"], "<u4").astype(np.int64) for r in rows.mapInArrow(hashed, "ids binary").collect()]
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+    # A repeated doc_id brings each of its texts, not each of its rows, and no more texts than asked for.
+    hashes = rows.mapInArrow(hashed, "ids binary").distinct().limit(most)
+    return [np.frombuffer(r["ids"], "<u4").astype(np.int64) for r in hashes.collect()]
 
 
 def train(
