@@ -11,7 +11,8 @@ text's terms are those of its white-space chunks:
 2. Terms. The narrow rows meet by chunk, sorted, and each globally distinct chunk is cut into
    terms once, whatever the number of blocks that hold it. A chunk in every block costs a row
    for each block, not for each occurrence.
-3. Join back. The terms return to their blocks, whose packed rows give for every (lang,
+3. Join back. The terms return to their blocks in packs (a task's rows for one block together,
+   each term once), whose packed rows give for every (lang,
    source, term) the distinct documents (a document counts once, through however many chunks
    it holds the term) and the occurrences. The blocks of a task meet in one group and
    are counted one after the other, so memory is bounded by a block and the group's terms.
@@ -130,11 +131,41 @@ def chunk_blocks(docs: DataFrame, block_chunks: int = 5_000_000, block_docs: int
     return docs.select("lang", "source", "text").mapInArrow(make, _BLOCK)
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(block, code, term, times) of the rows (block, code, chunk); every distinct chunk is cut into terms once."""
+_PACK = "block long, pack binary"
+
+
+def _packs(block: np.ndarray, code: np.ndarray, terms: pa.Array, times: np.ndarray) -> pa.RecordBatch:
+    """A row (block, pack) for each block: its codes, numbers of terms, times, and each of its terms once."""
+    order = np.argsort(block, kind="stable")
+    block, code, times, terms = block[order], code[order], times[order], terms.take(pa.array(order))
+    starts = np.flatnonzero(np.diff(block, prepend=block[0] - 1)) if len(block) else block
+    packs = []
+    for a, b in zip(starts, np.append(starts[1:], len(block)), strict=True):
+        names = terms.slice(a, b - a).dictionary_encode()
+        raw = np.concatenate([[b - a], code[a:b], names.indices.to_numpy(), times[a:b]]).astype("<u4").tobytes()
+        raw += b" ".join(names.dictionary.to_pylist())
+        packs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if len(raw) > 400 else bytes(8) + raw)
+    return pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int64()), pa.array(packs, pa.binary())], names=["block", "pack"])
+
+
+def _open_pack(pack: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """The codes, numbers of terms, times and terms of a pack."""
+    size = int.from_bytes(pack[:8], "little")
+    raw = pa.decompress(pack[8:], size, "zstd", asbytes=True) if size else pack[8:]
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    code, which, times = np.frombuffer(raw, "<u4", 3 * n, 4).astype(np.int64).reshape(3, n)
+    return code, which, times, raw[4 + 12 * n :].split(b" ")
+
+
+def chunk_terms(chunks: DataFrame, pack_rows: int = 250_000) -> DataFrame:
+    """(block, pack) of the rows (block, code, chunk): the terms of a block's chunks.
+
+    Every distinct chunk is cut into terms once. A task holds so many rows before it packs them.
+    """
 
     def make(batches):
         last, found = None, []
+        held, rows = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -155,14 +186,24 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
                     sizes.append(len(tally))
             sizes = np.array(sizes, np.int64)
             first, size = (np.cumsum(sizes) - sizes)[row_chunk], sizes[row_chunk]
-            row = pa.array(np.repeat(np.arange(len(size)), size))
-            pick = pa.array(np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(terms, pa.binary()).take(pick).cast(pa.string()), pa.array(times, pa.int32()).take(pick)],
-                names=["block", "code", "term", "times"],
-            )
+            row = np.repeat(np.arange(len(size)), size)
+            pick = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            block, code = (batch.column(i).to_numpy()[row] for i in (0, 1))
+            held.append((block, code, pa.array(terms, pa.binary()).take(pa.array(pick)), np.array(times, np.int64)[pick]))
+            rows += len(row)
+            if rows >= pack_rows:
+                yield pack(held)
+                held, rows = [], 0
+        if rows:
+            yield pack(held)
+        held = None
+        release()
+
+    def pack(held):
+        block, code, terms, times = zip(*held, strict=True)
+        return _packs(np.concatenate(block), np.concatenate(code), pa.concat_arrays(terms), np.concatenate(times))
 
-    return chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(make, "block long, code int, term string, times int")
+    return chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(make, _PACK)
 
 
 _COUNT = [("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())]
@@ -176,33 +217,51 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[starts], *(np.add.reduceat(v[order], starts) if len(starts) else v[:0] for v in values)
 
 
-def _count_blocks(terms: pa.Table, packed: pa.Table) -> pa.Table:
+def _steps(term: np.ndarray, size: np.ndarray, most: int = 1_000_000) -> list[slice]:
+    """Cuts of sorted ``term`` with about ``most`` in sum of ``size`` each; a term is in one cut."""
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    step = (np.cumsum(size) - size)[starts] // most
+    cuts = starts[np.flatnonzero(np.diff(step, prepend=-1))].tolist()
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:] + [len(term)], strict=False)]  # no cuts without terms
+
+
+def _count_blocks(packs: pa.Table, packed: pa.Table) -> pa.Table:
     """(lang, source, term, docs, n) of the blocks of one group."""
-    if not (terms.num_rows and packed.num_rows):
+    if not (packs.num_rows and packed.num_rows):
         return pa.table({n: pa.array([], t) for n, t in _COUNT})
-    names = pa.chunked_array(terms["term"].chunks).combine_chunks().dictionary_encode()
-    term, block = names.indices.to_numpy().astype(np.int64), terms["block"].to_numpy()
-    code, repeats = terms["code"].to_numpy(), terms["times"].to_numpy()
-    by_block = np.argsort(block, kind="stable")
+    names, opened, at = [], {}, 0
+    for block, pack in zip(packs["block"].to_pylist(), packs["pack"], strict=True):
+        code, which, times, own = _open_pack(pack.as_py())
+        opened.setdefault(block, []).append((code.astype(np.int32), (which + at).astype(np.int32), times.astype(np.int32)))
+        names.append(pa.array(own, pa.binary()))
+        at += len(own)
+    names = pa.concat_arrays(names).dictionary_encode()
+    number, names = names.indices.to_numpy().astype(np.int64), names.dictionary.cast(pa.string())
     groups, found = Codes(), []
     for row in packed.to_pylist():
-        mine = by_block[slice(*np.searchsorted(block[by_block], [row["block"], row["block"] + 1]))]
+        code, which, repeats = (np.concatenate(x) for x in zip(*opened.pop(row["block"], [(number[:0],) * 3]), strict=True))
+        term, repeats = number[which], repeats.astype(np.int64)
         per_code, doc, times = (_spread(row[c], k) for c, k in (("counts", "<u4"), ("owners", "<u2"), ("times", "<u4")))
         of = np.array([groups[g] for g in zip(row["langs"], row["sources"], strict=True)], np.int64)[_spread(row["groups"], "<u4")]
+        order = np.argsort(term, kind="stable")
+        term, code, repeats = term[order], code[order], repeats[order]
         per_code = per_code.astype(np.int64)
-        first, size = (np.cumsum(per_code) - per_code)[code[mine]], per_code[code[mine]]
-        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        # Distinct (term, document) first, then (group, term).
-        keys, n = _sums(np.repeat(term[mine], size) * len(of) + doc[at], np.repeat(repeats[mine], size) * times[at].astype(np.int64))
-        which, doc = np.divmod(keys, len(of))
-        found.append(_sums(of[doc] * len(names.dictionary) + which, np.ones(len(keys), np.int64), n))
-        del per_code, doc, times, first, size, at, keys, n, which
-    del term, block, code, repeats, by_block
+        first, size = (np.cumsum(per_code) - per_code)[code], per_code[code]
+        for some in _steps(term, size):
+            n = size[some]
+            at = np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            # Distinct (term, document) first, then (group, term).
+            keys, n = _sums(np.repeat(term[some], n) * len(of) + doc[at], np.repeat(repeats[some], n) * times[at].astype(np.int64))
+            which, owner = np.divmod(keys, len(of))
+            found.append(_sums(of[owner] * len(names) + which, np.ones(len(keys), np.int64), n))
+        del per_code, doc, times, first, size, order, code, term, repeats
+    if not found:
+        return pa.table({n: pa.array([], t) for n, t in _COUNT})
     release()
     keys, docs, n = _sums(*(np.concatenate(x) for x in zip(*found, strict=True)))
-    group, term = np.divmod(keys, len(names.dictionary))
+    group, term = np.divmod(keys, len(names))
     lang, source = (pa.array([g[i] for g in groups], pa.string()).take(pa.array(group)) for i in (0, 1))
-    return pa.table({"lang": lang, "source": source, "term": names.dictionary.take(pa.array(term)), "docs": pa.array(docs), "n": pa.array(n)})
+    return pa.table({"lang": lang, "source": source, "term": names.take(pa.array(term)), "docs": pa.array(docs), "n": pa.array(n)})
 
 
 def kept_terms(docs: DataFrame, least: int) -> DataFrame:
