@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_dec
+from ..functions.skew import hot_keys, split_join
 from ..plans.warehouse import once_per_star
 from ..session import materialize
 from ..sources.schema import Star
@@ -150,15 +151,17 @@ def pair_mart(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     return once_per_star(star, f"pairs-{block_size}", make)
 
 
-def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE, broadcast_rows: int | None = None) -> DataFrame:
     """Directed pairs whose source is a known product and candidate an active one.
 
     The attributes of a product are joined to the mirrored pairs once for each side: by
     broadcast while ``product_attrs`` (one row a product) counts no more than
-    ATTRS_BROADCAST_ROWS, else by a shuffle whose hot products AQE splits.
+    ``broadcast_rows`` (ATTRS_BROADCAST_ROWS), else by a join that takes the hot products
+    apart (``functions/skew.py``) and shuffles the rest.
     """
     attrs = product_attrs(star)
-    few = attrs.count() <= ATTRS_BROADCAST_ROWS  # a written table: read from its footers
+    limit = ATTRS_BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    few = attrs.count() <= limit  # a written table: read from its footers
 
     def named(side: str, key: str, rows: DataFrame, columns: list[str]) -> DataFrame:
         kept = rows.select(F.col("product_key").alias(key), *[F.col(c).alias(f"{c}_{side}") for c in columns])
@@ -168,7 +171,12 @@ def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> Dat
     active = known.where("is_active and product_order_count is not null and margin_avg is not null")
     sources = named("s", "source_product_key", known, ["subcategory"])
     candidates = named("c", "candidate_product_key", active, ["subcategory", "product_order_count", "margin_avg"])
-    return mirrored(pair_mart(star, block_size)).join(candidates, "candidate_product_key").join(sources, "source_product_key")
+    pairs = mirrored(pair_mart(star, block_size))
+    if few:
+        return pairs.join(candidates, "candidate_product_key").join(sources, "source_product_key")
+    # Mirrored pairs hold a product as often on either side: one sketch serves both joins.
+    hot = hot_keys(pairs, "source_product_key")
+    return split_join(split_join(pairs, candidates, "candidate_product_key", hot), sources, "source_product_key", hot)
 
 
 def source_stats(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
@@ -231,6 +239,36 @@ def category_match_expr(collation: str | None = None) -> Column:
     )
 
 
+BOUND_CLASSES = 16  # hash classes of candidates whose best scores bound a source's k-th
+
+
+def prune_candidates(cands: DataFrame, stats: DataFrame, raw, k: int = TOP_K, classes: int = BOUND_CLASSES) -> DataFrame:
+    """The candidates that can be among the ``k`` best of their source, whatever their category.
+
+    ``raw(match)`` is a pair's score given its category signal, which lies between 0 and 1, so
+    every pair has a least and a most possible score before the category is known. A source's
+    k-th largest least score is bounded from below by the k-th of its hash classes' largest
+    ones (each is another pair's): a plain aggregate of maxima that collapses map-side. Pairs
+    whose most possible score is below that bound have k better ones and leave, before the
+    category joins, the salting and the ranking. Rounding is monotone, so the bounds hold for
+    the floating-point scores as they are computed.
+    """
+    few = stats.count() <= ATTRS_BROADCAST_ROWS  # a written table, one row a source
+
+    def by_source(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few else table
+
+    known = cands.join(by_source(stats.select("source_product_key", "_max_cnt", "_max_last")), "source_product_key")
+    without, same = raw(F.lit(0.0)), raw(F.lit(1.0))
+    known = known.withColumns({"_least": F.least(without, same), "_most": F.greatest(without, same)})
+    part = F.pmod(F.xxhash64("candidate_product_key"), F.lit(classes))
+    tops = known.groupBy("source_product_key").agg(*[F.max(F.when(part == j, F.col("_least"))).alias(f"_c{j}") for j in range(classes)])
+    best = F.sort_array(F.array_compact(F.array(*[F.col(f"_c{j}") for j in range(classes)])), asc=False)
+    floors = materialize(tops.select("source_product_key", F.get(best, F.lit(k - 1)).alias("_floor")), "score-floors")
+    kept = known.join(by_source(floors), "source_product_key").where("_floor is null or _most >= _floor")
+    return kept.select(*cands.columns)
+
+
 def scored_pairs(
     star: Star,
     zero: str = "null",
@@ -240,9 +278,14 @@ def scored_pairs(
     min_hot_rows: int = MIN_HOT_ROWS,
     weights: dict[str, float] | None = None,
     collation: str | None = None,
+    prune: int = 0,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Every scored directed pair (U22-U26), with the raw double score ``_score``.
 
+    prune: if not 0, only the pairs that can be among so many best of their source
+    (see ``prune_candidates``).
+
     zero="null" (default): normalisation by the maxima with NULL on zero; the
     recency ratio then equals exp(-(newest - last) / 90) and needs no clock.
     zero="floor": the embedded copy's guards (max(x, 1), max(x, 0.001)) and a
@@ -255,18 +298,13 @@ def scored_pairs(
     """
     w = {**WEIGHTS, **(weights or {})}
     stats = source_stats(star, block_size)
-    cands = directed_candidates(star, block_size)
+    cands = directed_candidates(star, block_size, broadcast_rows)
     # Global maxima and the row count from the small table of sources.
     glob = stats.select(F.struct(F.max("_max_pop").alias("pop"), F.max("_max_margin").alias("margin"))).scalar()
     # Bound to a column once, so the subquery appears (and runs) once.
-    d = _with_parents(cands.withColumn("_glob", glob), star, collation)
+    cands = cands.withColumn("_glob", glob)
     max_pop = F.col("_glob.pop")
     max_margin = F.col("_glob.margin")
-    d = d.withColumn("category_match", category_match_expr(collation))
-    # Statistics are taken before the category joins: the fan-out cannot change a
-    # maximum, and the row count only steers salting.
-    rows = stats.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    d = _salt_hot_sources(d, stats, rows, salt_budget, min_hot_rows)
 
     cnt = F.col("co_purchase_count").cast("double")
     pop = F.col("product_order_count_c").cast("double")
@@ -287,6 +325,24 @@ def scored_pairs(
         popularity = F.when(max_pop == 0, F.lit(None)).otherwise(pop / max_pop.cast("double"))
         margin_n = F.when(max_margin == 0, F.lit(None)).otherwise(margin / max_margin)
 
+    def raw(match: Column) -> Column:
+        return (
+            F.lit(w["freq"]) * F.coalesce(freq, F.lit(0.0))
+            + F.lit(w["recency"]) * F.coalesce(recency, F.lit(0.0))
+            + F.lit(w["category"]) * F.coalesce(match, F.lit(0.0))
+            + F.lit(w["popularity"]) * F.coalesce(popularity, F.lit(0.0))
+            + F.lit(w["margin"]) * F.coalesce(margin_n, F.lit(0.0))
+            + F.lit(w["availability"]) * F.lit(1.0)
+        )
+
+    if prune:
+        cands = prune_candidates(cands, stats, raw, prune)
+    d = _with_parents(cands, star, collation).withColumn("category_match", category_match_expr(collation))
+    # Statistics are taken before the category joins: the fan-out cannot change a
+    # maximum, and the row count only steers salting.
+    rows = stats.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    d = _salt_hot_sources(d, stats, rows, salt_budget, min_hot_rows)
+
     d = d.select(
         "source_product_key", "candidate_product_key", "_salt", "co_purchase_count",
         "last_together_date",
@@ -297,18 +353,9 @@ def scored_pairs(
         recency.alias("recency_norm"),
         popularity.alias("popularity_norm"),
         margin_n.alias("margin_norm"),
+        raw(F.col("category_match")).alias("_score"),
     )
-    raw = (
-        F.lit(w["freq"]) * F.coalesce(F.col("freq_norm"), F.lit(0.0))
-        + F.lit(w["recency"]) * F.coalesce(F.col("recency_norm"), F.lit(0.0))
-        + F.lit(w["category"]) * F.coalesce(F.col("category_match"), F.lit(0.0))
-        + F.lit(w["popularity"]) * F.coalesce(F.col("popularity_norm"), F.lit(0.0))
-        + F.lit(w["margin"]) * F.coalesce(F.col("margin_norm"), F.lit(0.0))
-        + F.lit(w["availability"]) * F.lit(1.0)
-    )
-    return d.withColumn("_score", raw).withColumn(
-        "recommendation_score", round_dec(F.lit(100.0) * F.col("_score"))
-    )
+    return d.withColumn("recommendation_score", round_dec(F.lit(100.0) * F.col("_score")))
 
 
 def recommendation_scores(star: Star, **kw) -> DataFrame:
@@ -329,7 +376,8 @@ def recommendation_scores(star: Star, **kw) -> DataFrame:
 def category_match(star: Star, **kw) -> DataFrame:
     """The category signal of every scored pair (1.0 / 0.5 / 0.0); needs no statistics."""
     collation = kw.get("collation")
-    d = _with_parents(directed_candidates(star, kw.get("block_size", DEFAULT_BLOCK_SIZE)), star, collation)
+    pairs = directed_candidates(star, kw.get("block_size", DEFAULT_BLOCK_SIZE), kw.get("broadcast_rows"))
+    d = _with_parents(pairs, star, collation)
     return d.select(
         "source_product_key", "candidate_product_key",
         round_dec(category_match_expr(collation), 1, 3).alias("category_match"),

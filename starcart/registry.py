@@ -168,6 +168,7 @@ def queries() -> dict[str, Query]:
         "product_unit_margin": _on_star(product.product_unit_margin),
         "customer_lifetime_value": _on_star(customer.customer_lifetime_value),
         "customer_spending_quartiles": _on_star(customer.customer_spending_quartiles),
+        "spending_quartiles_by_cuts": _on_star(customer.spending_quartiles_by_cuts),
         "quartile_breakdown": _on_star(customer.quartile_breakdown),
         "clv_histogram": _on_star(customer.clv_histogram),
         "average_clv": _on_star(customer.average_clv),
@@ -182,6 +183,8 @@ def queries() -> dict[str, Query]:
         "category_match": _on_star(recommend.category_match),
         "recommendation_scores": _on_star(recommend.recommendation_scores),
         "recommendation_top4": _on_star(recommend.recommendation_top4),
+        "category_match_split": _on_star(recommend.category_match, broadcast_rows=0),
+        "recommendation_top4_bounded": _on_star(recommend.recommendation_top4, prune=recommend.TOP_K),
         "recommendation_top4_floor": recommendation_top4_floor,
         "recommendations_for_product": recommendations_for_product,
         "rec_coverage": _on_recs(rec_checks.rec_coverage),
