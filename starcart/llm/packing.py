@@ -10,6 +10,8 @@ Documents are encoded where they lie; only a short row for each piece (document,
 length, checksum) is shuffled. Pieces are dealt at random into groups of about
 ``group_tokens`` tokens, whose number grows with the input; every group is one packer's
 stream, longest pieces first (Spark sorts it, the packer holds only its open sequences).
+The deal is by the pieces' content, so copies of one row meet in a group; a group that this
+makes twice as large as meant is dealt again, by the number that each piece is written with.
 
 A document of more than ``length`` tokens is cut into pieces of ``length``, of which the
 first may be shorter; others stay whole.
@@ -36,6 +38,8 @@ _PIECE = [
     ("length", "long", pa.int64()), ("ids_crc32", "long", pa.int64()), ("ids", "binary", pa.binary()),
 ]
 
+BROADCAST_GROUPS = 100_000  # group numbers up to which they are broadcast
+
 
 def piece_starts(n: int, length: int) -> list[int]:
     """Starts of a document's pieces: the first takes what is left over."""
@@ -107,11 +111,32 @@ def _skip_empty(make):
     return lambda batches: make(b for b in batches if b.num_rows)
 
 
-def pack(pieces: DataFrame, length: int, open_limit: int = 4096, group_tokens: int = 20_000_000) -> DataFrame:
-    """``pieces`` (with a ``length`` column) plus sequence_id and offset."""
+def _dealt(pieces: DataFrame, groups: int, group_tokens: int, number: str | None) -> DataFrame:
+    """``pieces`` with the ``_group`` of each."""
+    content = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
+    dealt = pieces.withColumn("_group", F.pmod(content, F.lit(groups)))
+    if groups == 1 or not number:
+        return dealt
+    large = dealt.groupBy("_group").agg(F.sum("length").alias("_tokens")).where(F.col("_tokens") > 2 * group_tokens)
+    large = materialize(large.select("_group", F.lit(True).alias("_large")), "large-groups")
+    found = large.count()
+    if not found:
+        return dealt
+    large = F.broadcast(large) if found <= BROADCAST_GROUPS else large
+    anew = F.pmod(F.xxhash64(content, number), F.lit(groups))
+    return dealt.join(large, "_group", "left").withColumn("_group", F.when(F.col("_large"), anew).otherwise(F.col("_group"))).drop("_large")
+
+
+def pack(
+    pieces: DataFrame, length: int, open_limit: int = 4096, group_tokens: int = 20_000_000, number: str | None = None
+) -> DataFrame:
+    """``pieces`` (with a ``length`` column) plus sequence_id and offset.
+
+    ``number``: a column, written with the pieces, that tells equal rows apart; it is left out.
+    """
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-int(total) // group_tokens))
-    kept = [c for c in pieces.columns]
+    kept = [c for c in pieces.columns if c != number]
     at = kept.index("length")
 
     def place(batches):
@@ -129,10 +154,10 @@ def pack(pieces: DataFrame, length: int, open_limit: int = 4096, group_tokens: i
                 names=[*kept, "sequence_id", "offset"],
             )
 
-    deal = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).alias("_group")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"{n} {pieces.schema[n].dataType.simpleString()}" for n in kept) + ", sequence_id long, offset long"
     return (
-        pieces.select(*kept, deal)
+        _dealt(pieces, groups, group_tokens, number)
+        .select(*kept, "_group")
         .repartition(groups, "_group")
         .sortWithinPartitions("_group", F.desc("length"), "doc_id", "piece", "ids_crc32")
         .mapInArrow(place, schema)
@@ -144,8 +169,8 @@ def pack_documents(
     open_limit: int = 4096, group_tokens: int = 20_000_000,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``."""
-    pieces = materialize(encode_pieces(docs, tokenizer, style, end_id, length), "pieces")
-    return pack(pieces, length, open_limit, group_tokens)
+    pieces = encode_pieces(docs, tokenizer, style, end_id, length).withColumn("number", F.monotonically_increasing_id())
+    return pack(materialize(pieces, "pieces"), length, open_limit, group_tokens, number="number")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -50,5 +50,29 @@ def test_few_rows_move_to_a_new_shard(table):
     assert sum(a[i] != b[i] for i in a) < 1000  # round robin would move nearly 1800
 
 
+@pytest.mark.parametrize("text", ["same", None])
+def test_a_third_of_the_rows_under_one_id(table, text):
+    hot = [(7, text if text else f"text {i}") for i in range(1000)]
+    docs = table([(i, f"t{i % 9}") for i in range(100, 2100)] + hot)
+    got = sharding.shard_documents(docs, shards=24, cell_rows=50).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter(
+        (i, zlib.crc32(t.encode())) for i, t in [(r["doc_id"], r["text"]) for r in docs.collect()]
+    )
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(slots) == 24 and all(sorted(v) == list(range(125)) for v in slots.values())
+
+
+def test_hot_positions_are_spread_and_others_stay(spark):
+    rows = [(1 << 50, 1, i) for i in range(1000)] + [(i * (1 << 49), 1, 1000 + i) for i in range(2000)]
+    rows = spark.createDataFrame(rows, "_pos long, text_crc32 long, _row long")
+    got = sharding.spread_hot_positions(rows, 6, 50).collect()
+    assert sorted(r["_row"] for r in got) == list(range(3000))
+    # The row that shares the hot position moves with it.
+    assert all(r["_pos"] == (r["_row"] - 1000) << 49 for r in got if r["_row"] >= 1000 and r["_row"] != 1002)
+    assert max(Counter(r["_pos"] for r in got).values()) < 100
+
+
 def test_empty(table):
     assert sharding.shard_documents(table([])).collect() == []

@@ -192,3 +192,24 @@ def test_sequences_hold_the_ids(table):
     for r in packed.collect():
         part = whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
         assert zlib.crc32(part.astype("<u4")) == r["ids_crc32"]
+
+
+def test_copies_of_one_row_are_dealt_to_all_groups(spark):
+    rows = [(1, 0, 0, 10, 5, i) for i in range(3000)] + [(i, 0, 0, 1 + i % 64, i, i) for i in range(3000, 6000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, number long")
+    packed = packing.pack(pieces, 64, group_tokens=6000, number="number")
+    assert "number" not in packed.columns
+    got = packed.collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    groups, spans = Counter(), {}
+    for r in got:
+        groups[r["sequence_id"] >> 40] += r["length"]
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert max(groups.values()) < 2 * 6000
+    for own in spans.values():
+        ends = 0
+        for offset, length in sorted(own):
+            assert offset == ends
+            ends += length
+        assert ends <= 64
+    assert len(spans) <= 1.1 * sum(r[3] for r in rows) / 64
