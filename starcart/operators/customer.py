@@ -24,7 +24,7 @@ QUARTILE_LABELS = {1: "Q1 (Top)", 2: "Q2", 3: "Q3", 4: "Q4 (Bottom)"}  # fixed v
 
 def clv_base(star: Star, zero: str = "null") -> DataFrame:
     """U8 without the quartile: per buying customer, orders, revenue, profit, AOV."""
-    sales = star.fact.groupBy("customer_key").agg(
+    sales = star.lines.groupBy("customer_key").agg(
         F.countDistinct("order_id").alias("total_orders"),
         F.sum("net_amount").alias("_net"),
         F.sum("profit_amount").alias("_profit"),
@@ -139,7 +139,7 @@ def top_customers_by_clv(star: Star, n: int = 20) -> DataFrame:
 def orders_of_customers(star: Star) -> DataFrame:
     """customer_key, order_count of every customer in the fact, known to the dimension or not."""
     def make() -> DataFrame:
-        return star.fact.groupBy("customer_key").agg(F.countDistinct("order_id").alias("order_count"))
+        return star.lines.groupBy("customer_key").agg(F.countDistinct("order_id").alias("order_count"))
 
     return once_per_star(star, "customer-orders", make)
 
