@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from ..functions.numeric import MONEY_SUM, div_round
 from ..functions.ranking import dense_rank_desc
 from ..plans.warehouse import once_per_star
+from ..session import materialize
 from ..sources.schema import Star
 
 PRODUCT_ATTRS = ["product_id", "product_name", "brand", "subcategory"]
 
 
-def product_sales(star: Star) -> DataFrame:
-    """Per product: exact revenue and profit sums, distinct orders, units."""
-    return star.fact.groupBy("product_key").agg(
+def product_sales(star: Star, lines: DataFrame | None = None) -> DataFrame:
+    """Per product: exact revenue and profit sums, distinct orders, units (of ``lines``, if given)."""
+    return (star.lines if lines is None else lines).groupBy("product_key").agg(
         F.sum("net_amount").alias("_net"),
         F.sum("profit_amount").alias("_profit"),
         F.countDistinct("order_id").alias("orders_count"),
@@ -56,13 +57,18 @@ def top_products_by_revenue(star: Star) -> DataFrame:
 def top_n_products(star: Star, n: int = 20) -> DataFrame:
     """The n best products by revenue (ties broken by product key).
 
-    A sort-limit (TakeOrderedAndProject keeps n rows per task) runs first; the
-    dense rank is then computed over those n rows only. That equals the global
-    rank because every larger revenue is also among the n rows.
+    A sort-limit over the revenues (TakeOrderedAndProject keeps n rows per task) runs
+    first; orders, profit and units are then taken from the lines of those products
+    alone, so the distinct orders of all others never move. The dense rank is computed
+    over the n rows only, which equals the global rank because every larger revenue is
+    also among them.
     """
-    rows = _product_rows(star)
-    top = rows.orderBy(F.col("_net").desc(), F.col("product_key").asc()).limit(n)
-    ranked = top.withColumn(
+    revenue = star.lines.groupBy("product_key").agg(F.sum("net_amount").alias("_net"))
+    rows = revenue.join(star.product.select("product_key", *PRODUCT_ATTRS), "product_key")
+    top = materialize(rows.orderBy(F.col("_net").desc(), F.col("product_key").asc()).limit(n), "top-products")
+    keys = [r[0] for r in top.select("product_key").distinct().collect()]  # n at most
+    sales = product_sales(star, star.lines.where(F.col("product_key").isin(keys))).drop("_net")
+    ranked = top.join(sales, "product_key").withColumn(
         "revenue_rank", F.dense_rank().over(Window.orderBy(F.col("_net").desc()))
     )
     return _shape(ranked)
