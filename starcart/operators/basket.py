@@ -64,7 +64,7 @@ def order_product_facts(star: Star) -> DataFrame:
     aggregation.
     """
     cal = star.date.select("date_key", "full_date")
-    lines = star.fact.select("order_id", "product_key", "date_key", "profit_amount", "net_amount").join(
+    lines = star.lines.select("order_id", "product_key", "date_key", "profit_amount", "net_amount").join(
         F.broadcast(cal), "date_key", "left"
     )
     return lines.groupBy("order_id", "product_key").agg(
@@ -84,6 +84,14 @@ def order_products(star: Star, facts: DataFrame | None = None) -> DataFrame:
 BIG_ORDER_BROADCAST_LIMIT = 1_000_000  # rows of the big-order list we broadcast
 
 
+def big_orders(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """Orders with more than ``block_size`` distinct products, and their number of blocks."""
+    sizes = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_m"))
+    return sizes.filter(F.col("_m") > block_size).select(
+        "order_id", F.ceil(F.col("_m") / F.lit(block_size)).cast("int").alias("_nb")
+    )
+
+
 def tag_blocks(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
                sizes_from: DataFrame | None = None) -> DataFrame:
     """Tag each item with its block inside its order (0 for ordinary orders).
@@ -96,11 +104,7 @@ def tag_blocks(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
     big, broadcast when the list has at most BIG_ORDER_BROADCAST_LIMIT rows,
     and a shuffle join beyond that.
     """
-    source = sizes_from if sizes_from is not None else items
-    sizes = source.groupBy("order_id").agg(F.count(F.lit(1)).alias("_m"))
-    big = sizes.filter(F.col("_m") > block_size).select(
-        "order_id", F.ceil(F.col("_m") / F.lit(block_size)).cast("int").alias("_nb")
-    )
+    big = big_orders(sizes_from if sizes_from is not None else items, block_size)
     if sizes_from is not None:
         n_big = big.count()
         if n_big == 0:
@@ -162,6 +166,17 @@ def pair_rows(items: DataFrame | None = None, block_size: int = DEFAULT_BLOCK_SI
     )
 
 
+def pair_rows_of_orders(items: DataFrame) -> DataFrame:
+    """``pair_rows`` of orders that all have one block. Both sides of the self-join are the same
+    rows as they stand, so one exchange (or none, of buckets) serves both."""
+    a, b = items.alias("a"), items.alias("b")
+    joined = a.join(b, (F.col("a.order_id") == F.col("b.order_id")) & (F.col("a.product_key") < F.col("b.product_key")))
+    return joined.select(
+        F.col("a.product_key").alias("source_product_key"), F.col("b.product_key").alias("candidate_product_key"),
+        (F.col("a.n_dates") * F.col("b.n_dates")).alias("cnt"), F.greatest("a.last_date", "b.last_date").alias("last"),
+    )
+
+
 def aggregate_pairs(rows: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Sum counts / latest date per unordered pair (partial aggregation map-side,
     so a pair shared by a third of all orders collapses before the shuffle).

@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from ..operators import basket, kpi
 from ..session import stage_path
 from ..sources.schema import Star
-from .warehouse import once_per_star
+from .warehouse import COMPRESSION, once_per_star
 
 ROWS_A_BUCKET = 2_000_000
+LINES = "lines-by-order"
 _TABLES: dict[tuple, str] = {}
 
 
@@ -33,35 +34,44 @@ def bucket_count(rows: int, least: int) -> int:
     return 1 << (wanted - 1).bit_length()
 
 
-def save_bucketed(df: DataFrame, name: str, key: str, sort: list[str], buckets: int) -> str:
-    """Write ``df`` as a table of sorted buckets in the shared folder; returns its name in the catalog."""
+def save_bucketed(df: DataFrame, name: str, key: str, sort: list[str], buckets: int, in_place: bool = False) -> str:
+    """Write ``df`` as a table of sorted buckets in the shared folder; returns its name in the catalog.
+
+    ``in_place``: the rows come from as many buckets of the same key and still lie in them."""
     spark = df.sparkSession
     path = stage_path(spark, name)
     table = re.sub(r"\W", "_", path.rsplit("/", 1)[1])
     # One task for each bucket, so that each is one sorted file.
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(*sort).option("path", path).mode("overwrite").saveAsTable(table)
+    rows = df if in_place else df.repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).sortBy(*sort).option("path", path).option("compression", COMPRESSION).mode("overwrite").saveAsTable(table)
     return table
 
 
-def _bucketed(star: Star, name: str, make, sort: list[str]) -> DataFrame:
-    """A bucketed table of a star, written once per application for a materialised star."""
+def _bucketed(star: Star, name: str, make, sort: list[str], from_lines: bool = False) -> DataFrame:
+    """A bucketed table of a star, written once per application for a materialised star.
+
+    ``from_lines``: made from the bucketed lines, bucket by bucket."""
     spark = star.product.sparkSession
     key = (spark.sparkContext.applicationId, star.origin or id(star), name)
     if key not in _TABLES:
         rows = make()
-        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        _TABLES[key] = save_bucketed(rows, name, "order_id", sort, bucket_count(star.fact.count(), min(least, 4096)))
+        if from_lines:
+            buckets = int(spark.sql(f"DESCRIBE EXTENDED {_TABLES[(*key[:2], LINES)]}").where("col_name = 'Num Buckets'").first()["data_type"])
+        else:
+            least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            buckets = bucket_count(rows.count(), min(least, 4096))
+        _TABLES[key] = save_bucketed(rows, name, "order_id", sort, buckets, in_place=from_lines)
     return spark.table(_TABLES[key])
 
 
 def bucketed_lines(star: Star) -> DataFrame:
     """The fact's lines in buckets by order."""
-    return _bucketed(star, "lines-by-order", lambda: star.fact, ["order_id", "product_key"])
+    return _bucketed(star, LINES, lambda: star.lines, ["order_id", "product_key"])
 
 
 def bucketed_products(star: Star) -> DataFrame:
     """(order, product, n_dates, last_date) in buckets by order, made from the bucketed lines without an exchange."""
-    return _bucketed(star, "products-by-order", lambda: order_products_in_place(star), ["order_id", "product_key"])
+    return _bucketed(star, "products-by-order", lambda: order_products_in_place(star), ["order_id", "product_key"], from_lines=True)
 
 
 def order_products_in_place(star: Star) -> DataFrame:
@@ -84,12 +94,7 @@ def pairs_in_place(items: DataFrame, block_size: int = basket.DEFAULT_BLOCK_SIZE
         out = basket.pair_rows(items.join(big, "order_id", "left_semi"), block_size).select(
             "source_product_key", "candidate_product_key", "cnt", "last"
         )
-    a, b = rest.alias("a"), rest.alias("b")
-    joined = a.join(b, (F.col("a.order_id") == F.col("b.order_id")) & (F.col("a.product_key") < F.col("b.product_key")))
-    rows = joined.select(
-        F.col("a.product_key").alias("source_product_key"), F.col("b.product_key").alias("candidate_product_key"),
-        (F.col("a.n_dates") * F.col("b.n_dates")).alias("cnt"), F.greatest("a.last_date", "b.last_date").alias("last"),
-    )
+    rows = basket.pair_rows_of_orders(rest)
     return rows if out is None else rows.unionByName(out)
 
 
