@@ -17,7 +17,8 @@ Plan (one large shuffle per step, none on a single partition):
     aggregate and are written with the product attributes, one narrow row a product;
   * the aggregated pairs are written once with four columns; attributes join them
     where they are used, by a broadcast of checked size;
-  * pairs come from the blocked self-join in ``basket`` (huge baskets split);
+  * pairs come from the self-join in ``basket`` (huge baskets split into blocks; without
+    one the two sides share an exchange);
   * per-source maxima are a partial aggregate (a hot source collapses
     map-side); hot sources (bounded in number) are split over salts and their
     maxima copied per salt, so the scored rows shuffle once, on
@@ -44,11 +45,13 @@ from .basket import (
     DEFAULT_BLOCK_SIZE,
     MARGIN_UNITS,
     aggregate_pairs,
+    big_orders,
     mirrored,
     line_margin_units,
     order_product_facts,
     order_products,
     pair_rows,
+    pair_rows_of_orders,
     tag_blocks,
 )
 
@@ -111,7 +114,7 @@ def candidate_margin(star: Star) -> DataFrame:
 
 # ------------------------------------------------------------- scoring ----
 
-ATTRS_BROADCAST_ROWS = 1_000_000  # product rows (some 60 bytes each) that are broadcast to the pairs
+ATTRS_BROADCAST_ROWS = 2_000_000  # product rows (some 60 bytes each) that are broadcast to the pairs
 
 
 def _product_attrs(star: Star, facts: DataFrame) -> DataFrame:
@@ -146,43 +149,78 @@ def pair_mart(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """
     def make() -> DataFrame:
         items = order_products(star, _basket_facts(star))
+        if big_orders(items, block_size).isEmpty():
+            return aggregate_pairs(pair_rows_of_orders(items))
         return aggregate_pairs(pair_rows(tagged=tag_blocks(items, block_size, sizes_from=items)))
 
     return once_per_star(star, f"pairs-{block_size}", make)
 
 
-def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE, broadcast_rows: int | None = None) -> DataFrame:
+def directed_candidates(star: Star, block_size: int = DEFAULT_BLOCK_SIZE, broadcast_rows: int | None = None, again: bool = False) -> DataFrame:
     """Directed pairs whose source is a known product and candidate an active one.
 
     The attributes of a product are joined to the mirrored pairs once for each side: by
     broadcast while ``product_attrs`` (one row a product) counts no more than
     ``broadcast_rows`` (ATTRS_BROADCAST_ROWS), else by a join that takes the hot products
-    apart (``functions/skew.py``) and shuffles the rest.
+    apart (``functions/skew.py``) and shuffles the rest. ``again``: the rows are read more
+    than once, so what such a join gives is written.
     """
     attrs = product_attrs(star)
     limit = ATTRS_BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     few = attrs.count() <= limit  # a written table: read from its footers
 
     def named(side: str, key: str, rows: DataFrame, columns: list[str]) -> DataFrame:
-        kept = rows.select(F.col("product_key").alias(key), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-        return F.broadcast(kept) if few else kept
+        return F.broadcast(rows.select(F.col("product_key").alias(key), *[F.col(c).alias(f"{c}_{side}") for c in columns]))
 
     known = attrs.where("in_dim")
-    active = known.where("is_active and product_order_count is not null and margin_avg is not null")
+    is_candidate = F.expr("is_active and product_order_count is not null and margin_avg is not null")
+    if not few:
+        def joined() -> DataFrame:
+            return _joined_by_shuffle(pair_mart(star, block_size), known.withColumn("ok", is_candidate))
+
+        return _both_directions(once_per_star(star, f"joined-pairs-{block_size}", joined) if again else joined())
+    active = known.where(is_candidate)
     sources = named("s", "source_product_key", known, ["subcategory"])
     candidates = named("c", "candidate_product_key", active, ["subcategory", "product_order_count", "margin_avg"])
     pairs = mirrored(pair_mart(star, block_size))
-    if few:
-        return pairs.join(candidates, "candidate_product_key").join(sources, "source_product_key")
+    return pairs.join(candidates, "candidate_product_key").join(sources, "source_product_key")
+
+
+def _joined_by_shuffle(pairs: DataFrame, attrs: DataFrame) -> DataFrame:
+    """Pairs with both products' attributes by shuffle joins, before they are mirrored: half as
+    many rows move as there are directed pairs."""
+    columns = ["subcategory", "product_order_count", "margin_avg", "ok"]
+
+    def side(name: str, key: str) -> DataFrame:
+        return attrs.select(F.col("product_key").alias(key), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
     # Mirrored pairs hold a product as often on either side: one sketch serves both joins.
-    hot = hot_keys(pairs, "source_product_key")
-    return split_join(split_join(pairs, candidates, "candidate_product_key", hot), sources, "source_product_key", hot)
+    hot = hot_keys(mirrored(pairs), "source_product_key")
+    known = split_join(pairs, side("a", "source_product_key"), "source_product_key", hot)
+    known = split_join(known, side("b", "candidate_product_key"), "candidate_product_key", hot)
+    return known.where("ok_a or ok_b")
+
+
+def _both_directions(known: DataFrame) -> DataFrame:
+    """The directed candidates of ``_joined_by_shuffle``: a row is one of the forward pair if the
+    second product may be a candidate, and one of the backward pair if the first may."""
+    def direction(source: str, candidate: str, s: str, c: str) -> Column:
+        return F.struct(
+            F.col(source).alias("source_product_key"), F.col(candidate).alias("candidate_product_key"),
+            "co_purchase_count", "last_together_date", F.col(f"subcategory_{c}").alias("subcategory_c"),
+            F.col(f"product_order_count_{c}").alias("product_order_count_c"), F.col(f"margin_avg_{c}").alias("margin_avg_c"),
+            F.col(f"subcategory_{s}").alias("subcategory_s"), F.col(f"ok_{c}").alias("_ok"),
+        )
+
+    keys = ["source_product_key", "candidate_product_key"]
+    both = F.array(direction(*keys, "a", "b"), direction(*reversed(keys), "b", "a"))
+    return known.select(F.inline(both)).where("_ok").drop("_ok")
 
 
 def source_stats(star: Star, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Per source: maxima over its candidates and their number, written beside the mart."""
     def make() -> DataFrame:
-        return directed_candidates(star, block_size).groupBy("source_product_key").agg(
+        return directed_candidates(star, block_size, again=True).groupBy("source_product_key").agg(
             F.max("co_purchase_count").alias("_max_cnt"),
             F.max("last_together_date").alias("_max_last"),
             F.max("product_order_count_c").alias("_max_pop"),
@@ -298,7 +336,7 @@ def scored_pairs(
     """
     w = {**WEIGHTS, **(weights or {})}
     stats = source_stats(star, block_size)
-    cands = directed_candidates(star, block_size, broadcast_rows)
+    cands = directed_candidates(star, block_size, broadcast_rows, again=True)
     # Global maxima and the row count from the small table of sources.
     glob = stats.select(F.struct(F.max("_max_pop").alias("pop"), F.max("_max_margin").alias("margin"))).scalar()
     # Bound to a column once, so the subquery appears (and runs) once.
