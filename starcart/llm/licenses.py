@@ -159,12 +159,16 @@ def _calibrated(weights: DataFrame, held: DataFrame, families: list[str]) -> Dat
 
 
 def _softmax(families: list[str], temperature: float = 1.0) -> Column:
-    """map(family -> probability) from the score columns."""
-    scores = [F.col(f"`s_{f}`") / temperature for f in families]
-    most = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    powers = [F.exp(s - most) for s in scores]
-    total = sum(powers[1:], powers[0])
-    return F.create_map(*[x for f, p in zip(families, powers, strict=True) for x in (F.lit(f), p / total)])
+    """map(family -> probability) from the score columns.
+
+    Written over an array, so that the expression stays short: spelled out for each family it
+    repeats all scores for every one of them, which costs the driver memory to plan and compile.
+    """
+    scores = F.array(*[F.col(f"`s_{f}`") / temperature for f in families])
+    powers = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+    total = F.aggregate(powers, F.lit(0.0), lambda a, p: a + p)
+    named = F.array(*[F.lit(f) for f in families])
+    return F.map_from_arrays(named, F.transform(powers, lambda p: p / total))
 
 
 def family_scores(lines: DataFrame, weights: DataFrame, families: list[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 from starcart.llm import licenses
@@ -41,3 +42,13 @@ def test_repeated_rows_and_empty(table):
 def test_native_plan(table):
     plan = licenses.scan(table([(1, "All rights reserved.")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_softmax_stays_short_and_right(spark):
+    scores = {f"f{i}": 0.3 * i - 1 for i in range(12)}
+    rows = spark.createDataFrame([tuple(scores.values())], [f"s_{f}" for f in scores])
+    length = lambda n: len(licenses._softmax(list(scores)[:n], 0.7)._jc.toString())
+    assert length(12) < 3 * length(6)  # in proportion to the families, not to their square or cube
+    got = rows.select(licenses._softmax(list(scores), 0.7).alias("p")).first()["p"]
+    powers = {f: math.exp((s - max(scores.values())) / 0.7) for f, s in scores.items()}
+    assert all(abs(got[f] - p / sum(powers.values())) < 1e-12 for f, p in powers.items())
