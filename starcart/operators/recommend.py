@@ -339,8 +339,6 @@ def scored_pairs(
     cands = directed_candidates(star, block_size, broadcast_rows, again=True)
     # Global maxima and the row count from the small table of sources.
     glob = stats.select(F.struct(F.max("_max_pop").alias("pop"), F.max("_max_margin").alias("margin"))).scalar()
-    # Bound to a column once, so the subquery appears (and runs) once.
-    cands = cands.withColumn("_glob", glob)
     max_pop = F.col("_glob.pop")
     max_margin = F.col("_glob.margin")
 
@@ -374,12 +372,14 @@ def scored_pairs(
         )
 
     if prune:
-        cands = prune_candidates(cands, stats, raw, prune)
+        cands = prune_candidates(cands.withColumn("_glob", glob), stats, raw, prune).drop("_glob")
     d = _with_parents(cands, star, collation).withColumn("category_match", category_match_expr(collation))
     # Statistics are taken before the category joins: the fan-out cannot change a
     # maximum, and the row count only steers salting.
     rows = stats.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     d = _salt_hot_sources(d, stats, rows, salt_budget, min_hot_rows)
+    # Bound to a column once, so the subquery appears (and runs) once; after the rows have moved.
+    d = d.withColumn("_glob", glob)
 
     d = d.select(
         "source_product_key", "candidate_product_key", "_salt", "co_purchase_count",
@@ -393,7 +393,12 @@ def scored_pairs(
         margin_n.alias("margin_norm"),
         raw(F.col("category_match")).alias("_score"),
     )
-    return d.withColumn("recommendation_score", round_dec(F.lit(100.0) * F.col("_score")))
+    return d
+
+
+def _rounded_score() -> Column:
+    """The shown score: taken where it is read, so that the rows which are ranked do not carry it."""
+    return round_dec(F.lit(100.0) * F.col("_score")).alias("recommendation_score")
 
 
 def recommendation_scores(star: Star, **kw) -> DataFrame:
@@ -407,7 +412,7 @@ def recommendation_scores(star: Star, **kw) -> DataFrame:
         round_dec(F.col("recency_norm"), 6).alias("recency_norm"),
         round_dec(F.col("popularity_norm"), 6).alias("popularity_norm"),
         round_dec(F.col("margin_norm"), 6).alias("margin_norm"),
-        "recommendation_score",
+        _rounded_score(),
     )
 
 
@@ -465,7 +470,7 @@ def _rank_top_k(scored: DataFrame, k: int) -> DataFrame:
 def recommendation_top4(star: Star, k: int = TOP_K, **kw) -> DataFrame:
     """<= k recommendations per source product, with product attributes."""
     ranked = _rank_top_k(scored_pairs(star, **kw), k).select(
-        "source_product_key", "candidate_product_key", "recommendation_score",
+        "source_product_key", "candidate_product_key", _rounded_score(),
         F.col("recommendation_rank").cast("int").alias("recommendation_rank"),
     )
     p = star.product
